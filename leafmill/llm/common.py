@@ -46,10 +46,12 @@ def utf8(text: str = "text"):
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def arrow_bytes(spark: SparkSession, target: int = 256) -> None:
-    """Bound how many rows reach Python at once, whatever their length."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > target:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(target))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what reaches a Python worker at once, for tables whose rows may be long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def parallel(spark: SparkSession, least: int = 1) -> int:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafmill.llm import exact_dedup, mixing
+from leafmill.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
