@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, exact_dedup, mixing
+from leafmill.llm import bpe, exact_dedup, mixing, token_counts
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
