@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, exact_dedup, mixing, token_counts
+from leafmill.llm import bpe, exact_dedup, media, mixing, token_counts, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_media": media.op9_media,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
