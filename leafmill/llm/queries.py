@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, exact_dedup, media, mixing, token_counts, warc
+from leafmill.llm import bpe, exact_dedup, language, media, mixing, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language": language.op6_language,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_media": media.op9_media,
     "op10_bpe": bpe.op10_bpe,
 }
