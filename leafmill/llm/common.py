@@ -57,3 +57,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def parallel(spark: SparkSession, least: int = 1) -> int:
     """How many partitions a shuffle gets unless adaptive execution joins them."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", row_bytes: int = 64, most: int = 16 << 20) -> DataFrame:
+    """Join a table that has been cut: broadcast if its rows are counted to fit ``most`` bytes, else shuffled."""
+    small = right.count() * row_bytes <= most
+    return left.join(F.broadcast(right) if small else right, on, how)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, exact_dedup, language, media, mixing, token_counts, toxicity, warc
+from leafmill.llm import bpe, exact_dedup, language, media, mixing, near_dups, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_near_dups": near_dups.op1_near_dups,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": token_counts.op4_token_counts,
