@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, exact_dedup, language, media, mixing, near_dups, token_counts, toxicity, warc
+from leafmill.llm import bpe, exact_dedup, language, media, mixing, near_dups, substring_dedup, token_counts, toxicity, warc
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_near_dups": near_dups.op1_near_dups,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
@@ -12,6 +20,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_media": media.op9_media,
     "op10_bpe": bpe.op10_bpe,
 }
