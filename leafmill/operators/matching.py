@@ -183,19 +183,26 @@ def spec_values(candidates: DataFrame, specs: DataFrame, key: list[str]) -> Data
     return both.select(*key, "spec", value.alias("value"), F.coalesce("confidence", F.lit("low")).alias("confidence"), ((F.col("confidence") == "high") & value_is_valid(value, F.col("required")) & (value != "")).alias("verified"))
 
 
-def contains_joins(lines: DataFrame, values: DataFrame, line: str, value: str, gram: int = 12) -> DataFrame:
+def contains_joins(lines: DataFrame, values: DataFrame, line: str, value: str, gram: int = 12, few: int = 1000) -> DataFrame:
     """Pairs of a large table of texts and one of values that they contain, by evidence keys.
 
-    Both being large, ``contains`` alone would compare all with all. A value's first ``gram`` characters
-    must stand in the text, so the texts' distinct grams that some value begins with are joined by
-    equality, and the rest of the value is verified. Values shorter than that are compared with the
-    grams of their own length. Columns of both sides are kept; the keys are ``__line`` and ``__value``.
+    Up to ``few`` values, counted, are broadcast and looked for in each text. Beyond that ``contains``
+    would compare all with all, so a value's first ``gram`` characters must stand in the text: the
+    texts' distinct grams are joined to these by equality, and the rest of the value is verified. Values
+    shorter than that are joined by grams of their own length. Columns of both sides are kept; the keys
+    are ``__line`` and ``__value``.
     """
-    v = values.withColumn("__value", evidence_key(value)).where("__value <> ''").withColumn("__g", F.least(F.length("__value"), F.lit(gram))).withColumn("__head", F.substring("__value", 1, gram))
-    sizes = [r[0] for r in v.select("__g").distinct().orderBy("__g").collect()]  # at most ``gram`` of them
+    v = values.withColumn("__value", evidence_key(value)).where("__value <> ''")
     t = lines.withColumn("__line", evidence_key(line))
-    each = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("__line") - g + 1, F.lit(1))), lambda i, g=g: F.substring(F.col("__line"), i, F.lit(g))) for g in sizes]))) if sizes else F.array().cast("array<string>")
-    grams = t.select("*", F.explode(each).alias("__head"))
+    if v.limit(few + 1).count() <= few:
+        return t.join(F.broadcast(v), F.col("__line").contains(F.col("__value")))
+    v = v.withColumn("__g", F.least(F.length("__value"), F.lit(gram))).withColumn("__head", F.substring("__value", 1, gram))
+    sizes = [r[0] for r in v.select("__g").distinct().orderBy("__g").collect()]  # at most ``gram`` of them
+
+    def heads(g: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__line") - g + 1, F.lit(1))), lambda i: F.substring(F.col("__line"), i, F.lit(g)))
+
+    grams = t.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[heads(g) for g in sizes])))).alias("__head"))
     return grams.join(v, "__head").where(F.col("__line").contains(F.col("__value"))).drop("__head", "__g")
 
 

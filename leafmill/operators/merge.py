@@ -91,11 +91,12 @@ def integrated_records(pages: DataFrame) -> DataFrame:
     """
     c = F.col("classification")
     base = ["source_path", "page", c["type"].alias("record_type"), c["confidence"].alias("confidence"), F.exists("issues", lambda x: x["severity"] != "low").alias("needs_review")]
-    own = pages.where(F.size("records") == 0).select(*base, F.posexplode("fields").alias("place", "f"))
+    # the outer form keeps the optimizer from pushing the lists' making into a filter; see explode_list
+    own = pages.select(*base, F.posexplode_outer(F.when(F.size("records") == 0, F.col("fields"))).alias("place", "f")).where("place is not null")
     name = or_("f.field_name_model", "f.label_original", "f.field_id")
     own = own.groupBy("source_path", "page", "record_type", "confidence", "needs_review", name.alias("name")).agg(F.max_by("f.value_original", "place").alias("value"))
     own = own.withColumn("record_id", F.concat(F.lit("page_"), F.col("page").cast("string")))
-    given = pages.where(F.size("records") > 0).select(*base, F.posexplode("records").alias("place", "r"))
+    given = pages.select(*base, F.posexplode_outer("records").alias("place", "r")).where("place is not null")
     m = F.from_json("r", "map<string,string>")
     given = given.withColumn("m", m).withColumn("record_id", F.coalesce(F.col("m")["record_id"], F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_"), (F.col("place") + 1).cast("string"))))
     given = given.select("source_path", "page", F.coalesce(F.col("m")["record_type"], "record_type").alias("record_type"), F.coalesce(F.col("m")["confidence"], "confidence").alias("confidence"), "needs_review", "record_id", F.explode(F.from_json(F.coalesce(F.col("m")["fields"], F.lit("{}")), "map<string,string>")).alias("name", "value"))

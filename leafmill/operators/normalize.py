@@ -29,17 +29,24 @@ def _item(x: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(x).startswith("{"), members(x)), F.create_map(F.lit("value"), x))
 
 
+def items(x: Column) -> Column:
+    """A list's items with their members, evidence and box parsed once: lambdas see the maps only."""
+    first = F.transform(as_array(x), lambda i: F.struct(_item(i).alias("m")))
+    return F.transform(
+        first, lambda s: F.struct(s["m"].alias("m"), F.when(F.ltrim(s["m"]["evidence"]).startswith("{"), members(s["m"]["evidence"])).alias("e"), members(s["m"]["bbox"]).alias("b"))
+    )
+
+
 def _id(m: Column, names: tuple[str, ...], prefix: str, page: Column, i: Column) -> Column:
     return F.coalesce(_first(m, *names), F.concat(F.lit(prefix + "_p"), page.cast("string"), F.lit("_"), (i + 1).cast("string")))
 
 
-def evidence(m: Column, value: Column, page: Column) -> Column:
+def evidence(s: Column, value: Column, page: Column) -> Column:
     """Given evidence, a scalar as its text; else the value itself stands for it."""
-    raw = m["evidence"]
-    e = F.when(F.ltrim(raw).startswith("{"), members(raw))
+    raw, e = s["m"]["evidence"], s["e"]
     text = F.when(e.isNotNull(), F.coalesce(e["raw_text"], e["text"])).when(raw.isNotNull(), raw).otherwise(value)
     given = F.coalesce(F.try_to_number(e["page"], F.lit("999999999")).cast("int"), page)
-    return F.struct(given.alias("page"), text.alias("raw_text"), F.coalesce(box(members(m["bbox"])), box(members(e["bbox"]))).alias("bbox"))
+    return F.struct(given.alias("page"), text.alias("raw_text"), F.coalesce(box(s["b"]), box(members(e["bbox"]))).alias("bbox"))
 
 
 def has_evidence(e: Column) -> Column:
@@ -48,7 +55,7 @@ def has_evidence(e: Column) -> Column:
 
 
 def field(x: Column, i: Column, page: Column, path: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     label = stringify_cell(_first(m, "label_original", "label"))
     name = stringify_cell(_first(m, "field_name_model", "name", "field", "label"))
     value = stringify_cell(_first(m, "value_original", "value", "text"))
@@ -65,14 +72,14 @@ def field(x: Column, i: Column, page: Column, path: Column) -> Column:
         normal.alias("value_normalized"),
         stringify_cell(_first(m, "value_type_model", "type")).alias("value_type_model"),
         level.alias("confidence"),
-        evidence(m, value, page).alias("evidence"),
+        evidence(x, value, page).alias("evidence"),
         m["attention_match"].alias("attention_match"),
         (_flag(m) | (level == "low")).alias("needs_review"),
     )
 
 
 def entity(x: Column, i: Column, page: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     name, value = stringify_cell(_first(m, "name", "label", "value")), stringify_cell(_first(m, "value", "name"))
     return F.struct(
         i.cast("int").alias("idx"),
@@ -81,12 +88,12 @@ def entity(x: Column, i: Column, page: Column) -> Column:
         name.alias("name"),
         value.alias("value"),
         confidence(m["confidence"]).alias("confidence"),
-        evidence(m, value, page).alias("evidence"),
+        evidence(x, value, page).alias("evidence"),
     )
 
 
 def relationship(x: Column, i: Column, page: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     return F.struct(
         i.cast("int").alias("idx"),
         _id(m, ("relationship_id", "id"), "relationship", page, i).alias("id"),
@@ -94,12 +101,12 @@ def relationship(x: Column, i: Column, page: Column) -> Column:
         stringify_cell(_first(m, "from", "source_id")).alias("from"),
         stringify_cell(_first(m, "to", "target_id")).alias("to"),
         confidence(m["confidence"]).alias("confidence"),
-        evidence(m, F.lit(""), page).alias("evidence"),
+        evidence(x, F.lit(""), page).alias("evidence"),
     )
 
 
 def issue(x: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     level = F.lower(m["severity"])
     return F.struct(
         F.coalesce(m["type"], F.lit("model_review_issue")).alias("type"),
@@ -110,16 +117,16 @@ def issue(x: Column) -> Column:
 
 
 def text_item(x: Column) -> Column:
-    m = _item(x)
-    return F.struct(stringify_cell(_first(m, "text", "value")).alias("text"), confidence(m["confidence"]).alias("confidence"), box(members(m["bbox"])).alias("bbox"))
+    m = x["m"]
+    return F.struct(stringify_cell(_first(m, "text", "value")).alias("text"), confidence(m["confidence"]).alias("confidence"), box(x["b"]).alias("bbox"))
 
 
 def table(x: Column, i: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     rows = F.transform(as_array(_first(m, "rows", "value")), lambda r: F.when(F.ltrim(r).startswith("["), F.transform(as_array(r), stringify_cell)).otherwise(F.array(stringify_cell(r))))
     return F.struct(
         F.coalesce(_first(m, "table_id", "id"), F.concat(F.lit("table_"), (i + 1).cast("string"))).alias("table_id"),
-        box(members(m["bbox"])).alias("bbox"),
+        box(x["b"]).alias("bbox"),
         rows.alias("rows"),
         F.coalesce(m["source"], F.lit("model")).alias("source"),
         confidence(m["confidence"]).alias("confidence"),
@@ -127,7 +134,7 @@ def table(x: Column, i: Column) -> Column:
 
 
 def attention_match(x: Column) -> Column:
-    m = _item(x)
+    m = x["m"]
     said = F.coalesce(m["matched"] == "true", F.lit(False))
     status = or_(F.coalesce(m["status"], F.when(said, "matched").otherwise("not_found")), F.lit("not_found"))
     return F.struct(
@@ -182,14 +189,14 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
         members(d["document_classification"]).alias("class"),
         stringify_cell(_first(r, "raw_markdown", "rawText", "text")).alias("raw_markdown"),
         stringify_cell(r["raw_html"]).alias("raw_html"),
-        F.filter(F.transform(as_array(_first(r, "text_items", "text_lines")), text_item), lambda t: t["text"] != "").alias("text_items"),
-        F.transform(as_array(F.coalesce(r["tables"], d["tables"])), table).alias("tables"),
+        F.filter(F.transform(items(_first(r, "text_items", "text_lines")), text_item), lambda t: t["text"] != "").alias("text_items"),
+        F.transform(items(F.coalesce(r["tables"], d["tables"])), table).alias("tables"),
         as_array(r["uncertain_tokens"]).alias("uncertain_tokens"),
-        F.filter(F.transform(as_array(d["field_candidates"]), lambda x, i: field(x, i, page, path)), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
-        F.filter(F.transform(as_array(d["entities"]), lambda x, i: entity(x, i, page)), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
-        F.filter(F.transform(as_array(d["relationships"]), lambda x, i: relationship(x, i, page)), lambda e: (e["type"] != "") | (e["from"] != "") | (e["to"] != "")).alias("relationships"),
-        F.transform(as_array(d["review_issues"]), issue).alias("given_issues"),
-        F.transform(as_array(d["attention_field_matches"]), attention_match).alias("given_matches"),
+        F.filter(F.transform(items(d["field_candidates"]), lambda x, i: field(x, i, page, path)), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
+        F.filter(F.transform(items(d["entities"]), lambda x, i: entity(x, i, page)), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
+        F.filter(F.transform(items(d["relationships"]), lambda x, i: relationship(x, i, page)), lambda e: (e["type"] != "") | (e["from"] != "") | (e["to"] != "")).alias("relationships"),
+        F.transform(items(d["review_issues"]), issue).alias("given_issues"),
+        F.transform(items(d["attention_field_matches"]), attention_match).alias("given_matches"),
         as_array(d["unmapped_fields"]).alias("unmapped_fields"),
         as_array(d["orphan_values"]).alias("orphan_values"),
         as_array(d["integrated_records"]).alias("records"),
@@ -260,9 +267,13 @@ def field_specs(given: list[dict]) -> list[dict]:
 
 
 def explode_list(pages: DataFrame, name: str, *keep: str) -> DataFrame:
-    """A member table: path, page, place and the members of list ``name``."""
+    """A member table: path, page, place and the members of list ``name``.
+
+    The outer form, since for the inner one the optimizer adds a filter on the list's size and pushes
+    it, with all that makes the list, down to the scan: the list would be made several times.
+    """
     keys = ["source_path", "page", *keep]
-    return pages.select(*keys, F.posexplode(name).alias("place", "m")).select(*keys, "place", "m.*")
+    return pages.select(*keys, F.posexplode_outer(name).alias("place", "m")).where("place is not null").select(*keys, "place", "m.*")
 
 
 def words_box(points: Column) -> Column:

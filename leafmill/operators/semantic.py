@@ -21,7 +21,7 @@ def page_text(markdown, html, items: Column) -> Column:
 def latex_rows(text: Column) -> Column:
     r"""Rows of lines that have both ``&`` and ``\\``; the escaped ampersand breaks a column too."""
     lines = F.filter(F.split(blank(text), "\n"), lambda x: x.contains("&") & x.contains("\\\\"))
-    cells = F.transform(F.filter(F.transform(lines, unescape_latex), lambda x: (x != "") & ~x.startswith("\\")), lambda x: F.transform(F.split(x, "&"), F.trim))
+    cells = F.transform(F.filter(F.transform(lines, unescape_latex), lambda x: (x != "") & ~x.startswith("\\")), lambda x: F.transform(F.split(x, "&"), lambda c: F.trim(c)))
     return F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
 
 

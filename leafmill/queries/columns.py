@@ -14,7 +14,7 @@ from leafmill.sources.pages import batch_requests, expand_pages, media_type, mim
 
 @query("""
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN lower(p_type) IN ('high', 'medium', 'low') ELSE true END AS known,
-  CASE p_size % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS v2, CASE p_size % 4 WHEN 2 THEN 'medium' ELSE 'low' END AS v1
+  CASE p_size % 4 WHEN 0 THEN CASE WHEN lower(p_type) IN ('high', 'medium', 'low') THEN lower(p_type) ELSE 'low' END WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS v2, CASE p_size % 4 WHEN 2 THEN 'medium' ELSE 'low' END AS v1
 FROM part
 """)
 def confidence_coercion(spark, sf_dir):
@@ -73,7 +73,7 @@ _RANGES = [("1-3,5", 10), ("5,3,3", 10), ("2-99", 6), ("1-3-5", 10), ("", 3), ("
 
 @query("""
 WITH r AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS a, o_orderkey % 7 + 1 + o_orderkey % 4 AS b, 8 AS total FROM orders)
-SELECT k, CAST(unnest(list_sort(list_distinct(list_concat(range(a, least(b, total) + 1), [total])))) AS INT) AS page FROM r
+SELECT DISTINCT k, page FROM (SELECT k, CAST(unnest(list_concat(range(a, least(b, total) + 1), [total])) AS INT) AS page FROM r)
 """)
 def page_range_expand(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -149,7 +149,7 @@ def crop_rectangles(spark, sf_dir):
 
 @query("""
 SELECT p_partkey, least(CAST(floor(p_partkey * 100000 / (5 * 1048576 / 8.0) * 2 + 0.5) AS BIGINT), 2000) AS frames,
-  CASE WHEN (p_size / 50.0) > 0.8 OR (p_partkey % 100 / 100.0 > 0.35 AND p_size / 50.0 > 0.7) THEN 'image' ELSE 'text' END AS pdf_kind
+  CASE WHEN ((CAST(p_partkey % 100 AS DOUBLE) / 100) * p_size / 50 / (CAST(p_partkey % 100 AS DOUBLE) / 100)) > 0.8 OR ((CAST(p_partkey % 100 AS DOUBLE) / 100) > 0.35 AND ((CAST(p_partkey % 100 AS DOUBLE) / 100) * p_size / 50 / (CAST(p_partkey % 100 AS DOUBLE) / 100)) > 0.7) THEN 'image' ELSE 'text' END AS pdf_kind
 FROM part WHERE p_partkey % 100 > 0
 """)
 def media_estimates(spark, sf_dir):

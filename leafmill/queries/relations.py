@@ -153,7 +153,7 @@ def orphan_values(spark, sf_dir):
 WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'va?ue' ELSE p_name END AS v, p_size % 2 = 0 AS found, p_size % 5 = 0 AS lowq FROM part)
 SELECT p_partkey, v <> '' AND NOT contains(v, '?') AND found AND NOT lowq AS accepted,
   CASE WHEN v <> '' AND NOT contains(v, '?') AND found AND NOT lowq THEN 'high' WHEN v <> '' AND found THEN 'medium' ELSE 'low' END AS accept_confidence,
-  concat_ws(',', CASE WHEN v = '' THEN 'missing' END, CASE WHEN NOT found THEN 'evidence_not_found_in_ocr_text' END, CASE WHEN lowq THEN 'page_quality_low' END, CASE WHEN contains(v, '?') THEN 'uncertain_character' END) AS reasons
+  concat_ws(',', CASE WHEN v = '' THEN 'missing' END, CASE WHEN v <> '' AND NOT found THEN 'evidence_not_found_in_ocr_text' END, CASE WHEN v <> '' AND lowq THEN 'page_quality_low' END, CASE WHEN contains(v, '?') THEN 'uncertain_character' END) AS reasons
 FROM f
 """)
 def evidence_acceptance(spark, sf_dir):
@@ -182,10 +182,9 @@ def candidate_dedup(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-v AS (SELECT doc_id, upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]+', '', 'g')) AS k, split_part(text, ' ', 1) AS value FROM documents WHERE lang = 'en'),
-f AS (SELECT v.doc_id, min(line_no) AS line_no FROM v JOIN l ON l.doc_id = v.doc_id AND v.k <> '' AND contains(regexp_replace(upper(replace(l.line, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g'), v.k) GROUP BY 1)
-SELECT v.doc_id, v.value, f.line_no IS NOT NULL AS found FROM v LEFT JOIN f USING (doc_id)
+WITH v AS (SELECT doc_id, regexp_extract(text, '^[^ ]*', 0) AS value, regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents WHERE lang = 'en'),
+k AS (SELECT *, regexp_replace(upper(replace(value, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM v)
+SELECT doc_id, value, k <> '' AND contains(t, k) AS found FROM k
 """)
 def evidence_cascade(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -83,7 +83,7 @@ def detected_field_rows(pages: DataFrame) -> DataFrame:
 
 def table_rows(pages: DataFrame, columns: int | None = None) -> DataFrame:
     """Table rows with ``row_index`` from 1; cells as an array, or as ``col_1`` to ``col_n``."""
-    t = pages.select("source_path", "page", F.explode("tables").alias("t")).select("source_path", "page", "t.table_id", F.posexplode("t.rows").alias("i", "cells"))
+    t = pages.select("source_path", "page", F.explode_outer("tables").alias("t")).select("source_path", "page", "t.table_id", F.posexplode_outer("t.rows").alias("i", "cells")).where("i is not null")
     t = t.select("source_path", "page", "table_id", (F.col("i") + 1).alias("row_index"), "cells")
     return t if columns is None else t.select("source_path", "page", "table_id", "row_index", *[F.get("cells", F.lit(i)).alias(f"col_{i + 1}") for i in range(columns)])
 

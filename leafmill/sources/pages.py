@@ -67,7 +67,7 @@ def page_range(text, total: Column) -> Column:
     A part's end beyond the total is cut to it; a start or single page beyond it, below 1 or not a
     number is an error. Further dashes are ignored. No text means all pages.
     """
-    parts = F.filter(F.transform(F.split(blank(text), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(blank(text), ","), lambda p: F.trim(p)), lambda p: p != "")
     num = lambda s: F.when(F.trim(s).rlike(r"^\d+$"), F.trim(s).cast("int"))
     one = F.transform(parts, lambda p: F.struct(num(F.get(F.split(p, "-"), F.lit(0))).alias("a"), F.when(p.contains("-"), num(F.get(F.split(p, "-"), F.lit(1)))).otherwise(num(p)).alias("b")))
     bad = F.exists(one, lambda r: r["a"].isNull() | r["b"].isNull() | (r["a"] < 1) | (r["a"] > total) | (r["b"] < r["a"]))
