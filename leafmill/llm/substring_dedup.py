@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, documents, join_sized, small_batches, utf8
+from leafmill.llm.common import cut, documents, small_batches, utf8
 
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 UNITS = "id long, hi array<long>, lo array<long>, start array<int>, end array<int>"
@@ -85,7 +85,7 @@ def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFram
     place = F.struct(F.col("id").isNull().alias("last"), "id", "start")
     count = each.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     shared = cut(count.where("n > 1").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")))
-    both = join_sized(each, shared, ["hi", "lo"], row_bytes=48)
+    both = each.join(shared, ["hi", "lo"])
     return both.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start")))).select("id", "lo", "start", "end")
 
 
