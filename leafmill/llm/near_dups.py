@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, documents, join_sized, small_batches, utf8
+from leafmill.llm.common import cut, documents, join_sized, release, small_batches, utf8
 from leafmill.llm.components import components
 from leafmill.llm.parity import Bands, Shingler, hamming, sketch
 
@@ -55,8 +55,10 @@ def groups(classes: DataFrame) -> DataFrame:
     """``gid, node``: the distinct groups of two or more classes that share a part of a sketch."""
     keys = classes.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"))
+    release(classes.sparkSession)  # the keys are shuffled again, so the first shuffle goes first
     there = cut(join_sized(keys, shared, "key", row_bytes=24))
     # a group is told by its number of classes and two sums of their hashes
+    release(classes.sparkSession)
     sums = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))))
     told = there.groupBy("key").agg(sums.alias("told")).groupBy("told").agg(F.min("key").alias("key"))
     return cut(there.join(told.select("key"), "key").select(F.col("key").alias("gid"), "node"))
@@ -117,12 +119,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     are left out, whatever a group's size: see the module's text. Sets are compared by 64-bit hashes
     of their shingles. Empty tables give an empty result, other columns are not read.
     """
-    sets = cut(shingle_sets(docs, key, text, width, p, q))
+    full = cut(shingle_sets(docs, key, text, width, p, q))
+    classes = cut(full.where("n > 0").select(F.col("hi").alias("node"), "lo", "n", "sketch", "keys").dropDuplicates(["node", "lo"]))
+    sets = cut(full.select("id", "n", "hi", "lo"))
+    del full  # its keys are most of it, and stand in the classes now
+    release(docs.sparkSession)
     firsts = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("first"))
-    classes = cut(sets.where("n > 0").select(F.col("hi").alias("node"), "lo", "n", "sketch", "keys").dropDuplicates(["node", "lo"]))
     members = groups(classes)
     nodes = cut(members.select("node").distinct())
-    links = None
     labels = None
     if nodes.take(1):
         sketches = cut(join_sized(classes.select("node", "n", "sketch"), nodes, "node", row_bytes=24))
@@ -130,7 +134,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         ids = cut(ids.where("id is not null"))
         source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body"))
         texts = cut(join_sized(source, ids, "id", row_bytes=32).select(F.col("hi").alias("node"), "body").dropDuplicates(["node"]))
-        links, labels = _link(members, sketches, texts, width, p, q)
+        labels = _link(members, sketches, texts, width, p, q)
     named = firsts.withColumnRenamed("hi", "node")
     if labels is not None:
         known = labels.join(named, "node")
@@ -142,8 +146,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _link(members, sketches, texts, width, p, q):
-    """Rounds of comparisons within the groups; returns links and component labels."""
-    links = labels = None
+    """Rounds of comparisons within the groups; returns component labels, or None without any link."""
+    labels = None
     turn = 0
     while True:
         if labels is None:
@@ -154,8 +158,8 @@ def _link(members, sketches, texts, width, p, q):
         open_ = sizes.groupBy("gid").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size")).where("comps > 1")
         now = cut(now.join(sizes, ["gid", "comp"]).join(open_, "gid"))
         if not now.take(1):
-            return links, labels
-        work = 64 * 4**turn  # comparisons that a group gets this round, or one of its classes against all others
+            return labels
+        work = 64 * 16**turn  # comparisons that a group gets this round, or one of its classes against all others
         place = F.row_number().over(Window.partitionBy("gid").orderBy("c", F.xxhash64("node"), "node"))
         picked = now.withColumn("place", place).where(F.col("place") <= work).where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.lit(work) / F.col("size"))))
         picked = cut(picked.select("gid", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")))
@@ -164,8 +168,11 @@ def _link(members, sketches, texts, width, p, q):
         close = cut(close_sketches(pairs, sketches, p, q))
         found = cut(verify(close, texts, width, p, q))
         if found.take(1):
-            links = found if links is None else cut(links.union(found))
-            labels = cut(components(links))
+            # components so far are stars; with the new links they are all that counts
+            known = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+            labels = cut(components(known))
+        del pairs, close, found, sizes, open_
+        release(members.sparkSession)
         members = cut(now.select("gid", "node").join(picked.select("gid", F.col("pivot").alias("node")), ["gid", "node"], "left_anti"))
         turn += 1
 
