@@ -51,11 +51,29 @@ def weighted_vote(votes: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("b.value").alias("value"), F.col("b.n").alias("frequency"), (F.col("b.w") / F.col("all")).alias("agreement"), (F.col("distinct") == 1).alias("unanimous"), "votes")
 
 
+def vote_entropy(per: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
+    """``keys, entropy``: the mean distance ratio over all pairs of a field's votes, however many there are.
+
+    ``per``: distinct values and how often each was voted (``n``). Equal votes are at distance 0, so that
+    only distinct values are paired, in blocks of about ``block`` that spread over tasks.
+    """
+    sizes = per.groupBy(*keys).agg(F.sum("n").alias("all"), F.max(F.col("value").isNull()).alias("unknown"), F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = per.join(sizes.select(*keys, "blocks"), keys).withColumn("block", F.pmod(F.xxhash64("value"), "blocks"))
+    packs = placed.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("value", "n")).alias("mine"))
+    a = packs.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select(*keys, "block", "other", "mine")
+    b = packs.select(*keys, F.col("block").alias("other"), F.col("mine").alias("theirs"))
+    inner = lambda x: F.aggregate("theirs", F.lit(0.0), lambda s, y: s + x["n"] * y["n"] * distance_ratio(x["value"], y["value"]))
+    apart = F.aggregate("mine", F.lit(0.0), lambda s, x: s + inner(x)) / F.when(F.col("block") == F.col("other"), 2).otherwise(1)
+    sums = a.join(b, [*keys, "other"]).select(*keys, apart.alias("apart")).groupBy(*keys).agg(F.sum("apart").alias("apart"))
+    mean = F.when(F.col("all") <= 1, 0.0).when(~F.col("unknown"), F.col("apart") / (F.col("all") * (F.col("all") - 1.0) / 2))
+    return sizes.join(sums, keys).select(*keys, mean.alias("entropy"))
+
+
 def analyze_consensus(votes: DataFrame, keys: list[str], review_above: float = 0.5) -> DataFrame:
     """Entropy, weighted mode and what they are worth."""
-    e = votes.groupBy(*keys).agg(entropy(F.transform(F.array_sort(F.collect_list(F.struct("vote_idx", "value"))), lambda x: x["value"])).alias("entropy"))
     w = F.col("weight") if "weight" in votes.columns else F.lit(1.0)
-    per = votes.groupBy(*keys, "value").agg(F.sum(w).alias("w"), F.min("vote_idx").alias("seen"))
+    per = votes.groupBy(*keys, "value").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"), F.min("vote_idx").alias("seen"))
+    e = vote_entropy(per, keys)
     mode = per.groupBy(*keys).agg(F.max_by(F.struct("value", "w"), F.struct("w", (-F.col("seen")).alias("s"))).alias("b"), F.sum("w").alias("all"))
     agreement = F.col("b.w") / F.col("all")
     level = F.when((F.col("entropy") < 0.15) & (agreement > 0.66), "high").when(F.col("entropy") < 0.4, "medium").otherwise("low")
