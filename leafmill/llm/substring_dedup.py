@@ -1,7 +1,7 @@
 """Substring dedup by line hashing.
 
-A unit is a line, and each sentence of a line that has several, since repeated passages also stand
-inside lines. Units are normalised (case, white space), digests are grouped over all documents, the
+A unit is a line, and each longer sentence of a line that has several, since repeated passages also
+stand inside lines. Units are normalised (case, white space), digests are grouped over all documents, the
 occurrence in the earliest ranked place stays, and all others are removed from their texts. What is
 removed and what is kept is told by offsets in the original.
 """
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut, documents, small_batches, utf8
 
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|(?<=[。！？])[ \t]*(?=[^\s。！？])")
+#: Letters of scripts that set no spaces between words: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 UNITS = "id long, hi array<long>, lo array<long>, start array<int>, end array<int>"
 
 
@@ -26,15 +28,21 @@ def digest(unit: str) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def units(text: str, least: int) -> list[tuple[int, int]]:
-    """Start and end (characters) of the units with ``least`` words or more, by start.
+def long_enough(unit: str, least: int) -> bool:
+    """``least`` words, or twice as many letters of scripts without spaces."""
+    return len(unit.split()) >= least or (not unit.isascii() and len(_UNSPACED.findall(unit)) >= 2 * least)
 
+
+def units(text: str, least: int, every_line: bool = False) -> list[tuple[int, int]]:
+    """Start and end (characters) of the units that are ``long_enough``, by start.
+
+    With ``every_line`` all lines are units but blank ones, and only sentences have to be long enough.
     A line's span takes its line end along; a sentence's doesn't.
     """
     out, at = [], 0
     for line in text.split("\n"):
         stop = at + len(line)
-        if line.count(" ") + line.count("\t") + 1 >= least and len(line.split()) >= least:
+        if line.strip() if every_line else long_enough(line, least):
             out.append((at, min(stop + 1, len(text))))
             parts, begin = [], at
             for m in _SENTENCE.finditer(line):
@@ -42,7 +50,7 @@ def units(text: str, least: int) -> list[tuple[int, int]]:
                 begin = at + m.end()
             if parts:
                 parts.append((begin, stop))
-                out += [(a, b) for a, b in parts if len(text[a:b].split()) >= least]
+                out += [(a, b) for a, b in parts if long_enough(text[a:b], least)]
         at = stop + 1
     return out
 
@@ -57,13 +65,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def digests(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def digests(docs: DataFrame, key: str, text: str, least: int, every_line: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             hi, lo, start, end = [], [], [], []
             for raw in batch.column(1):
                 body = raw.as_py().decode("utf-8", "replace")
-                spans = units(body, least)
+                spans = units(body, least, every_line)
                 both = [digest(body[a:b]) for a, b in spans]
                 hi.append([x for x, _ in both])
                 lo.append([x for _, x in both])
@@ -77,9 +85,9 @@ def digests(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body")).mapInArrow(run, UNITS)
 
 
-def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def repeated_units(docs: DataFrame, key: str, text: str, least: int, every_line: bool = False) -> DataFrame:
     """``id, lo, start, end`` of every occurrence but the first of units that occur more than once."""
-    table = cut(digests(docs, key, text, least))
+    table = cut(digests(docs, key, text, least, every_line))
     each = table.select("id", F.explode(F.arrays_zip("hi", "lo", "start", "end")).alias("u")).select("id", "u.hi", "u.lo", "u.start", "u.end")
     # combined before the shuffle: a line that stands everywhere travels once per task
     place = F.struct(F.col("id").isNull().alias("last"), "id", "start")
@@ -89,17 +97,17 @@ def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFram
     return both.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start")))).select("id", "lo", "start", "end")
 
 
-def dedup_units(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6) -> DataFrame:
+def dedup_units(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6, every_line: bool = False) -> DataFrame:
     """``id, clean_text, n_removed, removed_chars, removed, kept`` per row.
 
-    Units with fewer than ``least`` words stay. Occurrences are ranked by identifier (null last) and
+    Units that aren't ``long_enough`` stay; with ``every_line`` that goes for sentences only. Occurrences are ranked by identifier (null last) and
     place; repeats within a text count too. ``removed`` and ``kept`` are start and end in characters of
     the original, and ``clean_text`` is the kept stretches joined. A null text counts as empty. Rows
     that repeat an identifier and its text are one occurrence: they get the same verdict. Where an
     identifier stands on different texts, a span is removed only from the text that has the unit
     there. An empty table gives an empty result; other columns are not read.
     """
-    spans = repeated_units(docs, key, text, least).groupBy("id").agg(F.collect_set(F.struct("start", "end", "lo")).alias("spans"))
+    spans = repeated_units(docs, key, text, least, every_line).groupBy("id").agg(F.collect_set(F.struct("start", "end", "lo")).alias("spans"))
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body"))
     both = source.alias("d").join(spans.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")), "left").select("d.id", "body", "spans")
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -126,4 +134,4 @@ def dedup_units(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
 
 def op8_substring_dedup(spark, sf_dir):
-    return dedup_units(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return dedup_units(documents(spark, sf_dir), every_line=True).withColumnRenamed("id", "doc_id")
