@@ -188,6 +188,6 @@ SELECT doc_id, value, k <> '' AND contains(t, k) AS found FROM k
 """)
 def evidence_cascade(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    values = d.where("lang = 'en'").select("doc_id", F.lit("first").alias("name"), F.regexp_extract("text", "^[^ ]*", 0).alias("value"))
+    values = d.select("doc_id", F.lit("first").alias("name"), F.regexp_extract("text", "^[^ ]*", 0).alias("value"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return matching.find_evidence(values, lines, d.select("doc_id", "text"), d.select("doc_id", F.col("text").alias("parsed")), ["doc_id"]).select("doc_id", "value", "found")

@@ -1,5 +1,6 @@
 """Registered queries against brute force, over all rows of their tables."""
 
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -54,3 +55,19 @@ def test_votes_in_several_blocks(spark):
     for f, values in fields.items():
         entropy, value, agreement = consensus_brute(values)
         assert got[f].entropy == pytest.approx(entropy) and got[f].value == value and got[f].agreement == pytest.approx(agreement)
+
+
+def evidence_key(text):
+    return "".join(c for c in unicodedata.normalize("NFKC", text or "").upper() if unicodedata.category(c)[0] in "LN")
+
+
+def test_evidence_cascade_takes_every_document(spark, tmp_path):
+    texts = [("en", "Total: 5"), ("de", "straße 7\nin der Stadt"), (None, "élan vital"), ("fr", None), ("ja", "東京 と大阪"), ("de", "... nothing")]
+    spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for sf_dir in (str(tmp_path), SF):
+        want = {}
+        for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+            value = None if r.text is None else r.text.split(" ", 1)[0]
+            want[r.doc_id] = (value, evidence_key(value) != "" and evidence_key(value) in evidence_key(r.text))
+        rows = QUERIES["evidence_cascade"](spark, sf_dir).collect()
+        assert len(rows) == len(want) and {r.doc_id: (r.value, r.found) for r in rows} == want
