@@ -37,13 +37,13 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in training order."""
-    plan = mixing.mix(docs).where("copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies", "position")
-    plan = plan.dropDuplicates(["__id", "__source", "__size"])
+    """Every document as often as the mix takes it, each copy in its place of the training order."""
+    keys = ["__id", "__source", "__size"]
+    plan = mixing.planned(docs).where("copies > 0").withColumnsRenamed({"id": "__id", "source": "__source", "size": "__size"}).dropDuplicates(keys)
+    due = mixing.passes(plan).groupBy(*keys).agg(F.sort_array(F.collect_list("position")).alias("__due"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.word_count("text") == F.col("__size"))
-    both = docs.join(plan, same)
-    again = both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.orderBy("__copy", "position", "doc_id").select(docs.columns)
+    again = docs.join(due, same).select(*docs.columns, F.posexplode("__due").alias("__pass", "__position"))
+    return again.orderBy("__position", "__pass", "doc_id").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,19 +106,8 @@ def running_offsets(rows: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: list[int] | None = None, most: int = 3, schedules: list[list[float]] | None = None) -> DataFrame:
-    """One row per document, in training order: ``id, source, size, source_size, target, taken, copies, position``.
-
-    Documents of a source are read in a fixed order, pass after pass, until its target is met to the
-    word: ``taken`` is what all passes take of the document, at most ``most`` times its size. ``copies``
-    is the same in whole documents (halves round up; a document without words counts in the first
-    pass), ``position`` the time at which the first of them is due. ``schedules`` belong to the
-    sources in turn, as ``weights`` do; each is scaled to the source's target.
-
-    Nulls: a text has no words, a source is one more source, an identifier comes last. Rows that
-    repeat an identifier are counted each; equal rows get offsets in either order. Empty tables give
-    an empty result, and other columns are not looked at.
-    """
+def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: list[int] | None = None, most: int = 3, schedules: list[list[float]] | None = None) -> DataFrame:
+    """What ``mix`` says of each document but its position, and what positions are made of."""
     weights = weights or [1, 2, 3]
     schedules = schedules or [[1.0, 1.0], [1.5, 1.0, 0.5], [0.5, 1.0, 1.5]]
     rows = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size")))
@@ -140,10 +129,35 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         taken = taken + part
         copies = copies + F.when((F.col("size") > 0) & (part * 2 >= F.col("size")), 1).otherwise(0)
     copies = F.when(F.col("size") == 0, F.when(F.col("offset") < F.greatest(stop, F.lit(1)), 1).otherwise(0)).otherwise(copies)
-    done = needed_at(both.withColumn("taken", taken).withColumn("copies", copies.cast("int")))
+    return both.withColumn("taken", taken).withColumn("copies", copies.cast("int"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: list[int] | None = None, most: int = 3, schedules: list[list[float]] | None = None) -> DataFrame:
+    """One row per document, in training order: ``id, source, size, source_size, target, taken, copies, position``.
+
+    Documents of a source are read in a fixed order, pass after pass, until its target is met to the
+    word: ``taken`` is what all passes take of the document, at most ``most`` times its size. ``copies``
+    is the same in whole documents (halves round up; a document without words counts in the first
+    pass), ``position`` the time at which the first of them is due. ``schedules`` belong to the
+    sources in turn, as ``weights`` do; each is scaled to the source's target.
+
+    Nulls: a text has no words, a source is one more source, an identifier comes last. Rows that
+    repeat an identifier are counted each; equal rows get offsets in either order. Empty tables give
+    an empty result, and other columns are not looked at.
+    """
+    done = needed_at(planned(docs, key, text, source, weights, most, schedules))
     return done.select("id", "source", "size", "source_size", "target", "taken", "copies", "position").orderBy("position", "id")
 
 
+def passes(plan: DataFrame) -> DataFrame:
+    """One row per copy of what ``planned`` gives: ``pass`` from 0, and the ``position`` at which that copy is due.
+
+    A pass begins where the one before has ended, so that its offsets are whole sources further on.
+    """
+    each = plan.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return needed_at(each.withColumn("offset", F.col("offset") + F.col("pass") * F.col("source_size")))
+
+
 def op3_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 

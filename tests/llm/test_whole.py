@@ -39,3 +39,38 @@ def test_sentences_without_spaces(spark):
     found = docs(spark, [f"第一份文件自己的开头。{han}", f"另一份文件的不同开头。{han}完。"])
     got = {r.id: r.clean_text for r in substring_dedup.dedup_units(found, every_line=True).collect()}
     assert got[0].endswith(han) and got[1] == "另一份文件的不同开头。完。"
+
+
+def test_copies_stand_where_their_pass_is_due(spark):
+    """A small source that is read three times spreads over all of training."""
+    import corpus_pipeline
+
+    d = docs(spark, ["a b c"] * 130, ["s"] + ["t"] * 12)
+    plan = {r.id: r for r in mixing.planned(d).collect()}
+    assert {r.copies for r in plan.values() if r.source == "s"} != {1}
+    flat = {"s": [1.0, 1.0], "t": [1.5, 1.0, 0.5]}  # the default schedules of the first two sources
+
+    def due(r, k):
+        """The time at which the schedule's share reaches the copy's, by bisection."""
+        share = min((r.offset + k * r.source_size) / r.target, 1.0)
+        f = flat[r.source]
+        steps = len(f) - 1
+
+        def passed(t):
+            i = min(int(t * steps), steps - 1)
+            x = t * steps - i
+            return sum((f[j] + f[j + 1]) / 2 for j in range(i)) + f[i] * x + (f[i + 1] - f[i]) * x * x / 2
+
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if passed(mid) < share * passed(1.0) else (low, mid)
+        return round(low, 9)
+
+    want = sorted((due(r, k), k, r.id) for r in plan.values() for k in range(r.copies))
+    got = [r.doc_id for r in corpus_pipeline.mixing_stage(spark, d, "").collect()]
+    assert got == [i for _, _, i in want]
+    places = [i for i, x in enumerate(got) if plan[x].source == "s"]
+    assert places[-1] - places[0] > len(got) / 2
+    each = mixing.passes(mixing.planned(d)).select("id", "pass", F.round("position", 6).alias("p")).collect()
+    assert {(r.id, r["pass"]): r.p for r in each} == {(i, k): round(t, 6) for t, k, i in want}
