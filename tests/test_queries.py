@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from leafmill.operators import consensus
+from leafmill.operators import consensus, validate
 from leafmill.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -71,3 +71,11 @@ def test_evidence_cascade_takes_every_document(spark, tmp_path):
             want[r.doc_id] = (value, evidence_key(value) != "" and evidence_key(value) in evidence_key(r.text))
         rows = QUERIES["evidence_cascade"](spark, sf_dir).collect()
         assert len(rows) == len(want) and {r.doc_id: (r.value, r.found) for r in rows} == want
+
+
+def test_more_patterns_than_a_short_list_are_checked(spark):
+    n = 10_050
+    rules = spark.createDataFrame([(f"f{i}", f"^p{i}$", None, None, None) for i in range(n)] + [("f0", "(", None, None, None)], "field string, pattern string, min_length int, max_length int, allowed_values array<string>")
+    fields = spark.createDataFrame([(f"f{i}", "x") for i in range(n)] + [("f1", "p1")], "field string, value string")
+    got = Counter((r.field, r.rule) for r in validate.validate_rules(fields, rules).collect())
+    assert got == Counter((f"f{i}", "pattern") for i in range(n))
