@@ -83,9 +83,12 @@ def native_scale(probes: Column, megapixels: Column, ladder: list[float], gain:
 
 
 def pdf_kind(bpp1: Column, bpp2: Column) -> Column:
-    """``image`` if doubling the scale adds hardly any detail, or there is much detail to begin with."""
-    ratio = bpp2 / bpp1
-    return F.when((ratio > 0.8) | ((bpp1 > 0.35) & (ratio > 0.7)), "image").otherwise("text")
+    """``image`` if doubling the scale adds hardly any detail, or there is much detail to begin with.
+
+    A first share of 0 is ``image`` if the second isn't 0, as a ratio without bound is.
+    """
+    ratio = F.when(bpp1 != 0, bpp2 / bpp1)
+    return F.when(((bpp1 == 0) & (bpp2 > 0)) | (ratio > 0.8) | ((bpp1 > 0.35) & (ratio > 0.7)), "image").otherwise("text")
 
 
 def render_scale(asked: Column, native: Column, kind: Column, width_pt: Column, height_pt: Column, max_side: float = 4096.0, max_megapixels: float = 25.0) -> Column:

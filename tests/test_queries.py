@@ -4,7 +4,9 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from leafmill.functions.tokens import pdf_kind
 from leafmill.operators import consensus, validate
 from leafmill.queries import QUERIES
 
@@ -79,3 +81,11 @@ def test_more_patterns_than_a_short_list_are_checked(spark):
     fields = spark.createDataFrame([(f"f{i}", "x") for i in range(n)] + [("f1", "p1")], "field string, value string")
     got = Counter((r.field, r.rule) for r in validate.validate_rules(fields, rules).collect())
     assert got == Counter((f"f{i}", "pattern") for i in range(n))
+
+
+def test_media_estimates_takes_shares_of_zero(spark):
+    part = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    got = {r.p_partkey: r.pdf_kind for r in QUERIES["media_estimates"](spark, SF).collect()}
+    assert got.keys() == part.keys() and {v for k, v in got.items() if k % 100 == 0} == {"text"}
+    d = spark.createDataFrame([(0.0, 0.0), (0.0, 0.2), (0.5, 0.5), (0.5, 0.1)], "a double, b double")
+    assert [r[0] for r in d.select(pdf_kind(F.col("a"), F.col("b"))).collect()] == ["text", "image", "image", "text"]
