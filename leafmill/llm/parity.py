@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 import numpy as np
 import xxhash
 
+from leafmill.llm.frequency import MASK
+
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _64 = (1 << 64) - 1
 #: Words that a worker remembers the hashes of before it starts anew.
@@ -60,15 +65,19 @@ class Bands:
     large enough for a partner there.
 
     The sketches that are joined by part have 2**32 bits a part, nearly all 0: a part is named by the
-    exclusive or of the hashes of its odd bits, to which a bit that is flipped twice adds nothing. A
-    part without tokens names nothing worth comparing; a set with at most ``spare`` of them leaves
-    them out, since it must agree with any partner in one more part than these.
+    exclusive or of the hashes of its odd bits, to which a bit that is flipped twice adds nothing.
+
+    Of the parts in which two similar sets agree, the rarest is the rarest for both, so each set may
+    leave out its ``spare`` most frequent parts, in one order of all parts. Parts without tokens are the
+    most frequent in that order: they are left out first, and ``spare`` is chosen so that a set hardly
+    ever has more of them.
     """
 
-    def __init__(self, p: int, q: int, ratio: float = 1.4, spare: int = 2):
-        self.p, self.q, self.spare = p, q, spare
+    def __init__(self, p: int, q: int, ratio: float = 1.4):
+        self.p, self.q = p, q
         self.ratio = max(ratio, 1.02 * q / p)
         self.starts = [1]
+        self.spares: dict[int, int] = {}
 
     def _start(self, band: int) -> int:
         while len(self.starts) <= band:
@@ -76,10 +85,10 @@ class Bands:
         return self.starts[band]
 
     def of(self, n: int) -> list[int]:
-        band = 0
-        while self._start(band + 1) <= n:
-            band += 1
-        out = [band]
+        self._start(0)
+        while self.starts[-1] <= n:
+            self._start(len(self.starts))
+        out = [bisect_right(self.starts, n) - 1]
         while n * self.q >= self._start(out[-1] + 1) * self.p:
             out.append(out[-1] + 1)
         return out
@@ -88,14 +97,33 @@ class Bands:
         """How many elements two similar sets of these sizes together can differ in."""
         return (self.q - self.p) * sizes // (self.q + self.p)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each part of the sketch, in each of the set's bands."""
-        out = [np.zeros(0, np.uint64)]
+    def most(self, band: int) -> int:
+        """How many parts of a band's sketches two similar sets can differ in."""
+        return self.differ(2 * (self._start(band + 1) - 1))
+
+    def spare(self, band: int) -> int:
+        """0.3 of ``most``, and four standard deviations above the expected number of empty parts."""
+        found = self.spares.get(band)
+        if found is None:
+            most, least = self.most(band), max(1.0, self._start(band) * self.p / self.q)
+            found = int(0.3 * most) + 4
+            while found <= 3 * most + 30:
+                empty = (most + 1 + found) * math.exp(-least / (most + 1 + found))
+                if found >= empty + 4 * math.sqrt(empty + 1):
+                    break
+                found += 2
+            self.spares[band] = found
+        return found
+
+    def keys(self, shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each of the set's bands the 48-bit keys of its parts, and how many of the most frequent may go."""
+        out = []
         for band in self.of(len(shingles)) if len(shingles) else []:
-            most = self.differ(2 * (self._start(band + 1) - 1))
+            most = self.most(band)
             if most == 0:
                 continue  # only equal sets are similar enough at such sizes
-            n = most + 1 + self.spare
+            spare = self.spare(band)
+            n = most + 1 + spare
             h = mix(shingles + np.uint64((band + 1) * int(_B) & _64))
             part = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -104,9 +132,15 @@ class Bands:
             named = np.zeros(n, np.uint64)
             named[part[starts]] = np.bitwise_xor.reduceat(bits, starts)
             names = np.arange(n, dtype=np.uint64) * _C + np.uint64(band * int(_A) & _64)
-            key = mix(mix(names) ^ named)
-            out.append(key[part[starts]] if n - len(starts) <= self.spare else key)
-        return np.concatenate(out)
+            key = mix(mix(names) ^ named) & MASK
+            empty = n - len(starts)
+            if empty <= spare:
+                out.append((key[part[starts]], spare - empty))
+            else:  # no full part may go, and ``spare`` of the empty ones do
+                bare = np.ones(n, bool)
+                bare[part[starts]] = False
+                out.append((np.concatenate([key[part[starts]], np.sort(key[bare])[: empty - spare]]), 0))
+        return out
 
 
 def sketch(shingles: np.ndarray) -> bytes:

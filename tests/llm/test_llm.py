@@ -97,11 +97,13 @@ def test_positions_follow_the_schedule(spark):
         assert 2 * t - t * t == pytest.approx(i / 400, abs=1e-6)
 
 
+def shingles_of(t, width):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
 def near_brute(rows, width, p, q):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    sets = {i: shingles_of(t, width) for i, t in rows}
     comp = {i: i for i in sets}
     ids = sorted(sets)
     for a in ids:
@@ -138,6 +140,72 @@ def test_near_dups(spark, width, p, q):
     assert got == near_brute(list(enumerate(texts)), width, p, q)
 
 
+def same_components(rows, width, p, q):
+    """Components of rows, repeated and null identifiers among them, by comparing all pairs."""
+    sets = [shingles_of(t, width) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and q * len(a & b) >= p * len(a | b):
+                x, y = comp[i], comp[j]
+                comp = [y if c == x else c for c in comp]
+    names = {}
+    for c, (i, _) in zip(comp, rows, strict=True):
+        if i is not None:
+            names[c] = min(i, names.get(c, i))
+    return Counter((i, len(s), names.get(c) if s else i) for c, s, (i, _) in zip(comp, sets, rows, strict=True))
+
+
+@pytest.mark.parametrize(("width", "p", "q"), [(3, 9, 10), (5, 8, 10)])
+def test_near_dups_of_a_large_cluster(spark, width, p, q):
+    """Copies on both sides of the threshold, long sets, identifiers that are null or repeat, a passage in all."""
+    rnd = random.Random(width + q)
+    texts = []
+    for base in (rnd.choices(WORDS, k=150), rnd.choices(WORDS, k=420)):
+        for _ in range(120):
+            t = list(base)
+            for _ in range(rnd.randrange(0, len(base) // 12)):
+                t[rnd.randrange(len(t))] = rnd.choice(WORDS) + rnd.choice("xy")
+            texts.append(" ".join(t))
+    passage = " ".join(rnd.choices(WORDS, k=60))
+    texts += [passage + " " + " ".join(rnd.choices(WORDS, k=rnd.randrange(5, 90))) for _ in range(120)]
+    ids = [None if k % 17 == 3 else k // 2 if k % 5 == 0 else 1000 + k for k in range(len(texts))]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = near_dups.jaccard_components(d, width=width, p=p, q=q).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == same_components(list(zip(ids, texts, strict=True)), width, p, q)
+
+
+def test_near_dups_rows_that_stand(spark):
+    """One row of each component is the first; identifiers that repeat and null ones lose no links."""
+    t = [" ".join(random.Random(k).choices(WORDS, k=60)) for k in range(3)]
+    rows = [(1, t[0]), (1, t[1]), (2, t[1] + " end"), (None, t[0] + " end"), (None, t[2]), (3, ""), (4, None), (5, "one"), (6, "ONE")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dups.jaccard_components(d).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == same_components(rows, 5, 8, 10)
+    assert sum(r.first for r in got) == 6  # one each of 1 and null, 1 and 2, null alone, 3, 4, and 5 and 6
+
+
+def test_pairs_of_a_cluster_stay_linear(spark):
+    """Copies with edits of their own, each too far from the others: next to no pairs are made."""
+    rnd = random.Random(8)
+    base = rnd.choices(WORDS, k=150)
+    texts = []
+    for k in range(500):
+        t = list(base)
+        for at in rnd.sample(range(150), 4 + k % 9):
+            t[at] = f"new{rnd.random()}"
+        texts.append(" ".join(t))
+    seen = []
+    real = near_dups.cluster_pairs
+    near_dups.cluster_pairs = lambda *a, **b: seen.append(x := near_dups.cut(real(*a, **b))) or x
+    try:
+        near_dups.jaccard_components(docs(spark, texts), width=3, p=9, q=10).count()
+    finally:
+        near_dups.cluster_pairs = real
+    assert len(seen) == 1 and seen[0].count() < 500  # of 125,000
+
+
 def test_near_dups_odd(spark):
     assert near_dups.jaccard_components(empty(spark)).count() == 0
     got = {r.id: r.component_id for r in near_dups.jaccard_components(odd(spark)).collect()}
@@ -157,7 +225,9 @@ def test_sketches_bound_the_difference():
         assert parity.hamming(parity.sketch(x), parity.sketch(y)) <= differ
         bands = parity.Bands(9, 10)
         if differ <= bands.differ(len(x) + len(y)) and n >= 200:
-            assert set(bands.keys(x).tolist()) & set(bands.keys(y).tolist())
+            for (a_keys, a_spare), (b_keys, b_spare) in zip(bands.keys(x), bands.keys(y), strict=False):
+                same = set(a_keys.tolist()) & set(b_keys.tolist())
+                assert len(same) > min(a_spare, b_spare)
 
 
 def test_components(spark):
