@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, exact_dedup, mixing, near_dups, toxicity
-from leafmill.llm.common import shared_dir
+from leafmill.llm.common import cut, shared_dir, utf8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts (five words, 0.8) the smallest document."""
-    ids = near_dups.jaccard_components(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    found = near_dups.jaccard_components(docs).where("first").groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.count(F.lit(1)).alias("__n"))
+    found = cut(found)
+    mine = docs.withColumn("__own", F.xxhash64(utf8())).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.__id")) & (F.col("d.__own") == F.col("k.__th"))
+    kept = mine.join(found.select("__id", "__th").alias("k"), same, "left_semi")
+    if found.where("__n > 1").take(1):  # rows that repeat both are one document
+        kept = kept.dropDuplicates(["doc_id", "__own"])
+    return kept.drop("__own")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
