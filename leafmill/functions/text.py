@@ -111,16 +111,22 @@ def page_json_name(path, page) -> Column:
     return F.concat(F.lit("pages/"), file_base(base), F.lit("-p"), F.lpad(col(page).cast("string"), 4, "0"), F.lit(".json"))
 
 
-#: Characters that scanners confuse, by format (fixed values).
+#: Characters that scanners confuse, by format, and what they are taken for; with ``?`` they stay and are only noted (fixed values).
 CONFUSED = {
-    "number": ("OolISsBZzT", "0011558227"),
-    "date": ("OolISs", "001155"),
-    "currency": ("OolISsB", "0011558"),
-    "id_card": ("OolISsBZz", "001155822"),
-    "phone": ("OolI", "0011"),
-    "email": ("Oo", "00"),
-    "text": ("", ""),
-}
+    "number": {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "T": "7"},
+    "date": {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s": "5"},
+    "currency": {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s": "5", "B": "8"},
+    "id_card": {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"},
+    "phone": {"O": "0", "o": "0", "l": "1", "I": "1"},
+    "email": {"O": "0", "o": "0"},
+    "text": {
+        "S": "E?", "E": "S?", "K": "X?", "X": "K?",
+        "D": "O?", "O": "D?", "C": "G?", "G": "C?",
+        "B": "8?", "8": "B?",
+        "0": "O?", "1": "I?", "2": "Z?", "5": "S?",
+        "I": "1?", "l": "1?",
+    },
+}
 #: Words in a format hint that choose the format, in the order of the tests (fixed values).
 HINTS = [
     ("date", ("date", "yyyy", "mm-dd")),
@@ -133,24 +139,45 @@ HINTS = [
 ]
 
 
-def format_of(hint) -> Column:
-    """Which format a hint asks for; by substring, so that "width" asks for an identity number."""
+def format_of(hint, kind=None) -> Column:
+    """Which format a hint asks for, or ``kind`` says; the first test that either passes.
+
+    Hints are read by substring, so that "width" asks for an identity number.
+    """
     h = F.lower(blank(hint))
+    given = F.lit("") if kind is None else blank(kind)
     out = F.lit(None).cast("string")
     for name, words in reversed(HINTS):
-        out = F.when(reduce(lambda a, b: a | b, [h.contains(w) for w in words]), F.lit(name)).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, [h.contains(w) for w in words], given == name), F.lit(name)).otherwise(out)
     return out
 
 
-def correct_characters(value, hint) -> Column:
-    """Confused characters put right by format, then trimmed of white space and of ``. , ; :`` at the ends."""
-    v, kind = blank(value), format_of(hint)
-    out = v
-    for name, (bad, good) in CONFUSED.items():
-        if bad:
-            fixed = F.translate(v, bad, good)
-            out = F.when(kind == name, dashes(fixed) if name == "date" else fixed).otherwise(out)
-    return F.regexp_replace(F.trim(out), r"^[.,;:]+|[.,;:]+$", "")
+def corrected_characters(value, hint, kind=None) -> Column:
+    """``corrected`` and the notes ``corrections``: confused characters by format, white space, punctuation at the ends."""
+    v, form = blank(value), format_of(hint, kind)
+    dashed = F.when(form == "date", dashes(v)).otherwise(v)
+    fixed, noted = dashed, F.array().cast("array<string>")
+    for name, table in CONFUSED.items():
+        sure = {a: b for a, b in table.items() if not b.endswith("?")}
+        if sure:
+            fixed = F.when(form == name, F.translate(dashed, "".join(sure), "".join(sure.values()))).otherwise(fixed)
+        says = {a: f"'{a}' might be '{b[:-1]}' (uncertain)" if b.endswith("?") else f"'{a}' -> '{b}'" for a, b in table.items()}
+        known = F.create_map(*[F.lit(x) for kv in says.items() for x in kv])
+        each = F.array_compact(F.transform(F.split(dashed, ""), lambda c: F.try_element_at(known, c)))  # noqa: B023
+        noted = F.when(form == name, each).otherwise(noted)
+    bare = F.regexp_replace(fixed, r"^[\s﻿ ]+|[\s﻿ ]+$", "")
+    clean = F.regexp_replace(bare, r"^[.,;:]+|[.,;:]+$", "")
+    notes = F.concat(
+        F.array(F.when(dashed != v, F.lit("normalized date separators"))),
+        noted,
+        F.array(F.when(bare != fixed, F.lit("trimmed whitespace")), F.when(clean != bare, F.lit("removed punctuation artifacts"))),
+    )
+    return F.struct(clean.alias("corrected"), F.array_compact(notes).alias("corrections"))
+
+
+def correct_characters(value, hint, kind=None) -> Column:
+    """The value of :func:`corrected_characters` without its notes."""
+    return corrected_characters(value, hint, kind)["corrected"]
 
 
 def response_text(text, reasoning) -> Column:

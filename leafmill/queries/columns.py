@@ -36,16 +36,45 @@ def text_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.comparable(x).alias("comparable"), text.canonical(x).alias("canonical"), text.evidence_key(x).alias("evidence"))
 
 
-@query("""
-SELECT c_custkey, CASE c_custkey % 4
-  WHEN 0 THEN translate(c_name, 'OolISsBZzT', '0011558227') WHEN 1 THEN replace(translate(c_name, 'OolISs', '001155'), '/', '-')
-  WHEN 2 THEN translate(c_name, 'Oo', '00') ELSE c_name END AS corrected
-FROM customer
+_SHOWN = "CASE c_custkey % 5 WHEN 1 THEN ' 1/' || c_name || 'l;' WHEN 3 THEN 'SKy 8l,' ELSE c_name END"
+
+
+@query(f"""
+WITH v AS (SELECT c_custkey, c_custkey % 5 AS k, {_SHOWN} AS v FROM customer),
+c AS (SELECT c_custkey, k, v, CASE k
+  WHEN 0 THEN translate(v, 'OolISsBZzT', '0011558227') WHEN 1 THEN replace(translate(v, 'OolISs', '001155'), '/', '-')
+  WHEN 2 THEN translate(v, 'Oo', '00') ELSE v END AS c,
+  string_split(v, '') AS chars FROM v),
+n AS (SELECT *, [y FOR y IN [CASE k
+  WHEN 0 THEN CASE WHEN contains('OolISsBZzT', x) THEN '''' || x || ''' -> ''' || translate(x, 'OolISsBZzT', '0011558227') || '''' END
+  WHEN 1 THEN CASE WHEN contains('OolISs', x) THEN '''' || x || ''' -> ''' || translate(x, 'OolISs', '001155') || '''' END
+  WHEN 2 THEN CASE WHEN contains('Oo', x) THEN '''' || x || ''' -> ''0''' END
+  WHEN 3 THEN CASE WHEN contains('SEKXDOCGB80125Il', x) THEN '''' || x || ''' might be ''' || translate(x, 'SEKXDOCGB80125Il', 'ESXKODGC8BOIZS11') || ''' (uncertain)' END
+  ELSE NULL END FOR x IN chars] IF y IS NOT NULL] AS notes FROM c)
+SELECT c_custkey, regexp_replace(regexp_replace(trim(c), '^[.,;:]+', ''), '[.,;:]+$', '') AS corrected,
+  array_to_string(list_concat(list_concat(CASE WHEN k = 1 AND contains(v, '/') THEN ['normalized date separators'] ELSE [] END, notes),
+    list_concat(CASE WHEN trim(c) <> c THEN ['trimmed whitespace'] ELSE [] END,
+      CASE WHEN regexp_matches(trim(c), '^[.,;:]|[.,;:]$') THEN ['removed punctuation artifacts'] ELSE [] END)), '|') AS corrections
+FROM n
 """)
 def ocr_char_correction(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    hint = F.when(k == 0, "number").when(k == 1, "yyyy/mm/dd").when(k == 2, "email").otherwise("text")
-    return table(spark, sf_dir, "customer").select("c_custkey", text.correct_characters("c_name", hint).alias("corrected"))
+    k = F.col("c_custkey") % 5
+    hint = F.when(k == 0, "number").when(k == 1, "yyyy/mm/dd").when(k == 2, "email").when(k == 3, "company").otherwise("")
+    fixed = text.corrected_characters(F.expr(_SHOWN), hint)
+    return table(spark, sf_dir, "customer").select("c_custkey", fixed["corrected"].alias("corrected"), F.array_join(fixed["corrections"], "|").alias("corrections"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, ['已付 未收', '牛午', 'no letters 1', '天王田甲', '貝准侯', '己末', '淮候見'][CAST(s_suppkey % 7 AS INT) + 1] AS t FROM supplier),
+p(place, a, b) AS (VALUES (1,'已','己'),(2,'未','末'),(3,'日','曰'),(4,'土','士'),(5,'千','干'),(6,'人','入'),(7,'八','入'),(8,'大','太'),(9,'天','夫'),(10,'王','玉'),
+  (11,'甲','由'),(12,'田','由'),(13,'牛','午'),(14,'午','牛'),(15,'貝','見'),(16,'見','貝'),(17,'准','淮'),(18,'淮','准'),(19,'侯','候'),(20,'候','侯'))
+SELECT s_suppkey, coalesce(string_agg('Chinese confusion: "' || a || '" present, could be "' || b || '"', '|' ORDER BY place), '') AS warnings
+FROM s LEFT JOIN p ON contains(t, a) GROUP BY s_suppkey
+""")
+def chinese_confusion(spark, sf_dir):
+    texts = F.array(*[F.lit(x) for x in ("已付 未收", "牛午", "no letters 1", "天王田甲", "貝准侯", "己末", "淮候見")])
+    shown = F.element_at(texts, (F.col("s_suppkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(validate.confusable(shown), "|").alias("warnings"))
 
 
 @query(r"""
@@ -90,13 +119,18 @@ def page_range_cases(spark, sf_dir):
     return r.select("text", F.array_join(F.col("r.pages").cast("array<string>"), ",").alias("pages"), F.col("r.error").isNotNull().alias("wrong"))
 
 
+_EXTENSIONS = ("", ".PDF", ".png", ".jpg", ".JPEG", ".webp", ".gif", ".mp4", ".mpeg", ".mov", ".avi", ".flv", ".mpg", ".webm", ".wmv", ".3gpp", ".bmp", ".mkv")
+
+
 @query("""
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'video' WHEN 3 THEN 'image' ELSE 'unknown' END AS media_type,
-  CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime FROM pages
+WITH t(k, media_type, mime) AS (VALUES (0, 'unknown', 'application/octet-stream'), (1, 'pdf', 'application/pdf'), (2, 'image', 'image/png'), (3, 'image', 'image/jpeg'), (4, 'image', 'image/jpeg'),
+  (5, 'image', 'image/webp'), (6, 'image', 'image/gif'), (7, 'video', 'video/mp4'), (8, 'video', 'video/mpeg'), (9, 'video', 'video/quicktime'), (10, 'video', 'video/x-msvideo'), (11, 'video', 'video/x-flv'),
+  (12, 'video', 'video/mpeg'), (13, 'video', 'video/webm'), (14, 'video', 'video/x-ms-wmv'), (15, 'video', 'video/3gpp'), (16, 'unknown', 'application/octet-stream'), (17, 'unknown', 'application/octet-stream'))
+SELECT page_id, media_type, mime FROM pages JOIN t ON page_id % 18 = k
 """)
 def media_types(spark, sf_dir):
-    k = F.col("page_id") % 5
-    p = table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("/x.y/f"), F.when(k == 0, ".PDF").when(k == 1, ".png").when(k == 2, ".mp4").when(k == 3, ".JPG").otherwise("")))
+    end = F.element_at(F.array(*[F.lit(e) for e in _EXTENSIONS]), (F.col("page_id") % 18 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("/x.y/f"), end))
     return p.select("page_id", media_type("path").alias("media_type"), mime("path").alias("mime"))
 
 

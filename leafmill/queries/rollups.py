@@ -175,19 +175,22 @@ def two_source_entropy(spark, sf_dir):
     return p.select("p_partkey", F.round(consensus.two_source_entropy(F.col("p_name"), b, c, F.lit("high")), 9).alias("entropy"))
 
 
-_STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'expired' ELSE 'in_progress' END"
+_STATUS = """CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'expired'
+  WHEN 'error' THEN ['failed', 'error', 'cancelled'][CAST(event_id % 3 AS INT) + 1] ELSE ['in_progress', 'queued', 'validating', 'finalizing', 'cancelling'][CAST(event_id % 5 AS INT) + 1] END"""
 
 
 def job_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    s = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "expired").otherwise("in_progress")
+    ended = F.element_at(F.array(*map(F.lit, ("failed", "error", "cancelled"))), (F.col("event_id") % 3 + 1).cast("int"))
+    going = F.element_at(F.array(*map(F.lit, ("in_progress", "queued", "validating", "finalizing", "cancelling"))), (F.col("event_id") % 5 + 1).cast("int"))
+    s = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "signup", "expired").when(F.col("event_type") == "error", ended).otherwise(going)
     return e.select(F.col("user_id").cast("string").alias("batch_id"), F.col("ts").cast("timestamp").alias("ts"), s.alias("status"), F.col("event_id"))
 
 
 @query(f"""
 WITH l AS (SELECT user_id, arg_max({_STATUS}, event_id) AS status FROM events GROUP BY 1)
-SELECT count(*) AS jobs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'in_progress') AS in_progress,
-  count(*) FILTER (status IN ('failed', 'expired')) AS failed, count(*) FILTER (status = 'expired') AS expired FROM l
+SELECT count(*) AS jobs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status IN ('queued', 'in_progress', 'validating')) AS in_progress,
+  count(*) FILTER (status IN ('failed', 'error', 'expired', 'cancelled')) AS failed, count(*) FILTER (status = 'expired') AS expired FROM l
 """)
 def batch_status_rollup(spark, sf_dir):
     return jobs.status_rollup(jobs.latest_status(job_events(spark, sf_dir), ["event_id"]))

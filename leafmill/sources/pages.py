@@ -15,13 +15,26 @@ from leafmill.functions.text import blank, response_text
 from leafmill.functions.tokens import media_chunks
 from leafmill.schemas import RESPONSES
 
-IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp")
-VIDEOS = (".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv", ".wmv", ".m4v", ".mpeg")
+#: Extensions that are images and videos (fixed values).
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".gif")
+VIDEOS = (".mp4", ".mpeg", ".mov", ".avi", ".flv", ".mpg", ".webm", ".wmv", ".3gpp")
 #: Types by extension (fixed values).
 MIME = {
-    ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".bmp": "image/bmp", ".gif": "image/gif",
-    ".pdf": "application/pdf", ".mp4": "video/mp4", ".avi": "video/x-msvideo", ".mov": "video/quicktime", ".mkv": "video/x-matroska", ".webm": "video/webm",
-}
+    ".png": "image/png",
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
+    ".webp": "image/webp",
+    ".gif": "image/gif",
+    ".mp4": "video/mp4",
+    ".mpeg": "video/mpeg",
+    ".mov": "video/quicktime",
+    ".avi": "video/x-msvideo",
+    ".flv": "video/x-flv",
+    ".mpg": "video/mpeg",
+    ".webm": "video/webm",
+    ".wmv": "video/x-ms-wmv",
+    ".3gpp": "video/3gpp",
+}
 
 
 def extension(path) -> Column:
@@ -29,14 +42,19 @@ def extension(path) -> Column:
 
 
 def media_type(path, override=None) -> Column:
+    """By extension; an override other than ``auto`` is taken as it is."""
     e = extension(path)
     auto = F.when(e == ".pdf", "pdf").when(e.isin(*IMAGES), "image").when(e.isin(*VIDEOS), "video").otherwise("unknown")
-    return auto if override is None else F.when(F.col(override).isin("pdf", "image", "video"), F.col(override)).otherwise(auto)
+    if override is None:
+        return auto
+    given = blank(override)
+    return F.when((given != "") & (given != "auto"), given).otherwise(auto)
 
 
 def mime(path) -> Column:
     table = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("application/octet-stream"))
+    known = F.coalesce(F.try_element_at(table, extension(path)), F.lit("application/octet-stream"))
+    return F.when(media_type(path) == "pdf", F.lit("application/pdf")).otherwise(known)
 
 
 def is_image(path) -> Column:

@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DONE, FAILED = ("completed",), ("failed", "expired", "cancelled")
-PENDING = ("validating", "in_progress", "finalizing", "cancelling")
+#: States by what they mean for a wait (fixed values); others, such as finalizing, mean none of these.
+DONE, FAILED = ("completed",), ("failed", "error", "expired", "cancelled")
+PENDING = ("queued", "validating", "in_progress")
 
 
-def is_pending(status: Column) -> Column:
-    return status.isin(*PENDING)
+def is_pending(status: Column, flag: Column | None = None) -> Column:
+    """Still to be waited for; ``flag`` is what the service itself may say."""
+    known = F.coalesce(status.isin(*PENDING), F.lit(False))
+    return known if flag is None else F.coalesce(flag, F.lit(False)) | known
 
 
 def latest_status(events: DataFrame, extra: list[str] | None = None) -> DataFrame:
