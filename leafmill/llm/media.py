@@ -176,5 +176,5 @@ def fill_features(index: DataFrame) -> DataFrame:
 
 
 def op9_media(spark, sf_dir):
-    full = fill_features(store(documents(spark, sf_dir)))
-    return full.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    full = fill_features(fill_metadata(store(documents(spark, sf_dir))))
+    return full.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "colour")

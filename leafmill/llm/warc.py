@@ -33,7 +33,7 @@ def digest32(data: bytes) -> str:
 
 def record_bytes(page: int | None, url: str | None, payload: bytes, refers: int | None, date: str) -> bytes:
     """A response record, or a revisit of the page ``refers`` without the payload."""
-    uri = re.sub(r"[\x00-\x20\x7f-￿]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "replace")), url or "") or f"{IDENTITY}{page}"
+    uri = re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "replace")), url or "") or f"{IDENTITY}{page}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers is not None else http + payload
     head = [
