@@ -22,7 +22,8 @@ from leafmill.llm.toxicity import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-REMEMBERED = 300_000
+#: Words that a worker remembers at most, and numbers for all of them together (a word has one for each language).
+REMEMBERED, CELLS = 300_000, 4_000_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -55,7 +56,7 @@ class Model:
         if not words or not self.langs:
             return "und", 0.0
         if self.matrix is None or len(self.rows) + len(words) > len(self.matrix):
-            self.rows, self.matrix = {}, np.zeros((max(REMEMBERED, len(words)), len(self.langs)))
+            self.rows, self.matrix = {}, np.zeros((max(min(REMEMBERED, CELLS // len(self.langs)), len(words)), len(self.langs)))
         at = []
         for w in words:
             i = self.rows.get(w)

@@ -1,8 +1,8 @@
 """Token counts: count the pieces of each distinct pre-token once and join to frequencies.
 
 Rows of (document, pre-token, frequency) would be several times the input, so both sides are packed
-by block. A block is a run of documents of a partition, at most ``block_bytes`` of text (or one
-longer document): it has a dictionary of its distinct pre-tokens and, for each document, the places
+by block. A block is a run of documents of a partition, at most ``block_bytes`` of text (8 to
+64 MB by the number of partitions, or one longer document): it has a dictionary of its distinct pre-tokens and, for each document, the places
 and frequencies in that dictionary. The dictionaries, cut by a hash of the pre-token, are shuffled
 by that hash; there each distinct pre-token is counted once, by the library, and the counts return
 to their blocks as arrays, where they are multiplied with the frequencies and summed. No ids are kept.
@@ -115,7 +115,7 @@ BLOCK = pa.schema(
 BLOCK_DDL = "block string, keys array<long>, n_bytes array<long>, specials array<long>, distinct binary, places binary, times binary, asks array<struct<part:int,lengths:binary,bytes:binary>>"
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """``id, n_bytes, n_tokens`` per row: what the tokenizers library counts for the whole text.
 
     No begin, end or other special tokens are added; those spelled out in a text count one each, as
@@ -123,6 +123,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     null identifiers pass through, an empty table gives none, other columns are not read.
     """
     spark = docs.sparkSession
+    if block_bytes is None:  # with more parts larger blocks, so that a block's share in a part doesn't shrink to nothing
+        block_bytes = min(64, max(8, parallel(spark) // 32)) << 20
     said, added = read_spec(tokenizer_path)
     special = "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True) if a) or None
     parts = parallel(spark, 16)
