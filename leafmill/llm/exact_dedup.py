@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, parallel
 
 ENTRY = ["digest", "n_bytes", "second"]
 
@@ -51,16 +51,21 @@ def merge_round(level: DataFrame, fanout: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", runs: int = 64, fanout: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", runs: int | None = None, fanout: int = 8) -> DataFrame:
     """Return ``id, keep_id, group_size, kept, text_sha256``, one row per input row.
 
-    ``keep`` is ``min`` or ``max``: which identifier of equal texts stays. Texts are compared as
+    ``keep`` is ``min`` or ``max``: which identifier of equal texts stays. There are as many ``runs``, a
+    power of ``fanout``, as a shuffle has partitions, so that a task gets one run's share of a hot text. Texts are compared as
     they are; a null text counts as the empty one. Rows that repeat an identifier and its text are
     all marked kept, if that identifier is; a null identifier stays only where all of its group are
     null. An empty table gives an empty result; other columns are not looked at.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
+    if runs is None:
+        least, runs = parallel(docs.sparkSession, 64), fanout
+        while runs < least:
+            runs *= fanout
     base = cut(digests(docs, key, text, keep, runs))
     levels = [base.groupBy("run", *ENTRY).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("copies"))]
     width = runs

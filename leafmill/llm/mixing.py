@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, documents
+from leafmill.llm.common import cut, documents, utf8
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,7 +82,8 @@ def reached(schedule: list[float]) -> list[float]:
 
 def running_offsets(rows: DataFrame) -> DataFrame:
     """Add ``offset``: the sizes of the rows of the same source that come before, in hash order."""
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    own = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("th").cast("string")))
+    rows = rows.withColumn("h", F.md5(own))
     rows = rows.withColumn("b1", F.substring("h", 1, 3)).withColumn("b2", F.substring("h", 4, 3))
     leaf = rows.groupBy("source", "b1", "b2").agg(F.sum("size").alias("s"))
     top = leaf.groupBy("source", "b1").agg(F.sum("s").alias("s"))
@@ -97,20 +98,20 @@ def running_offsets(rows: DataFrame) -> DataFrame:
         .join(top.alias("t"), [F.col("l.source").eqNullSafe(F.col("t.source")), F.col("l.b1").eqNullSafe(F.col("t.b1"))])
         .select("l.source", "l.b1", "l.b2", (F.col("o1") + F.col("o2")).alias("o"))
     )
-    inside = Window.partitionBy("source", "b1", "b2").orderBy(F.col("h").asc_nulls_last(), F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "b1", "b2").orderBy(F.col("h").asc_nulls_last(), F.col("id").asc_nulls_last(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("o3", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return (
         rows.alias("r")
         .join(leaf.alias("l"), [F.col("r.source").eqNullSafe(F.col("l.source")), F.col("r.b1").eqNullSafe(F.col("l.b1")), F.col("r.b2").eqNullSafe(F.col("l.b2"))])
-        .select("r.id", "r.source", "r.size", (F.col("o") + F.col("o3")).alias("offset"))
+        .select("r.id", "r.source", "r.size", "r.th", (F.col("o") + F.col("o3")).alias("offset"))
     )
 
 
 def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: list[int] | None = None, most: int = 3, schedules: list[list[float]] | None = None) -> DataFrame:
-    """What ``mix`` says of each document but its position, and what positions are made of."""
+    """What ``mix`` says of each document but its position, and what positions are made of; ``th`` is the text's hash."""
     weights = weights or [1, 2, 3]
     schedules = schedules or [[1.0, 1.0], [1.5, 1.0, 0.5], [0.5, 1.0, 1.5]]
-    rows = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    rows = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(utf8(text)).alias("th")))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(schedules))) + 1
 
@@ -121,7 +122,7 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     plan = plan.withColumn("schedule", F.element_at(table(schedules), F.col("turn")))
     plan = cut(plan.withColumn("reached", F.element_at(table([reached(s) for s in schedules]), F.col("turn"))).drop("turn"))
     placed = running_offsets(rows)
-    both = placed.alias("p").join(plan.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("id", "p.source", "size", "offset", "source_size", "target", "schedule", "reached")
+    both = placed.alias("p").join(plan.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("id", "p.source", "size", "th", "offset", "source_size", "target", "schedule", "reached")
     stop = F.floor(F.col("target") + 0.5).cast("long")
     taken = copies = F.lit(0).cast("long")
     for k in range(most):
@@ -141,7 +142,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     pass), ``position`` the time at which the first of them is due. ``schedules`` belong to the
     sources in turn, as ``weights`` do; each is scaled to the source's target.
 
-    Nulls: a text has no words, a source is one more source, an identifier comes last. Rows that
+    Nulls: a text has no words, a source is one more source, an identifier gets its place from the text. Rows that
     repeat an identifier are counted each; equal rows get offsets in either order. Empty tables give
     an empty result, and other columns are not looked at.
     """
