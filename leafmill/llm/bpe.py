@@ -10,20 +10,26 @@ wait in a heap by rank and place, and the lowest is applied until none is left.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import uuid
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import documents, small_batches, utf8
+from leafmill.llm.common import Remembered, documents, small_batches, utf8
 from leafmill.llm.pretokens import Cutter
 
-#: Chunks, and pre-tokens outside the vocabulary, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_PIECES = 150_000, 400_000
+#: Chunks in each of the two generations that a worker remembers.
+REMEMBERED = 100_000
+#: Bytes and rows that are encoded together, unless one text alone is longer.
+TOGETHER, TOGETHER_ROWS = 16 << 20, 20_000
 _64 = (1 << 64) - 1
 _SECOND, _THIRD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -33,6 +39,7 @@ class PerfectHash:
 
     def __init__(self, ids: dict[bytes, int]):
         n = self.n = max(1, len(ids))
+        self.shifts: np.ndarray | None = None
         self.buckets = max(1, n // 3)
         dealt: dict[int, list[tuple[int, bytes]]] = {}
         for key in ids:
@@ -67,10 +74,18 @@ class PerfectHash:
 
     def get(self, key: bytes) -> int:
         """The id, or -1 for what isn't in the vocabulary."""
-        h = xxhash.xxh3_64_intdigest(key)
-        d = self.shift[h % self.buckets]
-        p = -d - 1 if d < 0 else self._place(h, d)
-        return self.ids[p] if self.keys[p] == key else -1
+        return self.get_all([key])[0]
+
+    def get_all(self, keys: list[bytes]) -> list[int]:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+        if self.shifts is None:
+            self.shifts = np.array(self.shift, np.int64)
+        d = self.shifts[(h % np.uint64(self.buckets)).astype(np.int64)]
+        x = h + d.astype(np.uint64) * np.uint64(_SECOND)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(_THIRD)
+        places = np.where(d < 0, -d - 1, ((x >> np.uint64(20)) % np.uint64(self.n)).astype(np.int64)).tolist()
+        known, ids = self.keys, self.ids
+        return [ids[p] if known[p] == key else -1 for p, key in zip(places, keys, strict=True)]
 
 
 def merge_bytes(piece: bytes, rank) -> list[int]:
@@ -105,39 +120,97 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash):
         self.rank, self.whole, self.cut = ranks.get, whole, Cutter(pattern)
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for key, i in ranks.items():
-            self.bytes_of[i] = key
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.merged: dict[bytes, tuple[int, ...]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        for piece in self.cut.pieces(chunk):
-            raw = piece.encode("utf-8")
-            got = self.merged.get(raw)
-            if got is not None:
-                ids += got
-            elif (i := self.whole.get(raw)) >= 0:
-                ids.append(i)
-            else:
-                if len(self.merged) >= REMEMBERED_PIECES:
-                    self.merged.clear()
-                got = self.merged[raw] = tuple(merge_bytes(raw, self.rank))
-                ids += got
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = self.known[chunk] = (tuple(ids), " ".join(map(str, ids)))
-        return found
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same as decimals with single spaces between."""
+            bytes_of[i] = key
+        self.bytes_of = pa.array(bytes_of, pa.large_binary())
+        self.decimals = pa.array([f"{i} " for i in range(len(bytes_of))], pa.large_string())
+        self.known = Remembered(REMEMBERED)
+
+    def _pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of distinct pre-tokens: whole entries, and merges for the others."""
+        rank = self.rank
+        return [(i,) if i >= 0 else tuple(merge_bytes(p, rank)) for p, i in zip(pieces, self.whole.get_all(pieces), strict=True)]
+
+    def _chunks(self, chunks: list[bytes], times: list[int]) -> list[tuple[int, ...]]:
+        """The ids of distinct chunks; those that occur more than once are remembered."""
         get = self.known.get
-        found = [get(c) or self._chunk(c) for c in self.cut.chunks(text)]
-        return [i for ids, _ in found for i in ids], " ".join([s for _, s in found])
+        found = [get(raw) for raw in chunks]
+        new, parts, place = [], [], {}
+        for k, raw in enumerate(chunks):
+            if found[k] is None:
+                new.append(k)
+                parts.append([place.setdefault(p, len(place)) for p in self.cut.raw_pieces(raw)])
+        ids = self._pieces(list(place))
+        for k, at in zip(new, parts, strict=True):
+            mine = found[k] = ids[at[0]] if len(at) == 1 else tuple(i for x in at for i in ids[x])
+            if times[k] > 1:
+                self.known.put(chunks[k], mine)
+        return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def encode(self, bodies: list[bytes]) -> Encoded:
+        """Encode texts together: each distinct chunk of them is looked up once."""
+        bodies, cuts = list(bodies), {}
+        for k, raw in enumerate(bodies):
+            parts = self.cut.apart(raw.decode("utf-8"))
+            if parts is not None:
+                parts = [x.encode("utf-8") for x in parts]
+                cuts[k] = np.cumsum([0, *map(len, parts[:-1])])
+                bodies[k] = b"".join(parts)  # less than the text where the pattern passes over some of it
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        ends = np.cumsum([len(x) for x in bodies], dtype=np.int64)
+        begins = np.append(0, ends[:-1]).astype(np.int64)
+        first = data == 32  # a chunk begins with each space, and with a text
+        first[begins[ends > begins]] = True
+        for k, at in cuts.items():
+            first[begins[k] : ends[k]] = False
+            if len(bodies[k]):
+                first[begins[k] + at] = True
+        starts = np.flatnonzero(first)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        at = coded.indices.to_numpy()
+        known = self._chunks(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        flat = pa.array(np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum())))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes))), flat)
+        ids = lists.take(coded.indices).flatten()
+        before = np.append(0, np.cumsum(sizes[at]))
+        return Encoded(ids, before[np.append(np.searchsorted(starts, begins), len(starts))])
+
+    def written(self, got: Encoded) -> list[memoryview]:
+        """For each text the ids as decimals with single spaces between."""
+        return _texts(self.decimals.take(got.ids), got.offsets, 1)
+
+    def decode(self, got: Encoded) -> list[memoryview]:
+        """For each text the bytes that its ids stand for."""
+        return _texts(self.bytes_of.take(got.ids), got.offsets, 0)
+
+
+@dataclass
+class Encoded:
+    """The ids of texts one after the other; ``offsets[k]`` to ``offsets[k + 1]`` are text k's."""
+
+    ids: pa.Array
+    offsets: np.ndarray
+
+
+def _texts(entries: pa.Array, offsets: np.ndarray, spare: int) -> list[memoryview]:
+    """The bytes of the entries between offsets, less ``spare`` at the end where there are any."""
+    if not len(entries):
+        return [memoryview(b"")] * (len(offsets) - 1)
+    ends = np.frombuffer(entries.buffers()[1], np.int64)[offsets]
+    body = memoryview(entries.buffers()[2])
+    return [body[a : max(a, b - spare)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def utf8_only(raw: bytes) -> bytes:
+    """The bytes, with U+FFFD for what isn't UTF-8."""
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode("utf-8")
+    return raw
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,18 +240,30 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
         if codec is None:  # one for each Python worker and call
             _codecs.clear()
             codec = _codecs[name] = Codec(*shared.value)
-        for batch in batches:
-            rows = []
-            for raw in batch.column(1):
-                got, written = codec.encode(raw.as_py().decode("utf-8", "replace"))
-                rows.append((len(got), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(codec.decode(got)).hexdigest(), got if ids else None))
-            n, a, b, c = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+
+        def encoded(keys, bodies):
+            gc.disable()  # nothing here makes cycles, and scanning what is remembered would cost more than the rest
+            got = codec.encode(bodies)
+            sha = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (codec.written(got), codec.decode(got))]
+            columns = [pa.array(keys, pa.int64()), pa.array(np.diff(got.offsets), pa.int64()), *sha]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns.append(pa.array(c, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(got.offsets, pa.int32()), got.ids))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            gc.enable()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        keys, bodies, held = [], [], 0
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(key)
+                bodies.append(utf8_only(raw.as_py()))
+                held += len(bodies[-1])
+                if held >= TOGETHER or len(keys) >= TOGETHER_ROWS:
+                    yield encoded(keys, bodies)
+                    keys, bodies, held = [], [], 0
+        if keys:
+            yield encoded(keys, bodies)
 
     small_batches(spark)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

@@ -47,6 +47,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Remembered:
+    """A bounded memory in two generations: what was used since the last turn outlives the next one."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -73,3 +95,16 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", row_by
     """Join a table that has been cut: broadcast if its rows are counted to fit ``most`` bytes, else shuffled."""
     small = right.count() * row_bytes <= most
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of the columns' (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole(df: DataFrame, name: str = "row"):
+    """All columns as one struct, in which no name clashes with a helper column's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
