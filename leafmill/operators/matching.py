@@ -15,9 +15,15 @@ from leafmill.functions.text import blank, comparable, dashes, evidence_key, or_
 SHORT_LIST = 10_000
 
 
-def with_list(rows: DataFrame, listed: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join to a caller's list; beyond :data:`SHORT_LIST` rows it is shuffled like any table."""
-    return rows.join(F.broadcast(listed) if listed.limit(SHORT_LIST + 1).count() <= SHORT_LIST else listed, on, how)
+def with_list(rows: DataFrame, listed: DataFrame, on, how: str = "inner", keyed: bool = False) -> DataFrame:
+    """Join to a caller's list: broadcast if it is counted to be short, else shuffled if the condition is ``keyed``, an equality.
+
+    A longer list without one would be a cross join of two large tables, which is refused.
+    """
+    short = listed.limit(SHORT_LIST + 1).count() <= SHORT_LIST
+    if not short and not keyed:
+        raise ValueError(f"a list of more than {SHORT_LIST} rows needs an equality to join by")
+    return rows.join(F.broadcast(listed) if short else listed, on, how)
 
 
 def either_contains(a: Column, b: Column) -> Column:
@@ -127,7 +133,7 @@ def resolve_targets(relationships: DataFrame, entities: DataFrame) -> DataFrame:
 
 def read_members(fields: DataFrame, specs: DataFrame, key: list[str]) -> DataFrame:
     """A value by exact name, else by the name in any case."""
-    exact = fields.select(*key, F.col("name").alias("spec"), F.col("value").alias("exact"))
+    exact = fields.groupBy(*key, F.col("name").alias("spec")).agg(F.min_by("value", "idx").alias("exact"))  # the first of a name that repeats
     loose = fields.groupBy(*key, F.lower("name").alias("l")).agg(F.min_by("value", "idx").alias("loose"))
     every = with_list(fields.select(*key).distinct(), specs.select(F.col("name").alias("spec")), F.lit(True)).withColumn("l", F.lower("spec"))
     return every.join(exact, [*key, "spec"], "left").join(loose, [*key, "l"], "left").select(*key, "spec", F.coalesce("exact", "loose").alias("value"))
@@ -202,8 +208,13 @@ def contains_joins(lines: DataFrame, values: DataFrame, line: str, value: str, g
     def heads(g: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__line") - g + 1, F.lit(1))), lambda i: F.substring(F.col("__line"), i, F.lit(g)))
 
-    grams = t.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[heads(g) for g in sizes])))).alias("__head"))
-    return grams.join(v, "__head").where(F.col("__line").contains(F.col("__value"))).drop("__head", "__g")
+    # only distinct lines' names and grams are shuffled; their texts come back for the pairs that are left
+    told = t.withColumn("__told", F.xxhash64("__line"))
+    grams = told.select("__told", F.explode(F.array_distinct(F.flatten(F.array(*[heads(g) for g in sizes])))).alias("__head")).distinct()
+    v = v.withColumn("__v", F.xxhash64("__value"))
+    maybe = grams.join(v.select("__head", "__v").distinct(), "__head").select("__told", "__v").distinct()
+    both = told.join(maybe, "__told").join(v, "__v")
+    return both.where(F.col("__line").contains(F.col("__value"))).drop("__head", "__g", "__told", "__v")
 
 
 def find_evidence(values: DataFrame, first: DataFrame, full: DataFrame, parsed: DataFrame, key: list[str]) -> DataFrame:

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import or_, rank_of
+from leafmill.functions.text import blank, comparable, or_, rank_of
 from leafmill.functions.tokens import js_round
 from leafmill.operators.normalize import explode_list
+from leafmill.shared import running_before
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order.
+
+    In the order of columns that is the row with the least of these, found by an aggregate that combines
+    before the shuffle; only other orders need a key's rows together.
+    """
+    rest = [f"`{c}`" for c in rows.columns if c not in keys]
+    if rest and all(isinstance(o, str) for o in order):
+        first = F.min_by(F.struct(*rest), F.struct(*order))
+        return rows.groupBy(*keys).agg(first.alias("__first")).select(*keys, "__first.*").select(*[f"`{c}`" for c in rows.columns])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
@@ -66,8 +76,7 @@ def documents(pages: DataFrame) -> DataFrame:
 def detected_documents(pages: DataFrame) -> DataFrame:
     """One detected document per page, numbered in the order of source and page."""
     # numbers over all pages need their counts before each source, not all rows in one task
-    per = pages.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"))
-    start = per.select("source_path", (F.coalesce(F.sum("n").over(Window.orderBy("source_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    start = running_before(pages.groupBy("source_path").agg(F.count(F.lit(1)).alias("n")), ["source_path"], F.col("n"), "before").drop("n")
     place = F.row_number().over(Window.partitionBy("source_path").orderBy("page"))
     c = F.col("classification")
     return pages.withColumn("place", place).join(start, "source_path").select(
@@ -104,9 +113,31 @@ def integrated_records(pages: DataFrame) -> DataFrame:
 
 
 def surrogate_ids(rows: DataFrame, prefix: str, given: str, order: list, keys: list[str] | None = None) -> DataFrame:
-    """``ent_00001`` and so on where the identifier is missing, numbered within ``keys`` in order."""
-    place = F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order))
-    return rows.withColumn("id", F.coalesce(F.nullif(F.col(given), F.lit("")), F.format_string(f"{prefix}_%05d", place)))
+    """``ent_00001`` and so on where the identifier is missing, numbered within ``keys`` in order.
+
+    Without ``keys`` the numbers run over all rows, counted range by range.
+    """
+    if keys:
+        numbered = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    else:
+        numbered = running_before(rows, order, F.lit(1), "__place").withColumn("__place", F.col("__place") + 1)
+    return numbered.withColumn("id", F.coalesce(F.nullif(F.col(given), F.lit("")), F.format_string(f"{prefix}_%05d", "__place"))).drop("__place")
+
+
+def reindex_entities(entities: DataFrame, key: list[str], order: list) -> DataFrame:
+    """First version: the first entity of a type and value, in any case and spelling, numbered anew."""
+    k = F.concat_ws(":", blank("type"), comparable("value"))
+    return surrogate_ids(first_wins(entities.withColumn("__k", k), [*key, "__k"], order).drop("__k").withColumn("__given", F.lit("")), "ent", "__given", order, key).drop("__given")
+
+
+def with_overrides(base: Column, *later: Column) -> Column:
+    """Maps merged, a later one's members taking the place of an earlier one's; null maps add nothing."""
+    none = F.create_map().cast("map<string,string>")
+    entries = F.concat(*[F.map_entries(F.coalesce(m, none)) for m in (base, *later)])
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    # the last entry of each key, in the order in which the keys come up first
+    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    return F.map_from_arrays(keys, F.transform(keys, value))
 
 
 def cost_rollup(costs: DataFrame, keys: list[str], rollup: bool = False) -> DataFrame:
@@ -116,11 +147,18 @@ def cost_rollup(costs: DataFrame, keys: list[str], rollup: bool = False) -> Data
 
 
 def run_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, tokens and, where the outcomes have pages and errors, ``Page n: error`` of the failed ones in order."""
+    extra = []
+    if {"page", "error"} <= set(outcomes.columns):
+        said = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": "), or_("error", F.lit("unknown error")))
+        listed = F.array_sort(F.collect_list(F.when(~F.col("success"), F.struct("page", said.alias("said")))))
+        extra.append(F.transform(listed, lambda x: x["said"]).alias("errors"))
     return outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requested"),
         F.count_if("success").alias("successful"),
         F.count_if(~F.col("success")).alias("failed"),
         F.sum(F.when(F.col("success"), F.col("tokens"))).alias("tokens"),
+        *extra,
     )
 
 
@@ -144,20 +182,27 @@ def fixed_chunks(rows: DataFrame, size: int, key: list[str], order: list) -> Dat
 def pack_by_budget(items: DataFrame, key: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Greedy packs: a new one begins where the next item would pass the budget and the pack isn't empty.
 
-    Order decides, so a key's items are folded in order; a key is one source's pages.
+    Order decides, so a key's items are one sorted stream of a partition; nothing is collected.
     """
-    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("long").alias("__t")))).alias("xs"))
-
-    def step(a, x):
-        new = (a["sum"] + x["__t"] > budget) & (a["n"] > 0)
-        pack = a["pack"] + new.cast("int")
-        row = F.struct(*[x[c].alias(c) for c in order], x["__t"].alias("tokens"), pack.alias("pack"))
-        return F.struct(pack.alias("pack"), F.when(new, x["__t"]).otherwise(a["sum"] + x["__t"]).alias("sum"), F.lit(1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
-
     kinds = dict(items.dtypes)
-    shape = f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in order)},tokens:bigint,pack:int>>"
-    zero = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast(shape).alias("out"))
-    return listed.select(key, F.explode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("p")).select(key, "p.*")
+
+    def run(batches):
+        last = pack = held = None
+        for batch in batches:
+            keys, sizes = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            packs = []
+            for k, t in zip(keys, sizes, strict=True):
+                if last is None or k != last[0]:
+                    last, pack, held, n = (k,), 0, 0, 0
+                if held + (t or 0) > budget and n:
+                    pack, held = pack + 1, 0
+                held, n = held + (t or 0), 1
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], [*batch.schema.names, "pack"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", tokens long, pack int"
+    listed = items.select(key, *order, F.col(tokens).cast("long").alias("tokens"))
+    return listed.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def video_summary(chunks: DataFrame) -> DataFrame:

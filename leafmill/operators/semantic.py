@@ -100,9 +100,9 @@ def relationships(candidates: DataFrame, entities: DataFrame, tables: DataFrame,
 
 def integrated_records(pages: DataFrame, grain: str = "page") -> DataFrame:
     """Page records, and row or transaction records if that is the grain."""
-    whole = pages.select("source_path", "page", F.concat(F.lit("page_"), F.col("page").cast("string")).alias("record_id"), F.lit("page").alias("record_type"), F.explode("candidates").alias("c"))
-    whole = whole.select("source_path", "page", "record_id", "record_type", or_("c.name", "c.label").alias("name"), F.col("c.value").alias("value"))
-    whole = whole.groupBy("source_path", "page", "record_id", "record_type", "name").agg(F.first("value").alias("value"))
+    whole = pages.select("source_path", "page", F.concat(F.lit("page_"), F.col("page").cast("string")).alias("record_id"), F.lit("page").alias("record_type"), F.posexplode("candidates").alias("place", "c"))
+    whole = whole.select("source_path", "page", "record_id", "record_type", "place", or_("c.name", "c.label").alias("name"), F.col("c.value").alias("value"))
+    whole = whole.groupBy("source_path", "page", "record_id", "record_type", "name").agg(F.min_by("value", "place").alias("value"))
     if grain not in ("row", "transaction"):
         return whole
     each = pages.select("source_path", "page", F.explode("tables").alias("t")).select("source_path", "page", F.col("t.table_id").alias("table_id"), F.explode(row_records(F.col("t.rows"))).alias("r"))

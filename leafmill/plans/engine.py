@@ -12,6 +12,7 @@ from leafmill.functions.tokens import image_tokens, strategy
 from leafmill.operators import merge
 from leafmill.operators.normalize import attention_hints, normalize_pages
 from leafmill.plans.policy import Accuracy, accuracy, document_prompt, preprocess_variants
+from leafmill.shared import cut
 from leafmill.sources.pages import PageModel, expand_pages, media_type, scan_model
 
 
@@ -44,7 +45,8 @@ class Engine:
     def extract(self, sources: DataFrame, attention: list | None = None, rules: str | None = None, pages: str | None = "1", grain: str = "page", folder: str | None = None) -> dict[str, DataFrame]:
         """The flagship: pages, documents, fields, records, issues; with ``folder`` resumed and checkpointed there.
 
-        Pages that have a checkpoint aren't asked again: the model sees the rest only.
+        Pages that have a checkpoint aren't asked again: the model sees the rest only. The pages are kept
+        reliably, in ``folder`` or the shared folder, before anything is made of them: each is asked once.
         """
         from leafmill.sinks.exports import checkpoint_pages, not_checkpointed
 
@@ -55,7 +57,9 @@ class Engine:
         found = normalize_pages(answers.unionByName(self._failed(todo), allowMissingColumns=True), hints)
         if folder:
             checkpoint_pages(found, folder)
-            found = self.spark.read.parquet(f"{folder}/pages")
+            found = self.spark.read.parquet(f"{folder}/pages").drop("page_key", "file", "run")
+        else:
+            found = cut(found)
         return self.roll_up(found, [h["name"] for h in hints if h["required"]])
 
     @staticmethod
@@ -92,15 +96,17 @@ class Engine:
 def extract_with_retry(pages: DataFrame, model: PageModel, prompt: str, rules: DataFrame) -> DataFrame:
     """Extract, validate, and ask once more where a rule is broken, telling the model which.
 
-    The second scan sees only those pages.
+    The second scan sees only those pages. Answers are kept reliably, so that each scan runs once and
+    what is broken belongs to the answers that are kept.
     """
     from leafmill.operators.normalize import explode_list
     from leafmill.operators.validate import validate_rules
 
-    first = normalize_pages(scan_model(pages, model, prompt))
+    first = cut(normalize_pages(scan_model(pages, model, prompt)))
     fields = explode_list(first, "fields").select("source_path", "page", F.col("field_name_model").alias("field"), F.col("value_original").alias("value"))
     broken = validate_rules(fields, rules).groupBy("source_path", "page").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "field", "rule"))), "; ").alias("broken"))
+    broken = cut(broken)
     again = scan_model(pages.join(broken, ["source_path", "page"]), model, prompt + "\nCorrect what the rules reject; it is listed with the page.")
-    second = normalize_pages(again)
+    second = cut(normalize_pages(again))
     kept = first.join(broken.select("source_path", "page"), ["source_path", "page"], "left_anti")
     return kept.unionByName(second, allowMissingColumns=True)

@@ -251,5 +251,4 @@ SELECT line, doc_id, i AS place FROM (SELECT *, row_number() OVER (PARTITION BY
 def first_wins_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
-    # the first of a key is the smallest of its places: no row but that needs to travel
-    return lines.groupBy("line").agg(F.min(F.struct("doc_id", (F.col("i") + 1).alias("place"))).alias("f")).select("line", "f.doc_id", "f.place")
+    return merge.unique_by(lines.withColumn("place", F.col("i") + 1).drop("i"), "line", ["doc_id", "place"]).select("line", "doc_id", "place")

@@ -5,6 +5,8 @@ Writes go through Spark's committers, so files appear whole or not at all.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +48,17 @@ def stream_rows(pages: DataFrame, name: str) -> DataFrame:
 def checkpoint_pages(pages: DataFrame, folder: str) -> DataFrame:
     """Append the pages that aren't there yet, failed ones too, and their streams; return artifact rows.
 
-    The pages are written first and read back for the streams, so that the model is asked once.
+    A page that is given twice is one page. The new pages are written first and read back for the
+    streams, so that the model is asked once and a resumed call adds only what is new.
     """
     spark = pages.sparkSession
-    new = not_checkpointed(pages, folder).withColumn("page_key", page_key()).withColumn("file", page_json_name("source_path", "page"))
-    new.write.mode("append").parquet(f"{folder}/pages")
+    run = str(uuid.uuid4())
+    new = not_checkpointed(pages, folder).withColumn("page_key", page_key()).dropDuplicates(["page_key"])
+    new.withColumn("file", page_json_name("source_path", "page")).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/pages")
     done = spark.read.parquet(f"{folder}/pages")
+    added = done.where(F.col("run") == run).drop("page_key", "file", "run")
     for name in STREAMS:
-        stream_rows(done.drop("page_key", "file"), name).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson")
+        stream_rows(added, name).write.mode("append").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson")
     return done.select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), "file").alias("path"))
 
 
@@ -144,9 +149,21 @@ def report(pages: DataFrame, records: DataFrame, issues: DataFrame, most_records
     return both.select("source_path", text.alias("markdown"))
 
 
-def envelope(tool: str, ok: bool, data: DataFrame, limit_rows: int = 1000) -> DataFrame:
-    """A result as one JSON text: status, tool and at most ``limit_rows`` rows."""
-    return data.limit(limit_rows).agg(F.to_json(F.struct(F.lit(ok).alias("success"), F.lit(tool).alias("tool"), F.collect_list(F.struct(*data.columns)).alias("data"))).alias("envelope"))
+def envelope(tool: str, ok: bool, data: DataFrame, limit_rows: int = 1000, folder: str | None = None) -> DataFrame:
+    """A result as one JSON text: status, tool, number of rows, and the rows.
+
+    More than ``limit_rows`` rows are written to ``folder`` as JSON lines, and the text says where; without
+    a folder that is an error, so that no row is left out unseen.
+    """
+    spark = data.sparkSession
+    n = data.count()
+    head = [F.lit(ok).alias("success"), F.lit(tool).alias("tool"), F.lit(n).alias("rows")]
+    if n <= limit_rows:
+        return data.agg(F.to_json(F.struct(*head, F.collect_list(F.struct(*data.columns)).alias("data"))).alias("envelope"))
+    if folder is None:
+        raise ValueError(f"{n} rows are more than the {limit_rows} that a text holds; give a folder for them")
+    data.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+    return spark.range(1).select(F.to_json(F.struct(*head, F.lit(folder).alias("data_path"))).alias("envelope"))
 
 
 def export(pages: DataFrame, folder: str, formats: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ the format's own limit of rows a sheet; tables beyond that belong in the other e
 from __future__ import annotations
 
 import os
+import tempfile
 import re
 import zipfile
 from xml.sax.saxutils import escape
@@ -36,10 +37,13 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, widths: bool = True)
     """Write tables of text columns; an empty one gets ``status: empty``. A partial file is never seen."""
     from leafmill.sinks.exports import column_widths
 
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    for title, table in sheets.items():  # before anything is written
+        if table.count() > MOST_ROWS:
+            raise ValueError(f"more rows than a sheet holds: {title}")
     used: set[str] = set()
     names = [_name(t, used) for t in sheets]
-    part = f"{path}.part"
+    handle, part = tempfile.mkstemp(suffix=".xlsx")  # on the driver only, and gone when the file is where it belongs
+    os.close(handle)
     with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
         z.writestr(
@@ -64,16 +68,24 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, widths: bool = True)
                 if first is None:
                     f.write(f"<row>{_cell('empty')}</row>".encode())
                 else:
-                    n = 0
                     row = first
                     while row is not None:
-                        n += 1
-                        if n > MOST_ROWS:
-                            raise ValueError(f"more rows than a sheet holds: {names[i - 1]}")
                         f.write(f"<row>{''.join(_cell('' if v is None else str(v)) for v in row)}</row>".encode())
                         row = next(rows, None)
                 f.write(b"</sheetData></worksheet>")
-    os.replace(part, path)
+    _deliver(next(iter(sheets.values())).sparkSession, part, path)
+
+
+def _deliver(spark, part: str, path: str) -> None:
+    """Move a local file to where Spark's file systems find ``path``, whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{part}"), beside)
+    fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"can't write {path}")
 
 
 def read_workbook(path: str) -> dict[str, list[dict[str, str]]]:

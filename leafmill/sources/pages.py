@@ -171,7 +171,8 @@ def scan_model(pages: DataFrame, model: PageModel, prompt: str, in_flight: int |
             cols = ["source_path", "page", "stage", "response", "reasoning", "input_tokens", "output_tokens", "estimated_image_tokens", "elapsed_ms", "error"]
             yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in cols[5:9]}) if out else pd.DataFrame(columns=cols)
 
-    source = pages.repartition(in_flight) if in_flight else pages
+    # fewer partitions without a shuffle of contents: as many calls at once as there are partitions
+    source = pages.coalesce(in_flight) if in_flight else pages
     answers = source.mapInPandas(run, RESPONSES)
     return answers.withColumn("response", F.when(F.col("error").isNull(), response_text("response", "reasoning")))
 

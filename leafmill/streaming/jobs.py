@@ -172,9 +172,14 @@ def adaptive_stream(calls: DataFrame, key: str) -> DataFrame:
     return calls.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, concurrency int, ema double, calls long", "concurrency int, ema double, calls int, errors int, changed double", "update", "NoTimeout")
 
 
-def page_stream(pages: DataFrame, on_batch, checkpoint: str, key: str = "page_key"):
-    """Each page once: repeats are dropped, batches handed to ``on_batch(rows, number)``."""
-    return pages.dropDuplicates([key]).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def page_stream(pages: DataFrame, on_batch, checkpoint: str, key: str = "page_key", at: str | None = None, late: str = "1 day"):
+    """Each page once: repeats are dropped, batches handed to ``on_batch(rows, number)``.
+
+    With a time column ``at`` a page is remembered for ``late`` after it was seen, so that the state stays
+    bounded; without one it is remembered for ever.
+    """
+    once = pages.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if at else pages.dropDuplicates([key])
+    return once.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling(events: DataFrame, width: str, keys: list[str], late: str | None = None, slide: str | None = None) -> DataFrame:
