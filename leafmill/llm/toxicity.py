@@ -3,13 +3,15 @@
 Labels belong to documents, the offence to some of their sentences. A sentence's probability is a
 logistic score of its words; a document's is their noisy-or, ``1 - prod(1 - p)``. The weights are
 trained from document labels through that combination, and afterwards locate the sentences.
+
+A word's score is the sum of its features' weights: itself and its character n-grams, with its two ends
+marked, so that words that were never seen share what their relatives have learned.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,136 +19,234 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import documents, small_batches, utf8
+from leafmill.llm.common import documents, free_name, small_batches, utf8
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
+#: Lengths of the n-grams, and words that a worker remembers the scores of in each of two generations.
+LENGTHS, REMEMBERED = (4, 5, 6), 200_000
+
+
+def features(word: str) -> set[str]:
+    s = f"<{word}>"
+    return {s, *(s[i : i + n] for n in LENGTHS for i in range(len(s) - n + 1))}
+
+
+class Scores(dict):
+    """Scores of words, made when they are first asked for; the last ``REMEMBERED`` to twice as many are kept."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.old = weights, {}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            get = self.weights.get
+            # a sum that doesn't depend on the order, so that equal texts score alike everywhere
+            found = math.fsum(w for x in features(word) if (w := get(x)))
+        self[word] = found
+        return found
 
 
 @dataclass
 class Model:
-    """Weights by word and the weight that every sentence has."""
+    """Weights by feature, the weight that every sentence has, and the probability that counts as 0.5."""
 
     weights: dict[str, float]
     bias: float
+    middle: float = 0.5
+
+    def __post_init__(self):
+        self.word = Scores(self.weights).__getitem__
+
+    def shifted(self, p: float) -> float:
+        """The odds divided by those of ``middle``."""
+        up = p * (1 - self.middle)
+        return up / (up + self.middle * (1 - p)) if p < 1 else 1.0
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and start, end and probability of sentences at 0.5 or more."""
-        get, bias = self.weights.get, self.bias
-        plain = math.log1p(math.exp(bias))
+        word, bias = self.word, self.bias
         total, found = 0.0, []
         for m in SENTENCE.finditer(text):
-            z = sum(w for x in set(WORD.findall(m[0].lower())) if (w := get(x)))
-            if not z:
-                total += plain
-                continue
-            z += bias
+            z = bias + math.fsum(map(word, set(WORD.findall(m[0].lower()))))
             total += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-            if z >= 0:
-                found.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
-        return -math.expm1(-total), found
+            if z > -30:
+                p = self.shifted(1 / (1 + math.exp(-z)))
+                if p >= 0.5:
+                    found.append((m.start(), m.end(), p))
+        return self.shifted(-math.expm1(-total)), found
+
+
+class Bags:
+    """Documents as sentences of words, and words as features."""
 
+    def __init__(self, texts: list[str], labels: list[int]):
+        self.labels = np.array(labels, float)
+        words: dict[str, int] = {}
+        word_of, sent_of, doc_of = [], [], []
+        for d, t in enumerate(texts):
+            for m in SENTENCE.findall(t):
+                mine = sorted({words.setdefault(w, len(words)) for w in WORD.findall(m.lower())})
+                word_of += mine
+                sent_of += [len(doc_of)] * len(mine)
+                doc_of.append(d)
+        self.word_of, self.sent_of, self.doc_of = (np.array(x, dtype=np.int64) for x in (word_of, sent_of, doc_of))
+        names: dict[str, int] = {}
+        of, at = [], [0]
+        for w in words:
+            of += sorted(names.setdefault(x, len(names)) for x in sorted(features(w)))
+            at.append(len(of))
+        self.names, self.words = list(names), len(words)
+        self.feature_of, self.at = np.array(of, dtype=np.int64), np.array(at, dtype=np.int64)
+
+    def document_counts(self) -> np.ndarray:
+        """For either label, in how many documents a feature stands."""
+        n = max(1, self.words)
+        pairs = np.unique(self.doc_of[self.sent_of] * n + self.word_of)
+        counts = np.zeros((2, len(self.names)))
+        ends = np.searchsorted(pairs // n, np.arange(len(self.labels) + 1))
+        for d, y in enumerate(self.labels):
+            mine = pairs[ends[d] : ends[d + 1]] % n
+            if len(mine):
+                counts[int(y), np.unique(np.concatenate([self.feature_of[self.at[w] : self.at[w + 1]] for w in mine]))] += 1
+        return counts
+
+    def telling(self, most: int, least: int) -> np.ndarray:
+        """The ``most`` features in ``least`` documents or more with the largest z scores of their log odds."""
+        counts = self.document_counts()
+        n1 = self.labels.sum()
+        a, b = counts[1] + 0.5, counts[0] + 0.5
+        z = np.abs(np.log(a / (n1 - a + 1) / (b / (len(self.labels) - n1 - b + 1))) / np.sqrt(1 / a + 1 / b))
+        seen = np.flatnonzero(counts.sum(0) >= least)
+        return seen[np.lexsort((np.array(self.names, object)[seen], -z[seen]))][:most]
+
+    def fitted(self, chosen: np.ndarray, use: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
+        """Weights of the chosen features and the bias, by gradient steps (Adam) on the noisy-or likelihood of the documents ``use``."""
+        place = np.full(len(self.names) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        feature = place[self.feature_of]
+        word = np.repeat(np.arange(self.words), np.diff(self.at))[feature >= 0]
+        feature = feature[feature >= 0]
+        scored = np.bincount(word, minlength=self.words) > 0
+        hits = scored[self.word_of] & use[self.doc_of[self.sent_of]]
+        sentences, sent = np.unique(self.sent_of[hits], return_inverse=True)
+        word_of, doc = self.word_of[hits], self.doc_of[sentences]
+        n = len(self.labels)
+        plain = (np.bincount(self.doc_of, minlength=n) - np.bincount(doc, minlength=n)) * use
+        weigh = np.where(self.labels > 0, 1 + (self.labels == 0).sum() / max(1, self.labels.sum()) / 3, 1.0) * use
+        weigh /= weigh.sum()
+        theta = np.zeros(len(chosen) + 1)
+        theta[-1] = -6.0
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+
+        def sigmoid(x):
+            return 0.5 * (1 + np.tanh(x / 2))
+
+        for step in range(1, rounds + 1):
+            w, b = theta[:-1], theta[-1]
+            zs = b + np.bincount(sent, np.bincount(word, w[feature], self.words)[word_of], len(doc))
+            total = np.bincount(doc, np.logaddexp(0, zs), n) + plain * np.logaddexp(0, b)
+            # of -log(1 - exp(-total)) for label 1, of total for label 0
+            by_doc = np.where(self.labels > 0, -np.exp(-total) / -np.expm1(-np.maximum(total, 1e-9)), 1.0) * weigh
+            gs = by_doc[doc] * sigmoid(zs)
+            by_word = np.bincount(word_of, gs[sent], self.words)
+            grad = np.append(np.bincount(feature, by_word[word], len(chosen)) + decay * w, gs.sum() + (by_doc * plain).sum() * sigmoid(b))
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return theta[:-1], float(theta[-1])
 
-def train(texts: list[str], labels: list[int], words: int = 3000, least: int = 4, rounds: int = 400, decay: float = 1e-3) -> Model:
-    """Fit by gradient steps (Adam) on the noisy-or likelihood.
 
-    The features are the ``words`` words whose document frequencies differ most between the labels
-    (by the z score of their log odds), of those in ``least`` distinct texts at least. Repeated texts
-    count once, as toxic if any of them is. Without both labels the model says 0 (or 1) throughout.
+def best_middle(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The probability from which on label 1 is said with the best F1, halfway to the next lower score."""
+    if not labels.sum():
+        return 0.5
+    order = np.argsort(-scores, kind="stable")
+    right = np.cumsum(labels[order])
+    f1 = 2 * right / (np.arange(1, len(order) + 1) + labels.sum())
+    f1[np.append(scores[order][1:] == scores[order][:-1], False)] = -1  # equal scores get the same answer
+    at = int(np.argmax(f1))
+    below = scores[order][at + 1] if at + 1 < len(order) else 0.0
+    return float(min(0.95, max(0.05, (scores[order][at] + below) / 2)))
+
+
+def train(texts: list[str], labels: list[int], most: int = 20_000, least: int = 3, rounds: int = 150, decay: float = 1e-4, folds: int = 3) -> Model:
+    """Fit on the ``most`` features that tell the labels apart best, of those in ``least`` distinct texts or more.
+
+    Each of ``folds`` parts of the texts is scored by a fit on the others, which gives the probability
+    that counts as 0.5; the weights are then fitted on all. Repeated texts count once, as toxic if any of them is. Without
+    both labels the model says 0 (or 1) throughout.
     """
     by_text: dict[str, int] = {}
     for t, y in zip(texts, labels, strict=True):
         by_text[t] = max(y, by_text.get(t, 0))
-    texts, labels = list(by_text), list(by_text.values())
-    bags = [[set(WORD.findall(m.lower())) for m in SENTENCE.findall(t)] for t in texts]
-    n1 = sum(labels)
-    n0 = len(labels) - n1
-    if not n1 or not n0:
-        return Model({}, 30.0 if n1 else -30.0)
-    df = (Counter(), Counter())
-    for bag, y in zip(bags, labels, strict=True):
-        df[y].update(set().union(*bag) if bag else ())
-
-    def z(w: str) -> float:
-        a, b = df[1][w] + 0.5, df[0][w] + 0.5
-        return math.log(a / (n1 - a + 1) / (b / (n0 - b + 1))) / math.sqrt(1 / a + 1 / b)
-
-    seen = sorted((w for w in df[0] | df[1] if df[0][w] + df[1][w] >= least), key=lambda w: (-abs(z(w)), w))[:words]
-    place = {w: i for i, w in enumerate(seen)}
-    sent_of, word_of, doc_of, n_plain = [], [], [], np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hits = [place[w] for w in s if w in place]
-            if hits:
-                sent_of += [len(doc_of)] * len(hits)
-                word_of += hits
-                doc_of.append(d)
-            else:
-                n_plain[d] += 1
-    sent_of, word_of, doc_of = (np.array(x, dtype=np.int64) for x in (sent_of, word_of, doc_of))
-    y = np.array(labels, dtype=float)
-    theta = np.zeros(len(seen) + 1)
-    theta[-1] = -6.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-
-    def sigmoid(x):
-        return 0.5 * (1 + np.tanh(x / 2))
-
-    for step in range(1, rounds + 1):
-        w, b = theta[:-1], theta[-1]
-        zs = b + np.bincount(sent_of, w[word_of], minlength=len(doc_of))
-        total = np.bincount(doc_of, np.logaddexp(0, zs), minlength=len(bags)) + n_plain * np.logaddexp(0, b)
-        # of -log(1 - exp(-total)) for label 1, of total for label 0
-        by_doc = np.where(y > 0, -np.exp(-total) / -np.expm1(-np.maximum(total, 1e-9)), 1.0) / len(bags)
-        gs = by_doc[doc_of] * sigmoid(zs)
-        grad = np.append(np.bincount(word_of, gs[sent_of], minlength=len(seen)) + decay / 10 * w, gs.sum() + (by_doc * n_plain).sum() * sigmoid(b))
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({x: float(t) for x, t in zip(seen, theta, strict=False) if abs(t) > 1e-3}, float(theta[-1]))
+    if len(set(by_text.values())) < 2:
+        return Model({}, 30.0 if 1 in by_text.values() else -30.0)
+    bags = Bags(list(by_text), list(by_text.values()))
+    chosen = bags.telling(most, least)
+    names = [bags.names[i] for i in chosen]
+    part, others = np.arange(len(by_text)) % folds, np.full(len(by_text), -1.0)
+    for k in range(folds):
+        use = part != k
+        if bags.labels[use].any() and not bags.labels[use].all():
+            w, bias = bags.fitted(chosen, use, rounds, decay)
+            without = Model(dict(zip(names, w.tolist(), strict=True)), bias)
+            for d, t in enumerate(by_text):
+                if not use[d]:
+                    others[d] = without.score(t)[0]
+    told = others >= 0
+    middle = best_middle(others[told], bags.labels[told])
+    w, bias = bags.fitted(chosen, np.ones(len(by_text), bool), rounds, decay)
+    return Model({x: t for x, t in zip(names, w.tolist(), strict=True) if abs(t) > 1e-4}, bias, middle)
 
 
 def held_out(key: str, of: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000) -> Model:
-    """Train on at most ``most`` labelled rows of each label, those whose identifiers hash lowest.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, longest: int = 20_000) -> Model:
+    """Train on at most ``most`` labelled rows of each label, those whose identifiers hash lowest, of texts of ``longest`` bytes or less.
 
     Labels other than 0 and 1 and null ones are not used. The sample's texts, and nothing else, come
-    to the driver; its identifiers are at most ``2 * most``, so they are broadcast.
+    to the driver: at most ``2 * most * longest`` bytes. Its identifiers are at most ``2 * most``, so
+    they are broadcast.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
     picked = [known.where(F.col("__label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most) for y in (0, 1)]
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked[0].union(picked[1])), "__id").where("__text is not null")
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.octet_length("__text") <= longest)
+    rows = rows.join(F.broadcast(picked[0].union(picked[1])), "__id")
     got = sorted(rows.select("__label", "__text").toArrow().to_pylist(), key=lambda r: (r["__text"], r["__label"]))
     return train([r["__text"] for r in got], [r["__label"] for r in got])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """``id, score, sentences`` per row; with ``keep`` the input's columns, then ``score`` as ``__score``.
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: str = "") -> DataFrame:
+    """``id, score, sentences`` per row; with ``keep`` the input's columns, then the score by that name.
 
     ``sentences``: start, end (characters) and probability of those that offend. A null or empty text
     has no sentence and scores 0. A text is scored whole. Rows that repeat get equal scores, null
     identifiers pass through, an empty table gives none.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.middle))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             got = [m.score(x.as_py().decode("utf-8", "replace")) for x in batch.column(batch.num_columns - 1)]
             scores = pa.array([s for s, _ in got], pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], keep])
             else:
                 found = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in f] for _, f in got], spans)
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores, found], ["id", "score", "sentences"])
 
     if keep:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.select("*", utf8(text).alias("__body")).mapInArrow(run, f"{columns}, __score double")
+        return docs.select("*", utf8(text).alias(free_name(docs, "body"))).mapInArrow(run, f"{columns}, `{keep}` double")
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body"))
     return source.mapInArrow(run, "id long, score double, sentences array<struct<start:int,end:int,p:double>>")
 
