@@ -22,6 +22,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` made once, however often the body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def blank(x) -> Column:
     """Null counts as the empty string."""
     return F.coalesce(col(x).cast("string"), F.lit(""))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, comparable, or_, rank_of
+from leafmill.functions.text import blank, comparable, let, or_, rank_of
 from leafmill.functions.tokens import js_round
 from leafmill.operators.normalize import explode_list
 from leafmill.shared import running_before
@@ -134,10 +134,13 @@ def with_overrides(base: Column, *later: Column) -> Column:
     """Maps merged, a later one's members taking the place of an earlier one's; null maps add nothing."""
     none = F.create_map().cast("map<string,string>")
     entries = F.concat(*[F.map_entries(F.coalesce(m, none)) for m in (base, *later)])
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    # the last entry of each key, in the order in which the keys come up first
-    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, value))
+
+    def merged(xs):
+        last = lambda k: F.element_at(F.filter(xs, lambda e: e["key"] == k), -1)["value"]
+        # the last entry of each key, in the order in which the keys come up first
+        return let(F.array_distinct(xs["key"]), lambda ks: F.map_from_arrays(ks, F.transform(ks, last)))
+
+    return let(entries, merged)
 
 
 def cost_rollup(costs: DataFrame, keys: list[str], rollup: bool = False) -> DataFrame:

@@ -247,10 +247,10 @@ def _attention(matches: Column, hints: list[dict], parsed: Column) -> Column:
     return out
 
 
-def attention_hints(given: list) -> list[dict]:
-    """Hints from texts or objects: trimmed, nameless ones dropped, the first of a name kept."""
+def attention_hints(given: list | None, legacy: list | None = None) -> list[dict]:
+    """Hints from texts or objects, older ``legacy`` fields after them: trimmed, nameless ones dropped, the first of a name kept."""
     out: dict[str, dict] = {}
-    for g in given or []:
+    for g in [*(given or []), *(legacy or [])]:
         g = {"name": g} if isinstance(g, str) else dict(g)
         name = next((str(g[k]).strip() for k in ("name", "label", "field") if str(g.get(k) or "").strip()), "")
         if name and name not in out:
