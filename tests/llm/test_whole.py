@@ -1,5 +1,9 @@
 """Training-data operators do the whole job."""
 
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from leafmill.llm import mixing, substring_dedup
@@ -41,6 +45,77 @@ def test_sentences_without_spaces(spark):
     assert got[0].endswith(han) and got[1] == "另一份文件的不同开头。完。"
 
 
+def by_hand(rows, least=6, passage=12):
+    """Every unit compared with all places before it: lines go, sentences in runs of ``passage`` words."""
+
+    def name(x):
+        return " ".join(x.lower().split())
+
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash64(r[1] or "")))
+    seen, out = set(), {}
+    for i, text in rows:
+        text, gone, at = text or "", set(), 0
+        later = []  # a unit repeats what stands before it, in its own text too
+        for line in text.split("\n"):
+            stop = at + len(line)
+            if line.strip():
+                later.append((at, min(stop + 1, len(text)), None))
+                cuts = [m.span() for m in re.finditer(r"(?<=[.!?])[ \t]+", line)]
+                edges = [0, *(x for c in cuts for x in c), len(line)]
+                if cuts:
+                    later += [(at + a, at + b, at) for a, b in zip(edges[::2], edges[1::2], strict=True) if len(line[a:b].split()) >= least]
+            at = stop + 1
+        runs, last = [], None
+        for a, b, line in later:
+            repeated = name(text[a:b]) in seen
+            seen.add(name(text[a:b]))
+            if line is None:
+                gone |= set(range(a, b)) if repeated else set()
+            elif repeated and last == line:
+                runs[-1].append((a, b))
+            elif repeated:
+                runs.append([(a, b)])
+            last = (line if repeated else None) if line is not None else last
+        for run in runs:
+            if sum(len(text[a:b].split()) for a, b in run) >= passage:
+                gone |= {x for a, b in run for x in range(a, b)}
+        out[i, text] = "".join(c for k, c in enumerate(text) if k not in gone)
+    return out
+
+
+def xxhash64(text):
+    """As Spark's, for tests: rows are put in the order of their hashes beforehand."""
+    return HASHES[text]
+
+
+HASHES = {}
+
+
+def test_units_as_by_hand(spark):
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    sentences = [" ".join(rnd.choices(words, k=rnd.choice((2, 3, 6, 7, 9)))) + "." for _ in range(40)]
+    texts = ["\n".join(" ".join(rnd.choices(sentences, k=rnd.randrange(0, 6))) for _ in range(rnd.randrange(1, 5))) for _ in range(60)]
+    texts += [None, "", "\n", texts[0], texts[1].upper()]
+    rows = [(None if k % 13 == 4 else k // 3, t) for k, t in enumerate(texts)]
+    rows.append(rows[2])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    HASHES.update({r.t: r.h for r in d.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()})
+    want = by_hand(rows)
+    got = substring_dedup.dedup_units(d, every_line=True, passage=12).collect()
+    assert Counter((r.id, r.clean_text) for r in got) == Counter((i, want[i, t or ""]) for i, t in rows)
+
+
+def test_common_lines_need_no_gathering(spark, monkeypatch):
+    """With the threshold for common units at 2 and out of reach, the results are the same."""
+    d = docs(spark, [f"common line\nown {k}\nline of {k % 3}" for k in range(30)])
+    found = []
+    for hot in (2, 10**9):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        found.append(sorted((r.id, r.clean_text) for r in substring_dedup.dedup_units(d, every_line=True).collect()))
+    assert found[0] == found[1] and found[0][5][1] == "own 5\n"
+
+
 def test_copies_stand_where_their_pass_is_due(spark):
     """A small source that is read three times spreads over all of training."""
     import corpus_pipeline
