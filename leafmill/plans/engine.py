@@ -5,7 +5,7 @@ Each takes and returns DataFrames; nothing runs before the caller asks for rows,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.tokens import image_tokens, strategy
@@ -13,7 +13,9 @@ from leafmill.operators import merge
 from leafmill.operators.normalize import attention_hints, normalize_pages
 from leafmill.plans.policy import Accuracy, accuracy, document_prompt, preprocess_variants
 from leafmill.shared import cut
-from leafmill.sources.pages import PageModel, expand_pages, media_type, scan_model
+from leafmill.sources.pages import PageModel, batch_requests, expand_pages, extension, media_type, scan_model, video_chunks
+from leafmill.sources.scans import pack_pages as pack_pages_of
+from leafmill.sources.scans import scan_packs, scan_videos
 
 
 class Engine:
@@ -36,11 +38,40 @@ class Engine:
         given = sources if "pages" in sources.columns else sources.withColumn("pages", F.lit(pages))
         return expand_pages(given)
 
-    def analyze(self, sources: DataFrame, prompt: str, pages: str | None = None) -> DataFrame:
-        """Free-form answers, a row per page; all pages unless told."""
-        asked = self._pages(sources, pages)
-        good = scan_model(asked.where("error is null").drop("error"), self._need(), prompt, self.policy.concurrency)
-        return good.unionByName(self._failed(asked), allowMissingColumns=True)
+    def analyze(self, sources: DataFrame, prompt: str, pages: str | None = None, asked_strategy: str | None = None, pack_pages: int = 20, chunk_s: float = 1800.0) -> dict[str, DataFrame]:
+        """Free-form answers by kind of source: ``pages``, ``videos`` and ``summary``.
+
+        Documents are read page by page, in packs or as batch lines, by their number of pages (or as asked);
+        images are documents of one page; recordings are read in stretches and joined. ``batch`` holds the
+        request lines, for which no model is asked here. What can't be read is an error row.
+        """
+        kind = media_type("source_path", "media_type" if "media_type" in sources.columns else None)
+        typed = sources.withColumn("__kind", kind)
+        documents = typed.where("__kind in ('pdf', 'image')")
+        if "total_pages" not in sources.columns:
+            documents = documents.withColumn("total_pages", F.lit(1))
+        documents = documents.withColumn("total_pages", F.when(F.col("__kind") == "image", 1).otherwise(F.col("total_pages")))
+        asked = self._pages(documents, pages)
+        count = F.count(F.lit(1)).over(Window.partitionBy("source_path"))
+        how = strategy(count, F.lit(asked_strategy)) if asked_strategy else strategy(count)
+        routed = asked.where("error is null").drop("error").withColumn("strategy", how)
+        model = self._need()
+        single = scan_model(routed.where("strategy = 'concurrent'").drop("strategy"), model, prompt, self.policy.concurrency)
+        packs = merge.fixed_chunks(routed.where("strategy = 'multi-image'").drop("strategy"), pack_pages, ["source_path"], ["page"]).withColumnRenamed("chunk", "pack")
+        packed = pack_pages_of(scan_packs(packs, model, prompt))
+        other = typed.where("__kind = 'unknown'").select("source_path", F.lit(0).alias("page"), F.lit("page").alias("stage"), F.concat(F.lit("Unsupported file type: "), extension("source_path")).alias("error"))
+        answers = single.unionByName(packed, allowMissingColumns=True).unionByName(self._failed(asked), allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+        out = {"pages": cut(answers)}
+        out["summary"] = merge.run_summary(out["pages"].select("source_path", "page", F.col("error").isNull().alias("success"), (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"), "error"), ["source_path"])
+        if "duration_s" in sources.columns:
+            stretches = video_chunks(typed.where("__kind = 'video'").select("source_path", "duration_s"), "duration_s", chunk_s)
+            out["videos"] = merge.video_summary(cut(scan_videos(stretches.withColumn("chunk", F.coalesce("chunk", F.lit(0))), model, prompt)))
+        lines = routed.where("strategy = 'batch'")
+        if {"content", "mime"} <= set(routed.columns):
+            out["batch"] = batch_requests(lines, model.name, prompt)
+        else:
+            out["batch"] = lines.select("source_path", "page")
+        return out
 
     def extract(self, sources: DataFrame, attention: list | None = None, rules: str | None = None, pages: str | None = "1", grain: str = "page", folder: str | None = None) -> dict[str, DataFrame]:
         """The flagship: pages, documents, fields, records, issues; with ``folder`` resumed and checkpointed there.

@@ -182,3 +182,77 @@ def merged_objects(spark, sf_dir):
     shown = F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     texts = F.when(F.col("n_name") < "F", F.array(F.lit(" "), F.concat("n_name", F.lit(" ")), F.lit("b"), F.col("n_name"))).otherwise(F.array(F.lit("b"), F.lit(""), F.col("n_name"), F.lit(" b")))
     return n.select("n_nationkey", F.array_join(shown, "|").alias("merged"), F.array_join(v1.unique_strings(texts), "|").alias("strings"))
+
+
+def _nation_pages(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("region/"), F.col("n_regionkey").cast("string")).alias("source_path"), F.col("n_nationkey").alias("page"), F.col("n_name").alias("land"))
+
+
+@query("""
+WITH c AS (SELECT n_regionkey, n_nationkey, CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 3 AS INT) AS pack FROM nation),
+p AS (SELECT 'region/' || n_regionkey AS source_path, pack, string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS pages, count(*) AS fields FROM c GROUP BY ALL)
+SELECT source_path, pack, pages, fields, length('[Pages ' || pages || ']' || chr(10) || 'read all') // 4 AS input_tokens FROM p
+""")
+def pack_scan(spark, sf_dir):
+    from leafmill.sources.pages import StubModel
+    from leafmill.sources.scans import scan_packs
+
+    packs = merge.fixed_chunks(_nation_pages(spark, sf_dir), 3, ["source_path"], ["page"]).withColumnRenamed("chunk", "pack")
+    got = scan_packs(packs, StubModel(), "read all")
+    n = F.size(F.from_json(F.get_json_object("response", "$.field_candidates"), "array<string>")).cast("long")
+    return got.select("source_path", "pack", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), n.alias("fields"), "input_tokens")
+
+
+@query("""
+WITH v AS (SELECT 'video/' || s_suppkey AS source_path, s_suppkey % 50 AS d FROM supplier),
+c AS (SELECT source_path, d, unnest(generate_series(0, CAST(ceil(d / 20.0) AS INT) - 1)) AS i FROM v WHERE d > 0)
+SELECT source_path, true AS success, string_agg('[Chunk ' || (i + 1) || '] ' || source_path || ' from ' || (i * 20) || ' to ' || least((i + 1) * 20, d) || ' s', chr(10) || chr(10) ORDER BY i) AS text FROM c GROUP BY 1
+UNION ALL SELECT source_path, false, '' FROM v WHERE d = 0
+""")
+def video_scan(spark, sf_dir):
+    from leafmill.sources.pages import StubModel, video_chunks
+    from leafmill.sources.scans import scan_videos
+
+    v = table(spark, sf_dir, "supplier").select(F.concat(F.lit("video/"), F.col("s_suppkey").cast("string")).alias("source_path"), (F.col("s_suppkey") % 50).cast("double").alias("duration_s"))
+    chunks = video_chunks(v, "duration_s", 20.0).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    return merge.video_summary(scan_videos(chunks, StubModel(), "watch")).select("source_path", "success", "text")
+
+
+@query("""
+SELECT 'region/' || n_regionkey AS source_path, n_nationkey AS page, u.name, u.value, u.confidence, u.state, u.source, u.reasons
+FROM nation, LATERAL (VALUES ('land', n_name, 'high', 'accepted', 'line', ''), ('LAND', n_name, 'high', 'accepted', 'line', ''), ('colour', '', 'low', 'missing', NULL, 'missing')) u(name, value, confidence, state, source, reasons)
+""")
+def model_first_entries(spark, sf_dir):
+    from leafmill.plans.passes import model_first
+    from leafmill.sources.pages import StubModel
+
+    class Keys(StubModel):
+        """Knows the members by name; asked with another case it still gives its own."""
+
+        def recognise(self, task, row, result_schema=None):
+            return super().recognise(task, row)
+
+    got = model_first(_nation_pages(spark, sf_dir), Keys(), [{"name": "land"}, {"name": "LAND"}, {"name": "colour"}])
+    return got["entries"].select("source_path", "page", "name", "value", "confidence", F.col("validation_state").alias("state"), F.col("evidence_source").alias("source"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""
+SELECT 'file/' || s_suppkey AS source_path, CAST(1 + s_suppkey % 3 AS INT) AS total_pages, 100 + s_suppkey AS first_width, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 100 + s_suppkey WHEN s_suppkey % 2 = 0 THEN 200 ELSE 595 END AS BIGINT) AS last_width
+FROM supplier WHERE s_suppkey % 5 > 0
+UNION ALL SELECT 'file/' || s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 0
+""")
+def pdf_pages_info(spark, sf_dir):
+    from leafmill.sources.scans import pdf_info
+
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    size = lambda w: F.concat(F.lit("/MediaBox [0 0 "), w.cast("string"), F.lit(" 300]"))
+    page = lambda inner: F.concat(F.lit("obj<</Type /Page "), inner, F.lit(">>endobj "))
+    middle = F.repeat(page(F.lit("/Rotate 0")), (k % 3).cast("int") - 1)
+    last = F.when(k % 2 == 0, page(size(F.lit(200)))).otherwise(page(F.lit("")))
+    body = F.concat(F.lit("%PDF-1.4 obj<</Type /Pages /MediaBox [0 0 595.28 842]>>endobj "), F.when(k % 3 == 0, page(size(F.col("s_suppkey") + 100))).otherwise(F.concat(page(size(F.col("s_suppkey") + 100)), middle, last)))
+    files = s.select(F.concat(F.lit("file/"), k.cast("string")).alias("source_path"), F.when(k % 5 > 0, body).otherwise("broken").cast("binary").alias("content"))
+    info = pdf_info(files)
+    wide = lambda i: F.get("pages", i)["w_pt"].cast("long")
+    return info.select("source_path", "total_pages", wide(F.lit(0)).alias("first_width"), wide(F.col("total_pages") - 1).alias("last_width"))

@@ -117,6 +117,18 @@ class PageModel(ABC):
     def read(self, prompt: str, row: dict) -> dict:
         """``response`` and, if known, ``reasoning, input_tokens, output_tokens``."""
 
+    def read_pack(self, prompt: str, rows: list[dict]) -> dict:
+        """One answer to several pages; as :meth:`read`."""
+        raise NotImplementedError(f"{self.name} takes one image at a time")
+
+    def watch(self, prompt: str, row: dict) -> dict:
+        """An answer to a stretch of a recording; as :meth:`read`."""
+        raise NotImplementedError(f"{self.name} takes no video")
+
+    def recognise(self, task: str, row: dict, result_schema: dict | None = None) -> dict:
+        """Native recognition: ``text``, ``ocr_result`` and, if known, tokens."""
+        raise NotImplementedError(f"{self.name} has no native recognition")
+
     def supports(self, kind: str) -> bool:
         """``multi_image``, ``video``, ``batch`` or ``native_ocr``."""
         return kind == "multi_image"
@@ -127,12 +139,34 @@ class StubModel(PageModel):
 
     name = "stub"
 
-    def read(self, prompt: str, row: dict) -> dict:
-        fields = [{"label": k, "value": v, "confidence": "high"} for k, v in row.items() if k not in ("source_path", "page", "content")]
+    def supports(self, kind: str) -> bool:
+        return kind in ("multi_image", "video", "native_ocr")
+
+    @staticmethod
+    def _fields(row: dict) -> list[dict]:
+        return [{"label": k, "value": v, "confidence": "high"} for k, v in row.items() if k not in ("source_path", "page", "content", "pack", "chunk")]
+
+    def _answer(self, prompt: str, fields: list[dict]) -> dict:
         body = {"schema": "universal_document_semantics_v2", "document_classification": {"type": "record", "confidence": "high"}, "field_candidates": fields}
         text = json.dumps(body, default=str, ensure_ascii=False)
         return {"response": text, "input_tokens": len(prompt) // 4, "output_tokens": len(text) // 4}
 
+    def read(self, prompt: str, row: dict) -> dict:
+        return self._answer(prompt, self._fields(row))
+
+    def read_pack(self, prompt: str, rows: list[dict]) -> dict:
+        return self._answer(prompt, [f for r in rows for f in self._fields(r)])
+
+    def watch(self, prompt: str, row: dict) -> dict:
+        return {"response": f"{row['source_path']} from {row['start_s']:g} to {row['end_s']:g} s", "input_tokens": len(prompt) // 4, "output_tokens": 8}
+
+    def recognise(self, task: str, row: dict, result_schema: dict | None = None) -> dict:
+        lines = [f"{f['label']}: {f['value']}" for f in self._fields(row)]
+        words = [{"text": t, "location": [0, 10 * i, 100, 10 * i, 100, 10 * i + 8, 0, 10 * i + 8]} for i, t in enumerate(lines)]
+        values = {f["label"]: f["value"] for f in self._fields(row) if result_schema is None or f["label"] in result_schema}
+        found = {"kv_result": values} if task == "key_information_extraction" else {"words_info": words}
+        return {"text": "\n".join(lines), "ocr_result": json.loads(json.dumps(found, default=str)), "input_tokens": 10, "output_tokens": len(lines)}
+
 
 def retryable_error(e: Exception) -> bool:
     status = getattr(e, "status", None)
