@@ -3,39 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    held = sc.getCheckpointDir()
-    if held:
-        return held
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    own = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    sc.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
-
-    A reliable checkpoint: lost executors do not lose it, and Spark's own cleaner can remove it
-    once nothing refers to it.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from leafmill.shared import cut, shared_dir, spread  # noqa: F401  the operators take them from here
 
 
 def release(spark: SparkSession) -> None:
@@ -70,7 +42,7 @@ class Remembered:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def utf8(text: str = "text"):
