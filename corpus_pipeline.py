@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, exact_dedup, mixing, near_dups, toxicity
 from leafmill.llm.common import cut, free_name, shared_dir, utf8, whole
+from leafmill.shared import remove
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,12 +95,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; intermediate tables go to the shared folder."""
+    """Apply the stages to ``documents``; intermediate tables go to the shared folder and are removed when the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            here = f"{folder}/{i}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before is not None:
+                remove(spark, before)
+            before = here
     return docs

@@ -99,17 +99,29 @@ def integrated_records(pages: DataFrame) -> DataFrame:
     ``record_id, source_path, page, record_type, confidence, needs_review, name, value``: a row per field.
     """
     c = F.col("classification")
-    base = ["source_path", "page", c["type"].alias("record_type"), c["confidence"].alias("confidence"), F.exists("issues", lambda x: x["severity"] != "low").alias("needs_review")]
-    # the outer form keeps the optimizer from pushing the lists' making into a filter; see explode_list
-    own = pages.select(*base, F.posexplode_outer(F.when(F.size("records") == 0, F.col("fields"))).alias("place", "f")).where("place is not null")
-    name = or_("f.field_name_model", "f.label_original", "f.field_id")
-    own = own.groupBy("source_path", "page", "record_type", "confidence", "needs_review", name.alias("name")).agg(F.max_by("f.value_original", "place").alias("value"))
-    own = own.withColumn("record_id", F.concat(F.lit("page_"), F.col("page").cast("string")))
-    given = pages.select(*base, F.posexplode_outer("records").alias("place", "r")).where("place is not null")
-    m = F.from_json("r", "map<string,string>")
-    given = given.withColumn("m", m).withColumn("record_id", F.coalesce(F.col("m")["record_id"], F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_"), (F.col("place") + 1).cast("string"))))
-    given = given.select("source_path", "page", F.coalesce(F.col("m")["record_type"], "record_type").alias("record_type"), F.coalesce(F.col("m")["confidence"], "confidence").alias("confidence"), "needs_review", "record_id", F.explode(F.from_json(F.coalesce(F.col("m")["fields"], F.lit("{}")), "map<string,string>")).alias("name", "value"))
-    return own.unionByName(given)
+    page = F.concat(F.lit("page_"), F.col("page").cast("string"))
+    kind, level = c["type"], c["confidence"]
+    LOOSE = "map<string,string>"
+
+    def of_fields(fields):
+        named = F.transform(fields, lambda f: F.struct(or_(f["field_name_model"], f["label_original"], f["field_id"]).alias("name"), f["value_original"].alias("value")))
+        # the last of a name: nothing after it has the same
+        last = lambda xs: let(F.reverse(xs["name"]), lambda ns: F.filter(xs, lambda x, i: F.array_position(ns, x["name"]) == F.size(ns) - i))
+        return F.transform(let(named, last), lambda x: F.struct(page.alias("record_id"), kind.alias("record_type"), level.alias("confidence"), x["name"].alias("name"), x["value"].alias("value")))
+
+    def of_record(r, i):
+        def members_of(m):
+            ident = F.coalesce(m["record_id"], F.concat(page, F.lit("_"), (i + 1).cast("string")))
+            given = F.map_entries(F.from_json(F.coalesce(m["fields"], F.lit("{}")), LOOSE))
+            return F.transform(given, lambda e: F.struct(ident.alias("record_id"), F.coalesce(m["record_type"], kind).alias("record_type"), F.coalesce(m["confidence"], level).alias("confidence"), e["key"].alias("name"), e["value"].alias("value")))
+
+        return let(F.from_json(r, LOOSE), members_of)
+
+    # one list a page, exploded once, so that a page is made once; the outer form as in explode_list
+    rows = F.when(F.size("records") > 0, F.flatten(F.transform("records", of_record))).otherwise(of_fields(F.col("fields")))
+    review = F.exists("issues", lambda x: x["severity"] != "low").alias("needs_review")
+    each = pages.select("source_path", "page", review, F.posexplode_outer(rows).alias("place", "r")).where("place is not null")
+    return each.select("source_path", "page", "r.record_type", "r.confidence", "needs_review", "r.record_id", "r.name", "r.value")
 
 
 def surrogate_ids(rows: DataFrame, prefix: str, given: str, order: list, keys: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from leafmill.functions.json_text import as_array, box, members, object_text
 from leafmill.operators import merge
 from leafmill.operators.normalize import explode_list, normalize_pages
 from leafmill.queries.registry import query, table
+from leafmill.shared import spread
 from leafmill.sinks import exports
 
 
@@ -17,7 +18,7 @@ def cents(c: str):
 
 def order_answers(spark, sf_dir, empty_every: int = 0):
     """Orders as answers of a page model: a customer is a document, an order a page."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     level = F.when(F.col("o_orderpriority") == "1-URGENT", "HIGH").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").when(F.col("o_orderpriority") == "5-LOW", "low")
 
     def field(label, value):
@@ -160,7 +161,7 @@ def bbox_normalise(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_linenumber AS DOUBLE) AS x1, CAST(l_quantity AS DOUBLE) AS y1, CAST(l_partkey AS DOUBLE) AS x2, l_suppkey + 0.5 AS y2 FROM lineitem
 """)
 def json_repair_bbox(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     body = F.concat(F.lit('{"value": "v", "bbox": {"x1": '), F.col("l_linenumber"), F.lit(", "), F.col("l_quantity").cast("int"), F.lit(", "), F.col("l_partkey"), F.lit(", "), F.col("l_suppkey"), F.lit(".5}}"))
     text = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done."))).otherwise(body)
     b = box(members(members(object_text(text, repair=False))["bbox"]))
@@ -172,7 +173,7 @@ SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS stat
 """)
 def json_mend(spark, sf_dir):
     """Answers that only the mending parser reads: single quotes, bare keys, trailing commas, open brackets."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     text = F.concat(F.lit("{customer: '"), F.col("o_custkey"), F.lit("', \"status\": '"), F.col("o_orderstatus"), F.lit("', \"more\": [1, 2,"))
     m = members(object_text(text))
     return o.select("o_orderkey", m["customer"].alias("customer"), m["status"].alias("status"))
@@ -236,7 +237,7 @@ def tables_export(spark, sf_dir):
 
 def line_tables(spark, sf_dir):
     """An order's lines as a table with a heading."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     lines = F.transform(F.array_sort(F.collect_list(row)), lambda r: F.array(r["l_partkey"].cast("string"), r["l_quantity"].cast("int").cast("string"), r["l_returnflag"]))
     return li.groupBy("l_orderkey").agg(F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Flag"))), lines).alias("rows"))

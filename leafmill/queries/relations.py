@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import matching, semantic, validate
 from leafmill.queries.registry import query, table
+from leafmill.shared import spread
 
 
 @query("""
@@ -47,7 +48,7 @@ SELECT l_orderkey, s.spec, CASE s.spec WHEN 'flag' THEN first ELSE '' END AS val
 FROM l CROSS JOIN (VALUES ('flag'), ('color')) s(spec)
 """)
 def field_spec_mapping(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     c = li.select("l_orderkey", F.lit("return flag").alias("name"), F.lit("Return Flag").alias("label"), F.col("l_returnflag").alias("value"), F.lit("high").alias("confidence"), place.cast("long").alias("ord_in"))
     specs = spark.createDataFrame([(0, "flag", "Flag|Code", True), (1, "color", "colour|color", True)], "ord int, name string, label_pattern string, required boolean")
@@ -61,7 +62,7 @@ SELECT doc, field, min(value) AS value FROM v GROUP BY 1, 2 HAVING count(DISTINC
 def accepted_final_json(spark, sf_dir):
     from leafmill.operators.merge import accepted_fields
 
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return accepted_fields(li.select(F.col("l_orderkey").alias("doc"), F.lit("flag").alias("field"), F.col("l_returnflag").alias("value"), (F.col("l_linenumber") % 2 == 1).alias("verified")))
 
 
@@ -102,7 +103,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'sum_differs' AS note FRO
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'values_equal' FROM lineitem WHERE l_partkey = l_suppkey
 """)
 def cross_field_rules(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     t = F.col("l_partkey") + F.col("l_suppkey") + F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "row"]
     f = li.withColumn("row", F.xxhash64(*li.columns)).select(*key, F.explode(F.array(F.struct(F.lit("t").alias("name"), t.cast("string").alias("value")), F.struct(F.lit("a").alias("name"), F.col("l_partkey").cast("string").alias("value")), F.struct(F.lit("b").alias("name"), F.col("l_suppkey").cast("string").alias("value")))).alias("x")).select(*key, "x.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.tokens import image_tokens, image_tokens_simple, media_chunks, strategy, video_tokens
 from leafmill.operators import consensus, merge
 from leafmill.queries.registry import query, table
+from leafmill.shared import spread
 from leafmill.streaming import jobs
 
 
@@ -144,7 +145,7 @@ SELECT l_orderkey, value, n AS frequency, round(w / aw, 6) AS agreement, d = 1 A
 def weighted_vote(spark, sf_dir):
     from pyspark.sql import Window
 
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     v = li.select("l_orderkey", i.alias("vote_idx"), F.col("l_returnflag").alias("raw"), F.when(F.col("l_linenumber") % 2 == 0, 0.1).otherwise(0.5).alias("temperature"))
     return consensus.weighted_vote(v, ["l_orderkey"]).select("l_orderkey", "value", "frequency", F.round("agreement", 6).alias("agreement"), "unanimous", "votes")

@@ -22,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: what made the rows, a model's calls for one, isn't run again for them."""
+    """A reliable checkpoint: lost executors don't lose it, and what made the rows isn't run again for them.
+
+    Spark's own cleaner can remove it once nothing refers to it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -40,3 +43,19 @@ def running_before(rows: DataFrame, order: list[str], value: Column, name: str)
     starts = F.broadcast(rows.sparkSession.createDataFrame(sums, "__range int, __start long"))
     earlier = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0))).join(starts, "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt out to these; any other as it is.
+
+    For work that costs much more than moving the rows. Large inputs have more splits than that.
+    """
+    spark = df.sparkSession
+    want = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever Spark's file systems find it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -173,3 +173,16 @@ def test_job_table(spark, tmp_path):
     t.cancel(t.list().first().batch_id)
     # a job that is being cancelled is none of queued, validating and in_progress
     assert t.status_all().first().in_progress == 2 and t.status_all().first().jobs == 3
+
+
+def test_records_of_the_model_or_of_fields(spark):
+    import json
+
+    from leafmill.operators.normalize import normalize_pages
+
+    given = {"field_candidates": [{"label": "A", "value": "1"}], "integrated_records": [{"record_id": "r", "record_type": "row", "fields": {"x": "1", "y": "2"}}, {"fields": {"z": "3"}}, {"confidence": "high"}]}
+    own = {"field_candidates": [{"label": "A", "value": "1"}, {"label": "B", "value": "2"}, {"label": "A", "value": "3"}], "document_classification": {"type": "bill", "confidence": "high"}}
+    answers = [("a", 1, json.dumps(given)), ("a", 2, json.dumps(own)), ("a", 3, "nothing")]
+    d = spark.createDataFrame(answers, "source_path string, page int, response string")
+    got = {(r.page, r.record_id, r.record_type, r.confidence, r.name, r.value) for r in merge.integrated_records(normalize_pages(d)).collect()}
+    assert got == {(1, "r", "row", "low", "x", "1"), (1, "r", "row", "low", "y", "2"), (1, "page_1_2", "document", "low", "z", "3"), (2, "page_2", "bill", "high", "B", "2"), (2, "page_2", "bill", "high", "A", "3")}
