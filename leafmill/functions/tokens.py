@@ -109,3 +109,19 @@ def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, heig
 
 def output_quality(size_bytes: Column) -> Column:
     return F.when(size_bytes > 10 * 2**20, 80).when(size_bytes > 5 * 2**20, 88).otherwise(95)
+
+
+#: Image quality that a document's image has at least, and those taken where none is asked for (fixed values).
+LEAST_OCR_QUALITY, OCR_QUALITY, PLAIN_QUALITY = 92, 95, 90
+
+
+def image_quality(asked: Column, is_document: Column) -> Column:
+    """The quality an image is encoded with: a document's has a floor."""
+    given = F.coalesce(asked, F.when(is_document, OCR_QUALITY).otherwise(PLAIN_QUALITY))
+    return F.when(is_document, F.greatest(given, F.lit(LEAST_OCR_QUALITY))).otherwise(given)
+
+
+def too_large(size_bytes: Column, media: Column, local_video: int = 100 * 2**20, image: int = 20 * 2**20) -> Column:
+    """``Too large: x MB`` for images and recordings above their limits, else null."""
+    said = F.concat(F.lit("Too large: "), F.format_string("%.1f", size_bytes / F.lit(float(2**20))), F.lit(" MB"))
+    return F.when((media == "image") & (size_bytes > image), said).when((media == "video") & (size_bytes > local_video), F.concat(said, F.lit(". Use chunks.")))

@@ -111,3 +111,22 @@ def model_first(pages: DataFrame, model: PageModel, specs: list[dict], strict: b
     state = F.when(F.col("accepted"), "accepted").when(F.trim("value") != "", "needs_review").otherwise("missing")
     shown = entries.select(*KEY, "name", "value", F.col("accept_confidence").alias("confidence"), F.col("accepted").alias("verified"), (~F.col("accepted")).alias("needs_review"), state.alias("validation_state"), "reasons", "evidence_line", "evidence_source", (F.col("required") & ~F.col("accepted")).alias("required_unverified"))
     return {"entries": shown, "report": validate.page_risk(entries, KEY), "final": shown.where("verified").select(*KEY, "name", "value"), "failed": words.where("error is not null").select(*KEY, "error")}
+
+
+def extra_votes(fields: DataFrame, pages: DataFrame, model: PageModel, votes: int = 3, temperature: float = 0.1, adopt: float = 0.66) -> DataFrame:
+    """Fields of low confidence that have a value are asked for ``votes`` times more; the weighted vote counts from ``adopt`` agreement on.
+
+    ``fields``: as :func:`layered_extract` gives them. An adopted value is verified and of high confidence.
+    """
+    weak = fields.where((F.col("confidence") == "low") & (F.trim("value") != "")).select(*KEY, "spec")
+    asked = pages.join(weak, KEY).withColumn("vote_idx", F.explode(F.sequence(F.lit(0), F.lit(votes - 1)))).withColumn("temperature", F.lit(temperature))
+    # a vote's row is a page of its own, told by its field and number
+    told = asked.withColumn("source_path", F.to_json(F.struct("source_path", "spec", "vote_idx")))
+    read = cut(scan_model(told, model, "Give the value of the field in the column spec, and nothing else."))
+    named = read.where("error is null").select(F.from_json("source_path", "source_path string, spec string, vote_idx int").alias("n"), "page", "response")
+    cast = named.select("n.*", "page", F.col("response").alias("raw"), F.lit(temperature).alias("temperature"))
+    voted = consensus.weighted_vote(cast, [*KEY, "spec"]).where(F.col("agreement") >= adopt).select(*KEY, "spec", F.col("value").alias("voted"))
+    both = fields.join(voted, [*KEY, "spec"], "left")
+    new = F.col("voted").isNotNull()
+    changed = {"value": F.coalesce("voted", "value"), "confidence": F.when(new, "high").otherwise(F.col("confidence")), "verified": F.col("verified") | new}
+    return both.withColumns(changed).select(*fields.columns)

@@ -105,6 +105,14 @@ def record_rows(records: DataFrame, names: list[str], compat: bool = False) -> D
     return wide.select(*fixed, *[F.col(f"`{n}`").alias(n if compat else f"field.{n}") for n in names if not (compat and n in fixed)])
 
 
+def _field_names(records: DataFrame, most: int = 16_000) -> list[str]:
+    """The fields of all records, which become columns; more than a sheet holds is an error."""
+    names = [r["name"] for r in records.select("name").distinct().orderBy("name").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} fields: more columns than a sheet holds")
+    return names
+
+
 def overview_rows(pages: DataFrame) -> DataFrame:
     """Counts per source."""
     one = lambda c: F.sum(F.size(c)).cast("long")
@@ -187,7 +195,7 @@ def export(pages: DataFrame, folder: str, formats: list[str] | None = None) -> D
     if "xlsx" in wanted:
         sheets = {
             "Overview": overview_rows(pages),
-            "Integrated Records": records,
+            "Integrated Records": record_rows(records, _field_names(records)),
             "Detected Fields": detected_field_rows(pages),
             "Tables": table_rows(pages),
             "Entities": explode_list(pages, "entities"),

@@ -165,3 +165,22 @@ def test_each_page_is_asked_once(spark, pages, tmp_path):
     for name in ("pages", "documents", "fields", "records", "issues"):
         got[name].count()
     assert len(log.read_text().split()) == 8
+
+
+def test_votes_are_adopted_by_agreement(spark, pages):
+    class Voter(PageModel):
+        def read(self, prompt, row):
+            return {"response": "7" if row["spec"] == "Total" or row["vote_idx"] == 0 else f"other {row['vote_idx']}"}
+
+    fields = [("b.pdf", 1, "Total", True, "1", "low", False, False), ("b.pdf", 1, "Name", True, "2", "low", False, False), ("a.pdf", 1, "Total", True, "3", "high", True, False), ("a.pdf", 2, "Total", True, "", "low", False, False)]
+    d = spark.createDataFrame(fields, "source_path string, page int, spec string, required boolean, value string, confidence string, verified boolean, from_crop boolean")
+    got = {(r.source_path, r.page, r.spec): (r.value, r.confidence, r.verified) for r in passes.extra_votes(d, pages, Voter()).collect()}
+    assert got == {("b.pdf", 1, "Total"): ("7", "high", True), ("b.pdf", 1, "Name"): ("2", "low", False), ("a.pdf", 1, "Total"): ("3", "high", True), ("a.pdf", 2, "Total"): ("", "low", False)}
+
+
+def test_patterns_that_are_none_end_no_job(spark):
+    from leafmill.operators.validate import validate_rules
+
+    f = spark.createDataFrame([("a", "x1"), ("b", "x1"), ("c", "x1"), ("d", None)], "field string, value string")
+    r = spark.createDataFrame([("a", "[0-"), ("b", "(?P<n>x)(?P=n)"), ("c", r"\d"), ("d", "x")], "field string, pattern string").selectExpr("*", "cast(null as int) as min_length", "cast(null as int) as max_length", "cast(null as array<string>) as allowed_values")
+    assert {(x.field, x.rule) for x in validate_rules(f, r).collect()} == {("b", "pattern"), ("d", "pattern")}
