@@ -182,9 +182,11 @@ def crop_rectangles(spark, sf_dir):
 
 
 @query("""
+WITH s AS (SELECT p_partkey, p_size, CAST(p_partkey % 100 AS DOUBLE) / 100 AS one FROM part),
+r AS (SELECT *, CASE WHEN one > 0 THEN one * p_size / 50 / one END AS ratio FROM s)
 SELECT p_partkey, least(CAST(floor(p_partkey * 100000 / (5 * 1048576 / 8.0) * 2 + 0.5) AS BIGINT), 2000) AS frames,
-  CASE WHEN ((CAST(p_partkey % 100 AS DOUBLE) / 100) * p_size / 50 / (CAST(p_partkey % 100 AS DOUBLE) / 100)) > 0.8 OR ((CAST(p_partkey % 100 AS DOUBLE) / 100) > 0.35 AND ((CAST(p_partkey % 100 AS DOUBLE) / 100) * p_size / 50 / (CAST(p_partkey % 100 AS DOUBLE) / 100)) > 0.7) THEN 'image' ELSE 'text' END AS pdf_kind
-FROM part WHERE p_partkey % 100 > 0
+  CASE WHEN ratio > 0.8 OR (one > 0.35 AND ratio > 0.7) THEN 'image' ELSE 'text' END AS pdf_kind
+FROM r
 """)
 def media_estimates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -207,12 +209,14 @@ def batch_results(spark, sf_dir):
 
 
 @query("""
-SELECT url AS source_path, CAST(page_id AS INT) AS page, 'page-' || page_id AS custom_id, page_id % 3 = 0 AS failed FROM pages
+SELECT url AS source_path, CAST(page_id AS INT) AS page, CASE WHEN page_id % 3 = 0 THEN 'render failed' END AS error,
+  CASE WHEN page_id % 3 <> 0 THEN '{"custom_id":"page-' || page_id || '","method":"POST","url":"/v1/chat/completions","body":{"model":"vision","max_tokens":4096,"messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"data:image/png;base64,'
+    || base64(encode(html)) || '"}},{"type":"text","text":"[Page ' || page_id || ']\\nRead"}]}]}}' END AS line
+FROM pages
 """)
 def batch_submit(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), F.col("page_id").cast("int").alias("page"), F.lit("image/png").alias("mime"), F.when(F.col("page_id") % 3 != 0, F.col("html").cast("binary")).alias("content"))
-    b = batch_requests(p, "vision", "Read")
-    return b.select("source_path", "page", F.coalesce(F.get_json_object("line", "$.custom_id"), F.concat(F.lit("page-"), F.col("page").cast("string"))).alias("custom_id"), F.col("error").isNotNull().alias("failed"))
+    return batch_requests(p, "vision", "Read").select("source_path", "page", "error", "line")
 
 
 @query()

@@ -183,7 +183,7 @@ def candidate_dedup(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT doc_id, regexp_extract(text, '^[^ ]*', 0) AS value, regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents WHERE lang = 'en'),
+WITH v AS (SELECT doc_id, regexp_extract(text, '^[^ ]*', 0) AS value, regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents),
 k AS (SELECT *, regexp_replace(upper(replace(value, 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM v)
 SELECT doc_id, value, k <> '' AND contains(t, k) AS found FROM k
 """)

@@ -122,12 +122,14 @@ def video_aggregation(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), w AS (SELECT * FROM v WHERE i <= 12),
-e AS (SELECT a.p_brand, avg(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1)) AS entropy FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.i < b.i GROUP BY 1),
-m AS (SELECT p_brand, p_name, count(*) AS n, min(i) AS seen FROM w GROUP BY 1, 2), t AS (SELECT p_brand, arg_max(p_name, n * 1000 - seen) AS value, max(n) / sum(n) AS agreement FROM m GROUP BY 1)
+WITH m AS (SELECT p_brand, p_name, count(*) AS n, min(p_partkey) AS seen FROM part GROUP BY 1, 2),
+t AS (SELECT p_brand, sum(n) AS votes FROM m GROUP BY 1),
+a AS (SELECT x.p_brand, sum(x.n * y.n * levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name), 1)) AS apart FROM m x JOIN m y ON x.p_brand = y.p_brand AND x.p_name < y.p_name GROUP BY 1),
+b AS (SELECT p_brand, p_name AS value, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, seen) AS r FROM m) WHERE r = 1),
+e AS (SELECT p_brand, value, CASE WHEN votes > 1 THEN coalesce(apart, 0) / (votes * (votes - 1) / 2.0) ELSE 0 END AS entropy, n / votes AS agreement FROM t JOIN b USING (p_brand) LEFT JOIN a USING (p_brand))
 SELECT p_brand, value, round(entropy, 9) AS entropy, round(agreement, 9) AS agreement,
   CASE WHEN entropy < 0.15 AND agreement > 0.66 THEN 'high' WHEN entropy < 0.4 THEN 'medium' ELSE 'low' END AS confidence, entropy > 0.5 OR agreement < 0.5 AS needs_review
-FROM e JOIN t USING (p_brand)
+FROM e
 """)
 def consensus_entropy(spark, sf_dir):
     p = table(spark, sf_dir, "part")

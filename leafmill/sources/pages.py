@@ -239,7 +239,7 @@ def read_batch_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def batch_requests(pages: DataFrame, model: str, prompt: str, max_tokens: int = 4096) -> DataFrame:
     """Request lines, one per page; a page that failed to render is an error row and has no line."""
-    image = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content")).alias("url")).alias("image_url"))
+    image = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.translate(F.base64("content"), "\r\n", "")).alias("url")).alias("image_url"))
     text = F.struct(F.lit("text").alias("type"), F.concat(page_prompt(F.col("page")), F.lit("\n"), F.lit(prompt)).alias("text"))
     content = F.concat(F.lit("["), F.to_json(image), F.lit(","), F.to_json(text), F.lit("]"))
     head = F.to_json(F.struct(F.concat(F.lit("page-"), F.col("page").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url")))
