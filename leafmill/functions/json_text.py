@@ -114,6 +114,14 @@ def object_text(x, repair: bool = True) -> Column:
     return F.coalesce(plain, mend(F.when(plain.isNull(), F.coalesce(second, first))))
 
 
+def layout_object(x) -> Column:
+    """The object of a layout answer: its outermost braces, once more without boxes if they can't be read; null if that fails too."""
+    outer = outer_braces(name_box(without_fence(x)))
+    bare = F.regexp_replace(outer, r'"bbox"\s*:\s*\{[^{}]*\}?\s*,?', "")
+    bare = F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+    return F.when(is_object(outer), outer).when(is_object(bare), bare)
+
+
 def members(x) -> Column:
     """An object's members, each as text: strings as they are, the rest as JSON."""
     return F.from_json(col(x), LOOSE)

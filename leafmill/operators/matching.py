@@ -157,6 +157,15 @@ def swap_fallback(layout: DataFrame, fields: DataFrame, key: list[str]) -> DataF
     return both.select(*key, "label", F.when(use, F.col("fv")).otherwise(F.col("value")).alias("value"), F.when(use, F.col("fc")).otherwise(F.col("confidence")).alias("confidence"))
 
 
+def undo_label_swaps(validated: DataFrame, layout: DataFrame, key: list[str]) -> DataFrame:
+    """Validated values that only repeat their label get the layout's value back."""
+    seen = layout.groupBy(*key).agg(F.min_by(F.struct("label", F.col("value").alias("v")), "idx").alias("l"))
+    both = validated.join(seen, key, "left")
+    label = F.lower(F.trim(blank("l.label")))
+    swapped = (F.trim(blank("value")) != "") & (label != "") & (F.lower(F.trim(blank("value"))) == label)
+    return both.withColumn("value", F.when(swapped, F.col("l.v")).otherwise(F.col("value"))).drop("l")
+
+
 def correct_values(original: DataFrame, corrected: DataFrame, key: list[str]) -> DataFrame:
     """A second pass: a correction counts if it isn't blank, differs, and doesn't rewrite the value.
 

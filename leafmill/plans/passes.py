@@ -113,6 +113,32 @@ def model_first(pages: DataFrame, model: PageModel, specs: list[dict], strict: b
     return {"entries": shown, "report": validate.page_risk(entries, KEY), "final": shown.where("verified").select(*KEY, "name", "value"), "failed": words.where("error is not null").select(*KEY, "error")}
 
 
+def layout_fields(answers: DataFrame, specs: list[dict]) -> DataFrame:
+    """Layout answers (``source_path, page, response``) to ``name, label, value, confidence, bbox``; one that can't be read gives an empty field per specification."""
+    from leafmill.functions.json_text import as_array, box, layout_object
+
+    said = answers.withColumn("__o", members(layout_object("response")))
+    kind = "array<struct<name:string,label:string,value:string,confidence:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>>>"
+    empty = F.array(*[F.struct(F.lit(s["name"]).alias("name"), F.lit(s.get("label_pattern") or s["name"]).alias("label"), F.lit("").alias("value"), F.lit("low").alias("confidence"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("bbox")) for s in specs]).cast(kind)
+    one = lambda m: F.struct(blank(m["name"]).alias("name"), blank(m["label"]).alias("label"), blank(m["value"]).alias("value"), F.coalesce(m["confidence"], F.lit("low")).alias("confidence"), box(members(m["bbox"])).alias("bbox"))
+    read = F.transform(F.transform(as_array(F.col("__o")["fields"]), lambda x: F.struct(members(x).alias("m"))), lambda s: one(s["m"])).cast(kind)
+    rows = said.withColumn("__fields", F.when(F.col("__o").isNull(), empty).otherwise(read))
+    return rows.select(*KEY, F.posexplode_outer("__fields").alias("idx", "f")).where("idx is not null").select(*KEY, "idx", "f.*")
+
+
+def structured(answers: DataFrame, model: PageModel, prompt: str = "Write the column response as one JSON object, changing no value.") -> DataFrame:
+    """Answers with the object that each holds as ``object``: read, mended, or else asked of the model once more.
+
+    Only the answers that can't be mended reach the model.
+    """
+    from leafmill.functions.json_text import object_text
+
+    first = cut(answers.withColumn("object", object_text("response")))
+    bad = first.where("object is null and response is not null")
+    again = cut(scan_model(bad.select(*KEY, "response"), model, prompt).select(*KEY, object_text("response").alias("fixed")))
+    return first.join(again, KEY, "left").withColumn("object", F.coalesce("object", "fixed")).drop("fixed")
+
+
 def extra_votes(fields: DataFrame, pages: DataFrame, model: PageModel, votes: int = 3, temperature: float = 0.1, adopt: float = 0.66) -> DataFrame:
     """Fields of low confidence that have a value are asked for ``votes`` times more; the weighted vote counts from ``adopt`` agreement on.
 

@@ -100,6 +100,31 @@ def field_prompt(spec: dict) -> str:
     return " ".join(parts)
 
 
+def reading_prompt(kind: str = "document") -> str:
+    """Asked before extraction: how the page is laid out, so that the next prompt can follow it."""
+    return f"Read this {kind} as it is laid out: columns, tables, headings, labels with their values, stamps and handwriting. Describe the order in which it is to be read."
+
+
+def adaptive_prompt(reading: str, specs: list[dict]) -> str:
+    """Extraction that follows a reading made before."""
+    return "\n".join(["The page reads like this:", reading, "Give these fields as JSON, each with value, confidence and the text that proves it:", *(field_prompt(s) for s in specs)])
+
+
+def lossless_prompt(specs: list[dict] | None = None) -> str:
+    """Everything on a page of the first version: text, tables, candidates, what is left over and what is uncertain."""
+    lines = [
+        "Write down this page without loss as one JSON object.",
+        "Members: raw_markdown, raw_html, text_items, tables, field_candidates, mapped_fields, unmapped_fields, orphan_values, uncertain_tokens.",
+        "Keep every visible text; mark what is unreadable with [?]; never make up a value.",
+    ]
+    return "\n".join(lines + [field_prompt(s) for s in specs or []])
+
+
+def needs_model(request: str) -> bool:
+    """Whether a request may only be made with a model: inspecting, preparing and looking after jobs need none."""
+    return request not in ("inspect", "prepare", "jobs")
+
+
 def second_pass_prompt(fields: list[dict]) -> str:
     return "Check each value against the page and correct single misread characters only.\n" + "\n".join(f"{f['name']}: {f.get('value', '')}" for f in fields)
 

@@ -188,8 +188,35 @@ def with_retries(call, most: int = 3, base_s: float = 1.0, jitter=lambda: 0.0, s
     raise AssertionError
 
 
-def scan_model(pages: DataFrame, model: PageModel, prompt: str, in_flight: int | None = None, retries: int = 3, base_s: float = 1.0) -> DataFrame:
-    """The model as a scan: pages to answers. ``in_flight`` bounds the calls at once by partitions."""
+def within(call, seconds: float | None):
+    """What ``call()`` returns, or a TimeoutError after ``seconds``; the call itself is left to end by itself."""
+    if seconds is None:
+        return call()
+    from threading import Thread
+
+    out: list = []
+
+    def run():
+        try:
+            out.append((call(), None))
+        except Exception as e:  # noqa: BLE001  raised below, in the caller's thread
+            out.append((None, e))
+
+    t = Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not out:
+        raise TimeoutError(f"timed out after {seconds:g} s")
+    if out[0][1] is not None:
+        raise out[0][1]
+    return out[0][0]
+
+
+def scan_model(pages: DataFrame, model: PageModel, prompt: str, in_flight: int | None = None, retries: int = 3, base_s: float = 1.0, timeout_s: float | None = None, timeouts: int = 2) -> DataFrame:
+    """The model as a scan: pages to answers. ``in_flight`` bounds the calls at once by partitions.
+
+    A call that takes longer than ``timeout_s`` is made once more (``timeouts`` in all), then it is an error.
+    """
     names = pages.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,12 +225,18 @@ def scan_model(pages: DataFrame, model: PageModel, prompt: str, in_flight: int |
             for row in pdf.to_dict("records"):
                 base = {"source_path": row["source_path"], "page": row["page"], "stage": "page", "error": None}
                 try:
-                    got, _ = with_retries(lambda row=row: model.read(prompt, {k: row[k] for k in names}), retries, base_s)
+                    for left in range(timeouts - 1, -1, -1):
+                        try:
+                            got, _ = with_retries(lambda row=row: within(lambda: model.read(prompt, {k: row[k] for k in names}), timeout_s), retries, base_s)
+                            break
+                        except TimeoutError:
+                            if not left:
+                                raise
                     out.append(base | {k: got.get(k) for k in ("response", "reasoning", "input_tokens", "output_tokens", "estimated_image_tokens", "elapsed_ms")})
                 except Exception as e:  # noqa: BLE001  a page that fails is a row
                     out.append(base | {"error": str(e) or type(e).__name__})
             cols = ["source_path", "page", "stage", "response", "reasoning", "input_tokens", "output_tokens", "estimated_image_tokens", "elapsed_ms", "error"]
-            yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in cols[5:9]}) if out else pd.DataFrame(columns=cols)
+            yield pd.DataFrame(out, columns=cols, dtype=object).astype({c: "Int64" for c in cols[5:9]}) if out else pd.DataFrame(columns=cols)
 
     # fewer partitions without a shuffle of contents: as many calls at once as there are partitions
     source = pages.coalesce(in_flight) if in_flight else pages

@@ -36,7 +36,7 @@ _ANSWER = "response string, reasoning string, input_tokens long, output_tokens l
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    whole = pd.DataFrame(rows, columns=columns)
+    whole = pd.DataFrame(rows, columns=columns, dtype=object)
     return whole.astype({c: "Int64" for c in ("input_tokens", "output_tokens", "estimated_image_tokens", "elapsed_ms") if c in columns})
 
 
@@ -249,6 +249,17 @@ def render_pages(pages: DataFrame, backend: PdfBackend, scale: str = "scale", co
     return named.mapInArrow(run, "source_path string, page int, image binary, mime string, megapixels double, error string")
 
 
+def render_once(pages: DataFrame, backend: PdfBackend, scale: str = "scale", content: str = "content", most_megapixels: float = 25.0) -> DataFrame:
+    """As :func:`render_pages`, each page of equal contents and options drawn once, for all its sources.
+
+    What a cache of a long-lived process does, over the whole table: a render is told by the content's digest.
+    """
+    keyed = pages.withColumn("render_key", F.concat_ws("-", F.sha1(content), F.col("page").cast("string"), F.col(scale).cast("string")))
+    once = keyed.dropDuplicates(["render_key"]).drop("source_path").withColumnRenamed("render_key", "source_path")
+    drawn = render_pages(once, backend, scale, content, most_megapixels).withColumnRenamed("source_path", "render_key").drop("page")
+    return keyed.select("source_path", "page", "render_key").join(drawn, "render_key", "left").drop("render_key")
+
+
 def probe_durations(videos: DataFrame, probe) -> DataFrame:
     """Add ``duration_s`` and ``error``: what ``probe(path)`` says; none, nothing finite or nothing above 0 is an error."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in videos.schema)

@@ -35,6 +35,12 @@ def status_rollup(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(s.isin(*DONE)).alias("completed"), F.count_if(is_pending(s)).alias("in_progress"), F.count_if(s.isin(*FAILED)).alias("failed"), F.count_if(s == "expired").alias("expired"))
 
 
+def wait_summary(jobs: DataFrame) -> DataFrame:
+    """After a wait: how many are completed, pending, failed and expired, and whether it ended with some still pending."""
+    r = status_rollup(jobs)
+    return r.select("jobs", "completed", F.col("in_progress").alias("pending"), "failed", "expired", (F.col("in_progress") > 0).alias("wait_expired"))
+
+
 def wait_for_jobs(read_status, poll_s: float = 5, most_s: float = 300, clock=None, sleep=None) -> DataFrame:
     """Read states until none is pending or the time is over; polls are a second apart at least."""
     import time

@@ -184,3 +184,56 @@ def test_patterns_that_are_none_end_no_job(spark):
     f = spark.createDataFrame([("a", "x1"), ("b", "x1"), ("c", "x1"), ("d", None)], "field string, value string")
     r = spark.createDataFrame([("a", "[0-"), ("b", "(?P<n>x)(?P=n)"), ("c", r"\d"), ("d", "x")], "field string, pattern string").selectExpr("*", "cast(null as int) as min_length", "cast(null as int) as max_length", "cast(null as array<string>) as allowed_values")
     assert {(x.field, x.rule) for x in validate_rules(f, r).collect()} == {("b", "pattern"), ("d", "pattern")}
+
+
+def test_layout_answers(spark):
+    rows = [("a", 1, '```json\n{"fields":[{"name":"n","label":"L","value":"v","confidence":"high","bbox":{"x1":1,2,3,4}}]}\n```'), ("a", 2, '{"fields":[{"name":"n","value":"v","bbox":{"x1":1,"y1":,}}]}'), ("a", 3, "nothing")]
+    got = {(r.page, r.name, r.value, r.confidence) for r in passes.layout_fields(spark.createDataFrame(rows, "source_path string, page int, response string"), [{"name": "n"}]).collect()}
+    assert got == {(1, "n", "v", "high"), (2, "n", "v", "low"), (3, "n", "", "low")}
+
+
+def test_only_broken_answers_are_asked_again(spark, tmp_path):
+    class Fixer(PageModel):
+        def read(self, prompt, row):
+            return {"response": '{"fixed": true}' if row["page"] == 3 else "still nothing"}
+
+    rows = [("a", 1, '{"x": 1}'), ("a", 2, "{'x': 1,}"), ("a", 3, "none"), ("a", 4, "none"), ("a", 5, None)]
+    got = {r.page: r.object for r in passes.structured(spark.createDataFrame(rows, "source_path string, page int, response string"), Fixer()).collect()}
+    assert got[1] == '{"x": 1}' and got[2] is not None and got[3] == '{"fixed": true}' and got[4] is None and got[5] is None
+
+
+def test_slow_calls_are_errors(spark, pages):
+    class Slow(PageModel):
+        def read(self, prompt, row):
+            import time
+
+            time.sleep(0 if row["page"] % 2 else 20)
+            return {"response": "{}"}
+
+    from leafmill.sources.pages import scan_model
+
+    got = {r.page: r.error for r in scan_model(pages.where("source_path = 'a.pdf' and page < 4"), Slow(), "read", timeout_s=0.3).collect()}
+    assert got == {1: None, 2: "timed out after 0.3 s", 3: None}
+
+
+def test_equal_pages_are_drawn_once(spark):
+    class Counted(scans.PlainPdf):
+        def render(self, content, page, scale):
+            return bytes(content) + str(page).encode()
+
+    rows = [("a", 1, 1.0, 10, 10, b"x"), ("b", 1, 1.0, 10, 10, b"x"), ("c", 1, 1.0, 10, 10, b"y"), ("c", 2, 9999.0, 1000, 1000, b"y")]
+    d = spark.createDataFrame(rows, "source_path string, page int, scale double, w_pt int, h_pt int, content binary")
+    got = {(r.source_path, r.page): (None if r.image is None else bytes(r.image), r.error is None) for r in scans.render_once(d, Counted()).collect()}
+    assert got == {("a", 1): (b"x1", True), ("b", 1): (b"x1", True), ("c", 1): (b"y1", True), ("c", 2): (None, False)}
+
+
+def test_swaps_and_waits(spark):
+    from leafmill.operators import matching
+    from leafmill.streaming import jobs
+
+    v = spark.createDataFrame([("n", " Name "), ("m", "value")], "field string, value string")
+    layout = spark.createDataFrame([("n", "name", "Ann", 0), ("m", "Mode", "other", 1)], "field string, label string, value string, idx int")
+    assert {r.field: r.value for r in matching.undo_label_swaps(v, layout, ["field"]).collect()} == {"n": "Ann", "m": "value"}
+    states = spark.createDataFrame([(s,) for s in ("completed", "queued", "failed", "expired", "finalizing")], "status string")
+    r = jobs.wait_summary(states).first()
+    assert (r.completed, r.pending, r.failed, r.expired, r.wait_expired) == (1, 1, 2, 1, True)
