@@ -101,6 +101,9 @@ def first_pages(docs: DataFrame) -> DataFrame:
         "candidates",
         candidates(listed("unmapped_fields")).alias("model_unmapped"),
         members(i["mapped_fields"]).alias("mapped"),
+        F.transform(as_array(listed("text_items")), lambda t: let(_object(t), lambda m: F.when(m.isNull(), t).otherwise(or_(m["text"], m["value"])))).alias("text_items"),
+        F.transform(as_array(listed("tables")), lambda t: F.transform(as_array(_object(t)["rows"]), as_array)).alias("tables"),
+        blank(members(i["document_classification"])["type"]).alias("given_type"),
         as_array(listed("uncertain_tokens")).alias("uncertain_tokens"),
         as_array(listed("orphan_values")).alias("orphan_values"),
     )

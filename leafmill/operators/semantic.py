@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, canonical, comparable, looks_like_label, or_, stringify_cell, unescape_latex
+from leafmill.functions.json_text import members
+from leafmill.functions.text import blank, canonical, comparable, confidence, let, looks_like_label, or_, stringify_cell, unescape_latex
 from leafmill.operators.merge import first_wins
 
 COLON = r"^(.{2,60}?)[：:]\s*(.{1,160})$"
@@ -110,6 +111,33 @@ def integrated_records(pages: DataFrame, grain: str = "page") -> DataFrame:
     return whole.unionByName(rows)
 
 
+def semantic_pages(pages: DataFrame, hints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Pages of the first version (:func:`leafmill.operators.first_version.first_pages`) to what they mean.
+
+    ``pages``: text, tables with those that the text's rows make, classification, review. ``candidates``:
+    of fields, mapped fields, tables and labelled lines, the first of a name, label and value. With
+    ``hints`` (``name, aliases, required``) also ``attention`` and the ``issues`` of names that no page has.
+    """
+    from leafmill.operators.matching import attention_status
+
+    key = ["source_path", "page"]
+    text = page_text("raw_markdown", "raw_html", F.col("text_items"))
+    p = pages.withColumn("text", text).withColumn("tables", all_tables(F.col("tables"), F.col("text")))
+    part = lambda name, label, value, level: F.struct(blank(name).alias("name"), blank(label).alias("label"), blank(value).alias("value"), level.alias("confidence"))
+    fields = F.transform("candidates", lambda c: part(c["name"], c["label"], c["value"], c["confidence"]))
+    given = F.transform(F.map_entries(F.coalesce("mapped", F.create_map().cast("map<string,string>"))), lambda e: let(members(e["value"]), lambda m: part(e["key"], m["label"], F.coalesce(m["value"], e["value"]), confidence(m["confidence"], lower=False))))
+    p = p.withColumn("all", all_candidates(fields, given, F.col("tables"), F.col("text")))
+    p = p.withColumn("document_type", classify(F.col("given_type"), F.col("tables"))).withColumn("needs_review", (F.size("all") == 0) | (F.size("uncertain_tokens") > 0) | F.exists("all", lambda c: c["confidence"] == "low"))
+    each = p.select(*key, F.posexplode_outer("all").alias("idx", "c")).where("idx is not null").select(*key, "idx", "c.*")
+    out = {"pages": p.drop("all", "candidates", "given_type"), "candidates": unique_candidates(each, key, ["idx"])}
+    if hints is not None:
+        out["attention"] = attention_status(out["candidates"], hints, p, key)
+        met = out["attention"].join(hints.select(F.col("name").alias("hint"), "required"), "hint").select("source_path", F.col("hint").alias("name"), "matched", "required")
+        none = p.where(F.size("all") == 0).select(*key, F.lit("no_field_candidates").alias("type"), F.lit("high").alias("severity"), F.lit("the page has no field").alias("message"))
+        out["issues"] = review_issues(none, met)
+    return out
+
+
 def review_issues(page_issues: DataFrame, matches: DataFrame) -> DataFrame:
     """Issues of pages and the attention names that no page of a source meets."""
     never = matches.groupBy("source_path", "name").agg(F.bool_or("matched").alias("m"), F.bool_or("required").alias("r")).where("not m")

@@ -237,3 +237,19 @@ def test_swaps_and_waits(spark):
     states = spark.createDataFrame([(s,) for s in ("completed", "queued", "failed", "expired", "finalizing")], "status string")
     r = jobs.wait_summary(states).first()
     assert (r.completed, r.pending, r.failed, r.expired, r.wait_expired) == (1, 1, 2, 1, True)
+
+
+def test_semantic_pages(spark):
+    from leafmill.operators import semantic
+    from leafmill.operators.first_version import first_pages
+
+    answer = '{"raw_markdown":"Total: 7\\nno label","text_items":["Date: 2024","x"],"tables":[{"rows":[["Name","Size"],["Ann","3"],["City","42 km"]]}],"field_candidates":[{"name":"a","label":"A","value":"1","confidence":"high"},{"name":"a","label":"A","value":" 1","confidence":"high"}],"mapped_fields":{"b":{"value":"2","confidence":"high"}}}'
+    d = spark.createDataFrame([("s", 1, answer), ("s", 2, "{}")], "source_path string, page int, r string").selectExpr("source_path", "page", "from_json(r, 'map<string,string>') as doc")
+    hints = spark.createDataFrame([("total", ["total"], True), ("never", ["never"], False)], "name string, aliases array<string>, required boolean")
+    got = semantic.semantic_pages(first_pages(d), hints)
+    found = {(r.name, r.value, r.source) for r in got["candidates"].collect()}
+    assert {("a", "1", "field"), ("b", "2", "mapped"), ("total", "7", "text"), ("date", "2024", "text"), ("ann", "3", "table")} <= found and len(found) == got["candidates"].count()
+    pages = {r.page: r for r in got["pages"].collect()}
+    assert pages[1].document_type == "table_document_candidate" and pages[2].document_type == "document" and pages[2].needs_review
+    assert {(r.page, r.hint): r.matched for r in got["attention"].collect()} == {(1, "total"): True, (1, "never"): False, (2, "total"): False, (2, "never"): False}
+    assert {(r.page, r.type, r.severity, r.message) for r in got["issues"].collect()} == {(2, "no_field_candidates", "high", "the page has no field"), (None, "attention_field_not_found", "medium", "never")}
