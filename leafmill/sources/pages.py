@@ -281,21 +281,23 @@ def batch_requests(pages: DataFrame, model: str, prompt: str, max_tokens: int =
     return pages.select("source_path", "page", F.when(F.col("content").isNotNull(), line).alias("line"), F.when(F.col("content").isNull(), "render failed").alias("error"))
 
 
-@F.udf(T.IntegerType())
-def _pages_of(content):
-    import re
+def pdf_pages(contents: DataFrame, content: str = "content", backend=None) -> DataFrame:
+    """Add ``total_pages`` by what a backend sees (:class:`leafmill.sources.scans.PdfBackend`); null for what it can't open."""
+    from leafmill.sources.scans import PlainPdf
 
-    if not content or not bytes(content[:1024]).lstrip().startswith(b"%PDF"):
-        return None
-    return len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", bytes(content))) or None
+    seen = backend or PlainPdf()
 
+    @F.pandas_udf(T.IntegerType())
+    def count(files: pd.Series) -> pd.Series:
+        def one(body):
+            try:
+                return len(seen.sizes(bytes(body or b"")))
+            except Exception:  # noqa: BLE001  what can't be opened has no count
+                return None
 
-def pdf_pages(contents: DataFrame, content: str = "content") -> DataFrame:
-    """Page count by the page objects that stand uncompressed in the file; null where none does.
+        return files.map(one).astype("Int32")
 
-    There is no PDF library here: rendering is left to a backend behind :class:`PageModel`.
-    """
-    return contents.withColumn("total_pages", _pages_of(F.col(content)))
+    return contents.withColumn("total_pages", count(F.col(content)))
 
 
 def capabilities(provider: str, region: str = "") -> dict:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.shared import shared_dir
+
 #: States by what they mean for a wait (fixed values); others, such as finalizing, mean none of these.
 DONE, FAILED = ("completed",), ("failed", "error", "expired", "cancelled")
 PENDING = ("queued", "validating", "in_progress")
@@ -216,7 +218,17 @@ def templates(pages: DataFrame, ttl_s: int = 300) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it has put out."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return what it has put out.
+
+    Batches go to the shared folder, not through the driver; of a complete result the last one counts.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -69,6 +69,10 @@ def test_pdf_info(spark):
     assert [(p.w_pt, p.h_pt) for p in got["a"].pages] == [(595, 842), (101, 200)] and got["a"].total_pages == 2
     assert [(p.page, p.w_pt, p.h_pt) for p in got["b"].pages] == [(1, 300, 400)]
     assert all(got[k].error for k in "cde") and "encrypted" in got["d"].error
+    from leafmill.sources.pages import pdf_pages
+
+    counted = {r.source_path: r.total_pages for r in pdf_pages(spark.createDataFrame(files, "source_path string, content binary")).collect()}
+    assert counted == {"a": 2, "b": 1, "c": None, "d": None, "e": None}
 
 
 def test_rendering(spark):
