@@ -23,9 +23,11 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_media": media.op9_media,
     "op10_bpe": bpe.op10_bpe,
+    "dedup_lines": substring_dedup.dedup_lines,
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "dedup_lines": substring_dedup.LINES_SQL,
 }

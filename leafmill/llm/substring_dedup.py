@@ -178,3 +178,20 @@ def dedup_units(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
 def op8_substring_dedup(spark, sf_dir):
     return dedup_units(documents(spark, sf_dir), every_line=True, passage=12).withColumnRenamed("id", "doc_id")
+
+
+def dedup_lines(spark, sf_dir):
+    """Line hashing alone, without sentences, which SQL can express."""
+    found = dedup_units(documents(spark, sf_dir), least=2**31, every_line=True)
+    return found.select(F.col("id").alias("doc_id"), "n_removed", "removed_chars", "clean_text")
+
+
+LINES_SQL = """
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM t),
+k AS (SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS span FROM l),
+r AS (SELECT *, unit = '' OR row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) = 1 AS stays FROM k)
+SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, CAST(coalesce(sum(length(span)) FILTER (NOT stays), 0) AS BIGINT) AS removed_chars,
+  coalesce(string_agg(span, '' ORDER BY i) FILTER (stays), '') AS clean_text
+FROM r GROUP BY doc_id
+"""
