@@ -243,7 +243,19 @@ def line_tables(spark, sf_dir):
     return li.groupBy("l_orderkey").agg(F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Flag"))), lines).alias("rows"))
 
 
-@query()
+@query(f"""
+WITH {_FIELDS},
+r AS (SELECT source_path, row_number() OVER (PARTITION BY source_path ORDER BY page, label) AS i, '- page_' || page || ' ' || label || ' = ' || value AS t FROM f),
+s AS (SELECT 'customer/' || o_custkey AS source_path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i,
+        CASE o_orderstatus WHEN 'F' THEN '- high model_review_issue closed' ELSE '- medium model_review_issue pending' END AS t FROM orders WHERE o_orderstatus IN ('F', 'P')),
+a AS (SELECT source_path, string_agg(t, chr(10) ORDER BY i) FILTER (i <= 100) AS t, count(*) AS n FROM r GROUP BY 1),
+b AS (SELECT source_path, string_agg(t, chr(10) ORDER BY i) FILTER (i <= 200) AS t, count(*) AS n FROM s GROUP BY 1),
+h AS (SELECT 'customer/' || o_custkey AS source_path, count(*) AS n FROM orders GROUP BY 1)
+SELECT h.source_path, '# ' || h.source_path || chr(10) || chr(10) || 'pages: ' || h.n || chr(10) || 'classification: order'
+  || chr(10) || chr(10) || '## Records' || chr(10) || coalesce(a.t, 'none') || CASE WHEN a.n > 100 THEN chr(10) || '... ' || (a.n - 100) || ' more' ELSE '' END
+  || chr(10) || chr(10) || '## Issues' || chr(10) || coalesce(b.t, 'none') || CASE WHEN b.n > 200 THEN chr(10) || '... ' || (b.n - 200) || ' more' ELSE '' END AS markdown
+FROM h LEFT JOIN a ON a.source_path = h.source_path LEFT JOIN b ON b.source_path = h.source_path
+""")
 def markdown_report(spark, sf_dir):
     pages = normalize_pages(order_answers(spark, sf_dir), repair=False)
     return exports.report(pages, merge.integrated_records(pages), explode_list(pages, "issues"))
