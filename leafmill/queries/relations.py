@@ -84,7 +84,7 @@ WITH d AS (SELECT doc_id, {_KEY} AS k FROM documents), b AS (SELECT item_id, {_K
 SELECT doc_id, item_id FROM d JOIN b ON b.k <> '' AND contains(d.k, b.k)
 """)
 def evidence_contains(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    d, b = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     return matching.contains_joins(d, b, "text", "item", gram=32).select("doc_id", "item_id").distinct()
 
 
