@@ -410,3 +410,31 @@ def test_samples_by_hash_only(spark):
     """The held-out rows are the ones the checksum says."""
     d = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.held_out("doc_id", 5, 0))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in d.collect())
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\d| ", r"\S+|\s", r"[a-z]+"])
+def test_bpe_of_other_patterns(spark, pattern):
+    """Chunks are this pattern's own pre-tokens; what it passes over is no token."""
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [t for t in TRICKY if len(t) < 1000] + ["plain words, and more words 42", "ABC", None]
+    got = {r.id: r.ids for r in bpe.encode_documents(docs(spark, texts), path, pattern, ids=True).collect()}
+    assert got == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("width", "p", "q"), [(2, 1, 2), (1, 19, 20)])
+def test_near_dups_at_other_thresholds(spark, width, p, q):
+    rnd = random.Random(p * q)
+    texts = []
+    for size in (4, 20, 90):
+        base = rnd.choices(WORDS, k=size)
+        for edits in range(0, size // 2 + 1, max(1, size // 12)):
+            t = list(base)
+            for at in rnd.sample(range(size), edits):
+                t[at] = rnd.choice(WORDS).upper() + "x"
+            texts.append(" ".join(t))
+    got = near_dups.jaccard_components(docs(spark, texts), width=width, p=p, q=q).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == same_components(list(enumerate(texts)), width, p, q)
