@@ -89,3 +89,54 @@ def test_media_estimates_takes_shares_of_zero(spark):
     assert got.keys() == part.keys() and {v for k, v in got.items() if k % 100 == 0} == {"text"}
     d = spark.createDataFrame([(0.0, 0.0), (0.0, 0.2), (0.5, 0.5), (0.5, 0.1)], "a double, b double")
     assert [r[0] for r in d.select(pdf_kind(F.col("a"), F.col("b"))).collect()] == ["text", "image", "image", "text"]
+
+
+def test_adaptive_concurrency_call_by_call(spark):
+    """Every call of every user, by the rules written out once more."""
+    calls = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect():
+        status = 200 if r.event_type != "error" else 429 if r.event_id % 2 == 0 else 500
+        calls[r.user_id].append((r.event_id, r.ts.timestamp() if hasattr(r.ts, "timestamp") else r.ts, status, r.value * 10))
+    want = {}
+    for user, rows in calls.items():
+        level, mean, n, bad, changed = 10, None, 0, 0, None
+        for event, at, status, latency in rows:
+            n += 1
+            if status != 200:
+                bad += 1
+                level, changed, n, bad = max(1, level // 2 if status == 429 else int(level * 0.7)), at, 0, 0
+            else:
+                mean = latency if mean is None else 0.3 * latency + 0.7 * mean
+                if n >= 10 and (changed is None or at - changed >= 5):
+                    if bad / n < 0.05 and mean < 3000:
+                        level, changed, n, bad = min(50, max(level + 1, int(level * 1.3))), at, 0, 0
+                    elif bad / n > 0.15 or mean > 10_000:
+                        level, changed, n, bad = max(1, int(level * 0.7)), at, 0, 0
+            want[user, event] = (level, mean)
+    got = {(r.user_id, r.event_id): (r.concurrency, r.ema) for r in QUERIES["adaptive_concurrency"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    wrong = [(k, got[k], v) for k, v in want.items() if got[k][0] != v[0] or (v[1] is not None and got[k][1] != pytest.approx(v[1]))]
+    assert not wrong, wrong[:3]
+
+
+def test_image_quality_sample_by_sample(spark, tmp_path):
+    import random
+
+    rnd = random.Random(1)
+    texts = ["".join(chr(rnd.randrange(32, 127)) for _ in range(64 * h + 5)) for h in (1, 5, 40)] + ["a" * 64 * 9, "short", "", None]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["image_quality"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        r = got[k]
+        if t is None or len(t) < 64:
+            assert (r.pixels, r.quality, r.inverted) == (None, "low", False)
+            continue
+        rows = [[ord(c) for c in t[i : i + 64]] for i in range(0, len(t) // 64 * 64, 64)]
+        flat = [x for row in rows for x in row]
+        mean = sum(flat) / len(flat)
+        steps = [abs(row[i] - row[i + 1]) for row in rows for i in range(63)] + [abs(a - b) for x, y in zip(rows, rows[1:], strict=False) for a, b in zip(x, y, strict=True)]
+        assert r.pixels == len(flat) and r.contrast == pytest.approx((sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5) and r.sharpness == pytest.approx(sum(steps) / len(steps))
+        assert r.quality == "low"  # fewer than 300,000 samples
+        dark, upper = sum(x < 128 for x in flat) / len(flat), sorted(flat)[len(flat) // 2]
+        assert r.inverted == (dark > 0.6 and upper < 80)
