@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 Labels belong to documents, the offence to some of their sentences. A sentence's probability is a
-logistic score of its words; a document's is their noisy-or, ``1 - prod(1 - p)``. The weights are
+logistic score of its words; a document's is their noisy-or, ``1 - prod(1 - p)`` (in scores, sentences
+of hardly any probability count for a small share). The weights are
 trained from document labels through that combination, and afterwards locate the sentences.
 
 A word's score is the sum of its features' weights: itself and its character n-grams, with its two ends
@@ -23,6 +24,9 @@ from leafmill.llm.common import documents, free_name, small_batches, utf8
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
+#: A sentence below this probability is background, of which a document's score takes this share: a long text has
+#: hundreds of sentences in which nothing offends, and what little the model gives each mustn't add up.
+BACKGROUND, SHARE = 0.1, 0.03
 #: Lengths of the n-grams, and words that a worker remembers the scores of in each of two generations.
 LENGTHS, REMEMBERED = (4, 5, 6), 200_000
 
@@ -73,11 +77,11 @@ class Model:
         total, found = 0.0, []
         for m in SENTENCE.finditer(text):
             z = bias + math.fsum(map(word, set(WORD.findall(m[0].lower()))))
-            total += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-            if z > -30:
-                p = self.shifted(1 / (1 + math.exp(-z)))
-                if p >= 0.5:
-                    found.append((m.start(), m.end(), p))
+            p = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+            weight = z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
+            total += weight if p >= BACKGROUND else SHARE * weight
+            if p >= self.middle:
+                found.append((m.start(), m.end(), self.shifted(p)))
         return self.shifted(-math.expm1(-total)), found
 
 
@@ -207,7 +211,7 @@ def held_out(key: str, of: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, longest: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, longest: int = 30_000) -> Model:
     """Train on at most ``most`` labelled rows of each label, those whose identifiers hash lowest, of texts of ``longest`` bytes or less.
 
     Labels other than 0 and 1 and null ones are not used. The sample's texts, and nothing else, come

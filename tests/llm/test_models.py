@@ -88,7 +88,8 @@ def test_toxicity_as_by_hand(spark):
                 marked = f"<{w}>"
                 grams = {marked} | {marked[i : i + n] for n in toxicity.LENGTHS for i in range(len(marked) - n + 1)}
                 z += sum(model.weights.get(g, 0.0) for g in grams)
-            left *= 1 - 1 / (1 + math.exp(-z))
+            p = 1 / (1 + math.exp(-z))
+            left *= (1 - p) ** (1 if p >= toxicity.BACKGROUND else toxicity.SHARE)
         p = 1 - left
         odds = p / (1 - p) / (model.middle / (1 - model.middle)) if p < 1 else math.inf
         return odds / (1 + odds) if p < 1 else 1.0
