@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, comparable, dashes, evidence_key, or_, rank_of
+from leafmill.operators.containment import contained, either_way
 
 #: Rows of a caller's list that may be broadcast.
 SHORT_LIST = 10_000
@@ -31,6 +32,17 @@ def either_contains(a: Column, b: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
+def either_join(hay: DataFrame, listed: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct texts ``a`` with the rows of a list whose ``b`` contains them or is contained.
+
+    A list that is counted to be short is broadcast; a longer one is joined by shared representatives.
+    """
+    if listed.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        return hay.join(F.broadcast(listed), either_contains(F.col(a), F.col(b)))
+    pairs = either_way(hay.select(F.col(a).alias("text")), listed.select(F.col(b).alias("text"))).select(F.col("left").alias(a), F.col("right").alias(b))
+    return hay.join(pairs, a).join(listed, b)
+
+
 def patterns(specs: DataFrame, name: str = "name", pattern: str = "label_pattern") -> DataFrame:
     """A row per ``|``-separated pattern of a specification."""
     each = F.explode(F.split(or_(pattern, name), r"\|"))
@@ -45,7 +57,7 @@ def match_specs(candidates: DataFrame, specs: DataFrame, key: list[str]) -> Data
     hay = comparable(F.concat(blank("name"), blank("label")))
     c = candidates.withColumn("hay", hay)
     distinct = c.select("hay").distinct()
-    hits = with_list(distinct, patterns(specs), either_contains(F.col("hay"), F.col("p"))).select("hay", "spec", "ord").distinct()
+    hits = either_join(distinct, patterns(specs), "hay", "p").select("hay", "spec", "ord").distinct()
     return c.join(hits, "hay").drop("hay")
 
 
@@ -59,7 +71,7 @@ def attention_candidates(candidates: DataFrame, hints: DataFrame, key: list[str]
     """Hint and candidate pairs: an alias and name, label and value contain one another."""
     c = candidates.withColumn("hay", comparable(F.concat(blank("name"), blank("label"), blank("value"))))
     alias = hints.select(F.col("name").alias("hint"), "required", F.explode("aliases").alias("alias")).withColumn("alias", comparable("alias"))
-    hits = with_list(c.select("hay").distinct(), alias, either_contains(F.col("hay"), F.col("alias"))).select("hay", "hint").distinct()
+    hits = either_join(c.select("hay").distinct(), alias, "hay", "alias").select("hay", "hint").distinct()
     return c.join(hits, "hay").drop("hay")
 
 
@@ -198,32 +210,19 @@ def spec_values(candidates: DataFrame, specs: DataFrame, key: list[str]) -> Data
     return both.select(*key, "spec", value.alias("value"), F.coalesce("confidence", F.lit("low")).alias("confidence"), ((F.col("confidence") == "high") & value_is_valid(value, F.col("required")) & (value != "")).alias("verified"))
 
 
-def contains_joins(lines: DataFrame, values: DataFrame, line: str, value: str, gram: int = 12, few: int = 1000) -> DataFrame:
+def contains_joins(lines: DataFrame, values: DataFrame, line: str, value: str, few: int = 1000) -> DataFrame:
     """Pairs of a large table of texts and one of values that they contain, by evidence keys.
 
     Up to ``few`` values, counted, are broadcast and looked for in each text. Beyond that ``contains``
-    would compare all with all, so a value's first ``gram`` characters must stand in the text: the
-    texts' distinct grams are joined to these by equality, and the rest of the value is verified. Values
-    shorter than that are joined by grams of their own length. Columns of both sides are kept; the keys
+    would compare all with all, so distinct texts are joined by representatives that they share. Columns of both sides are kept; the keys
     are ``__line`` and ``__value``.
     """
     v = values.withColumn("__value", evidence_key(value)).where("__value <> ''")
     t = lines.withColumn("__line", evidence_key(line))
     if v.limit(few + 1).count() <= few:
         return t.join(F.broadcast(v), F.col("__line").contains(F.col("__value")))
-    v = v.withColumn("__g", F.least(F.length("__value"), F.lit(gram))).withColumn("__head", F.substring("__value", 1, gram))
-    sizes = [r[0] for r in v.select("__g").distinct().orderBy("__g").collect()]  # at most ``gram`` of them
-
-    def heads(g: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__line") - g + 1, F.lit(1))), lambda i: F.substring(F.col("__line"), i, F.lit(g)))
-
-    # only distinct lines' names and grams are shuffled; their texts come back for the pairs that are left
-    told = t.withColumn("__told", F.xxhash64("__line"))
-    grams = told.select("__told", F.explode(F.array_distinct(F.flatten(F.array(*[heads(g) for g in sizes])))).alias("__head")).distinct()
-    v = v.withColumn("__v", F.xxhash64("__value"))
-    maybe = grams.join(v.select("__head", "__v").distinct(), "__head").select("__told", "__v").distinct()
-    both = told.join(maybe, "__told").join(v, "__v")
-    return both.where(F.col("__line").contains(F.col("__value"))).drop("__head", "__g", "__told", "__v")
+    pairs = contained(t.select(F.col("__line").alias("text")), v.select(F.col("__value").alias("text"))).select(F.col("longer").alias("__line"), F.col("shorter").alias("__value"))
+    return t.join(pairs, "__line").join(v, "__value")
 
 
 def find_evidence(values: DataFrame, first: DataFrame, full: DataFrame, parsed: DataFrame, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import matching, semantic, validate
+from leafmill.operators import containment, matching, semantic, validate
 from leafmill.queries.registry import query, table
 from leafmill.shared import spread
 
@@ -85,7 +85,7 @@ SELECT doc_id, item_id FROM d JOIN b ON b.k <> '' AND contains(d.k, b.k)
 """)
 def evidence_contains(spark, sf_dir):
     d, b = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return matching.contains_joins(d, b, "text", "item", gram=32).select("doc_id", "item_id").distinct()
+    return matching.contains_joins(d, b, "text", "item").select("doc_id", "item_id").distinct()
 
 
 @query("""
@@ -192,3 +192,25 @@ def evidence_cascade(spark, sf_dir):
     values = d.select("doc_id", F.lit("first").alias("name"), F.regexp_extract("text", "^[^ ]*", 0).alias("value"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return matching.find_evidence(values, lines, d.select("doc_id", "text"), d.select("doc_id", F.col("text").alias("parsed")), ["doc_id"]).select("doc_id", "value", "found")
+
+
+def _comparable(x: str) -> str:
+    return f"""regexp_replace(lower({x}), '[\\s_.,:;''"()\\[\\]{{}}|\\\\/\\-]+', '', 'g')"""
+
+
+@query(f"""
+WITH l AS (SELECT DISTINCT {_comparable('line')} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''),
+p AS (SELECT DISTINCT {_comparable("array_to_string(list_slice(string_split(text, ' '), 2, 4), ' ')")} AS text FROM documents WHERE text IS NOT NULL
+  UNION SELECT {_comparable("split_part(p_name, ' ', 1)")} FROM part UNION SELECT {_comparable('o_orderkey || left(o_orderpriority, 1)')} FROM orders)
+SELECT l.text AS line, p.text AS pattern FROM l JOIN p ON contains(l.text, p.text) OR contains(p.text, l.text)
+""")
+def containment_both_ways(spark, sf_dir):
+    """All lines of all documents beside a list as long as the orders: which has which within it."""
+    from leafmill.functions.text import comparable
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = spread(d).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").select(comparable("line").alias("text"))
+    words = d.select(comparable(F.array_join(F.slice(F.split("text", " "), 2, 3), " ")).alias("text"))
+    names = table(spark, sf_dir, "part").select(comparable(F.split("p_name", " ")[0]).alias("text"))
+    orders = table(spark, sf_dir, "orders").select(comparable(F.concat(F.col("o_orderkey").cast("string"), F.left("o_orderpriority", F.lit(1)))).alias("text"))
+    return containment.either_way(lines, words.union(names).union(orders)).select(F.col("left").alias("line"), F.col("right").alias("pattern"))

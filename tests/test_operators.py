@@ -97,7 +97,7 @@ def test_contains_join_equals_the_plain_one(spark):
     t = spark.createDataFrame([(0, "abc def ghi"), (1, "x"), (2, ""), (3, None)], "d int, text string")
     v = spark.createDataFrame([(0, "C d"), (1, "ghi"), (2, "x"), (3, ""), (4, None), (5, "abcdefghi")], "i int, item string")
     for few in (0, 1000):
-        got = {(r.d, r.i) for r in matching.contains_joins(t, v, "text", "item", gram=4, few=few).collect()}
+        got = {(r.d, r.i) for r in matching.contains_joins(t, v, "text", "item", few=few).collect()}
         assert got == {(0, 0), (0, 1), (0, 5), (1, 2)}
 
 
@@ -186,3 +186,29 @@ def test_records_of_the_model_or_of_fields(spark):
     d = spark.createDataFrame(answers, "source_path string, page int, response string")
     got = {(r.page, r.record_id, r.record_type, r.confidence, r.name, r.value) for r in merge.integrated_records(normalize_pages(d)).collect()}
     assert got == {(1, "r", "row", "low", "x", "1"), (1, "r", "row", "low", "y", "2"), (1, "page_1_2", "document", "low", "z", "3"), (2, "page_2", "bill", "high", "B", "2"), (2, "page_2", "bill", "high", "A", "3")}
+
+
+def test_containment_of_large_lists(spark):
+    import random
+
+    from leafmill.operators import containment
+
+    rnd = random.Random(3)
+    long_ = ["".join(rnd.choices("abé日🙂", k=rnd.choice([1, 2, 3, 5, 8, 30, 200]))) for _ in range(150)] + ["", None, "hot"] + [f"hot {i}" for i in range(120)] * 2
+    short = [t[i : i + rnd.choice([1, 2, 3, 6, 7, 14, 15, 16, 31, 40])] for t in long_ if t for i in (0, len(t) // 3)] + ["", None, "zzz", "hot", "a" * 300]
+    a, b = spark.createDataFrame([(x,) for x in long_], "text string"), spark.createDataFrame([(x,) for x in short], "text string")
+    xs, ys = {x for x in long_ if x is not None}, {y for y in short if y is not None}
+    assert {tuple(r) for r in containment.contained(a, b, parts=2).collect()} == {(x, y) for x in xs for y in ys if y and y in x}
+    found = [tuple(r) for r in containment.either_way(a, b).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(x, y) for x in xs for y in ys if y in x or x in y}
+    assert "Cartesian" not in containment.contained(a, b)._jdf.queryExecution().toString() and "NestedLoop" not in containment.contained(a, b)._jdf.queryExecution().toString()
+    assert containment.either_way(a.limit(0), b).count() == 0 and containment.contained(a, b.limit(0)).count() == 0
+
+
+def test_long_lists_of_patterns(spark, monkeypatch):
+    c = spark.createDataFrame([(1, "Total due", "", "9"), (2, "x", "Tot", "8"), (2, "", "", "")], "doc int, name string, label string, value string")
+    specs = spark.createDataFrame([(0, "a", "due|none"), (1, "total", None), (2, "long", "the total due of all")], "ord int, name string, label_pattern string")
+    hints = spark.createDataFrame([("h", ["due 9", "zz"], True)], "name string, aliases array<string>, required boolean")
+    want = [{tuple(r) for r in f.collect()} for f in (matching.match_specs(c, specs, ["doc"]), matching.attention_candidates(c, hints, ["doc"]))]
+    monkeypatch.setattr(matching, "SHORT_LIST", 0)
+    assert [{tuple(r) for r in f.collect()} for f in (matching.match_specs(c, specs, ["doc"]), matching.attention_candidates(c, hints, ["doc"]))] == want
