@@ -196,11 +196,16 @@ def ocr_context(texts, most: int = 6000) -> Column:
     return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("\n...[truncated]"))).otherwise(joined)
 
 
+#: What names a language in a prompt, and what is asked of one that names none (fixed values).
+LANGUAGE_NAMED = "(?i)Traditional Chinese|Chinese|language"
+LANGUAGE_HINT = "\nPlease answer in Traditional Chinese when field labels or source text are Chinese."
+
+
 def enhance_prompt(prompt) -> Column:
     """Ask for the prompt's own script where it is Chinese and names no language."""
     p = blank(prompt)
-    named = p.rlike("(?i)english|chinese|中文|英文|language|語言|语言")
-    return F.when(p.rlike("[一-鿿]") & ~named, F.concat(p, F.lit("\n請使用與提示相同的語言回答。"))).otherwise(p)
+    named = p.rlike(LANGUAGE_NAMED)
+    return F.when(p.rlike("[\u4e00-\u9fff]") & ~named, F.concat(p, F.lit(LANGUAGE_HINT))).otherwise(p)
 
 
 #: Words by which a prompt is classified (fixed values).

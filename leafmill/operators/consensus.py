@@ -24,10 +24,10 @@ def entropy(votes: Column) -> Column:
 
 
 def clean_vote(x) -> Column:
-    """Trimmed, without fenced blocks and quotes, blank lines collapsed."""
-    v = F.regexp_replace(F.trim(blank(x)), r"(?s)```.*?```", "")
-    v = F.regexp_replace(F.trim(v), "^[\"'`]+|[\"'`]+$", "")
-    return F.trim(F.regexp_replace(v, r"\n\s*\n+", "\n"))
+    """Without quotes and white space at the ends, then without fenced blocks, runs of line ends as one."""
+    v = F.regexp_replace(blank(x), r"""(?U)^["'\s\uFEFF]+|["'\s\uFEFF]+$""", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"(?s)```.*?```", ""), r"\n{2,}", "\n")
+    return F.regexp_replace(v, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
 
 
 #: What makes a vote uncertain (fixed values).

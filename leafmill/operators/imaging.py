@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.plans.policy import PRESETS
+from leafmill.plans.policy import PRESETS, TYPE_STEPS, preset_steps
 
 _QUALITY = T.StructType([T.StructField(n, T.DoubleType()) for n in ("pixels", "contrast", "sharpness")])
 _TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("deviation", "noise", "edges")])
@@ -80,21 +80,19 @@ def is_inverted(m: Column) -> Column:
 
 @F.pandas_udf(_TYPE)
 def type_measures(gray: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Deviation, local differences on 100 x 100 samples, and the share of strong Laplacian edges on 200."""
+    """Deviation, local differences on 100 x 100 samples, and on 200 the share of samples that stand out from their eight neighbours."""
     rows = []
     for a in _arrays(gray, width):
         if a is None:
             rows.append((None, None, None))
             continue
-        s, e = _small(a, 100), _small(a, 200)
-        flat = s.ravel()
-        noise = np.mean([np.abs(flat[k:] - flat[:-k]).mean() for k in (1, 32) if len(flat) > k]) if len(flat) > 1 else 0.0
-        if min(e.shape) > 2:
-            lap = np.abs(4 * e[1:-1, 1:-1] - e[:-2, 1:-1] - e[2:, 1:-1] - e[1:-1, :-2] - e[1:-1, 2:])
-            edges = float((lap > 40).mean())
-        else:
-            edges = 0.0
-        rows.append((float(a.std()), float(noise), edges))
+        flat, e = _small(a, 100).ravel(), _small(a, 200)
+        n = len(flat)
+        noise = (np.abs(flat[32 : n - 32] - flat[: n - 64]).sum() + np.abs(flat[32 : n - 32] - flat[33 : n - 31]).sum()) / (2 * n) if n > 64 else 0.0
+        around = np.pad(e, 1, mode="edge")
+        h, w = e.shape
+        nine = sum(around[i : i + h, j : j + w] for i in range(3) for j in range(3))
+        rows.append((float(a.std()), float(noise), float((np.clip(9 * e - nine, 0, 255) > 40).mean())))
     return pd.DataFrame(rows, columns=["deviation", "noise", "edges"])
 
 
@@ -110,33 +108,55 @@ def document_type(m: Column) -> Column:
     )
 
 
-def step_log(preset: Column, inverted: Column) -> Column:
-    """The steps a preset takes; inverting only where the image is inverted."""
-    table = F.create_map(*[x for k, v in PRESETS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    steps = F.coalesce(F.try_element_at(table, preset), F.array().cast("array<string>"))
-    return F.filter(steps, lambda s: (s != "invert") | inverted)
+def step_log(preset: Column, inverted: Column, kind: Column | None = None) -> Column:
+    """The steps a preset takes for a page; an unknown preset takes none. ``kind``: a measured type, null for the preset's own."""
+    kinds = ["", *TYPE_STEPS]
+    every = {f"{p}/{i}/{k}": preset_steps(p, bool(i), k or None) for p in PRESETS for i in (0, 1) for k in kinds}
+    table = F.create_map(*[x for k, v in every.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    asked = F.concat_ws("/", preset, F.coalesce(inverted, F.lit(False)).cast("int").cast("string"), F.coalesce(kind, F.lit("")) if kind is not None else F.lit(""))
+    return F.coalesce(F.try_element_at(table, asked), F.array().cast("array<string>"))
+
+
+def _blurred(a: np.ndarray, sigma: float) -> np.ndarray:
+    reach = max(1, int(np.ceil(3 * sigma)))
+    weights = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
+    weights /= weights.sum()
+    for axis in (0, 1):
+        p = np.pad(a, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        n = a.shape[axis]
+        a = sum(w * (p[k : k + n] if axis == 0 else p[:, k : k + n]) for k, w in enumerate(weights))
+    return a
+
+
+def _sharpened(a: np.ndarray, sigma: float, m1: float, m2: float, x1: float, y2: float, y3: float) -> np.ndarray:
+    """Differences from the blurred image, on a scale of 100, raised by ``m1`` where small, by ``m2`` beyond ``x1``, within limits."""
+    d = (a - _blurred(a, sigma)) / 2.55
+    more = np.where(np.abs(d) > x1, np.sign(d) * (m1 * x1 + m2 * (np.abs(d) - x1)), m1 * d)
+    return a + np.clip(more, -y3, y2) * 2.55
 
 
 def preprocess(samples: np.ndarray, steps: list[str]) -> np.ndarray:
-    """Apply steps to 8-bit grey samples."""
+    """Apply the steps of a log to 8-bit grey samples."""
+    linear = {t[1][0]: t[1][1:] for t in TYPE_STEPS.values()}
+    sharpen = {t[2][0]: t[2][1:] for t in TYPE_STEPS.values()}
+    edges = {t[3][0]: t[3][1] for t in TYPE_STEPS.values() if t[3]}
     a = samples.astype(float)
     for s in steps:
-        if s == "invert":
+        if s.startswith("invert"):
             a = 255 - a
-        elif s == "normalize" and a.max() > a.min():
-            a = (a - a.min()) * 255 / (a.max() - a.min())
-        elif s == "linear":
-            a = np.clip(a * 1.2 - 20, 0, 255)
-        elif s == "sharpen" and min(a.shape) > 2:
-            core = 5 * a[1:-1, 1:-1] - a[:-2, 1:-1] - a[2:, 1:-1] - a[1:-1, :-2] - a[1:-1, 2:]
-            a = a.copy()
-            a[1:-1, 1:-1] = np.clip(core, 0, 255)
-        elif s == "sobel" and min(a.shape) > 2:
-            gx = a[:-2, 2:] + 2 * a[1:-1, 2:] + a[2:, 2:] - a[:-2, :-2] - 2 * a[1:-1, :-2] - a[2:, :-2]
-            gy = a[2:, :-2] + 2 * a[2:, 1:-1] + a[2:, 2:] - a[:-2, :-2] - 2 * a[:-2, 1:-1] - a[:-2, 2:]
-            a = np.pad(np.clip(np.hypot(gx, gy), 0, 255), 1)
-        elif s == "threshold":
-            a = np.where(a >= 128, 255.0, 0.0)
+        elif s.startswith("normalize"):
+            low, high = np.percentile(a, (1, 99))
+            if high > low:
+                a = (a - low) * 255 / (high - low)
+        elif s in linear:
+            a = a * linear[s][0] + linear[s][1]
+        elif s in sharpen:
+            a = _sharpened(a, *sharpen[s])
+        elif s in edges:
+            p = np.pad(a, 1, mode="edge")
+            rows = p[2:] - p[:-2]
+            a = (rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]) / edges[s]
+        a = np.clip(a, 0, 255)
     return np.floor(a + 0.5).clip(0, 255).astype(np.uint8)
 
 

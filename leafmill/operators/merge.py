@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, comparable, let, or_, rank_of
 from leafmill.functions.tokens import js_round
 from leafmill.operators.normalize import explode_list
+from leafmill.operators.recurrences import Packing, recur
 from leafmill.shared import running_before
 
 
@@ -197,27 +197,10 @@ def fixed_chunks(rows: DataFrame, size: int, key: list[str], order: list) -> Dat
 def pack_by_budget(items: DataFrame, key: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Greedy packs: a new one begins where the next item would pass the budget and the pack isn't empty.
 
-    Order decides, so a key's items are one sorted stream of a partition; nothing is collected.
+    One source may hold everything: packs are found range by range.
     """
-    kinds = dict(items.dtypes)
-
-    def run(batches):
-        last = pack = held = None
-        for batch in batches:
-            keys, sizes = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            packs = []
-            for k, t in zip(keys, sizes, strict=True):
-                if last is None or k != last[0]:
-                    last, pack, held, n = (k,), 0, 0, 0
-                if held + (t or 0) > budget and n:
-                    pack, held = pack + 1, 0
-                held, n = held + (t or 0), 1
-                packs.append(pack)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], [*batch.schema.names, "pack"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", tokens long, pack int"
     listed = items.select(key, *order, F.col(tokens).cast("long").alias("tokens"))
-    return listed.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return recur(listed, [key], order, "tokens", Packing(budget), "pack")
 
 
 def video_summary(chunks: DataFrame) -> DataFrame:

@@ -129,12 +129,32 @@ def second_pass_prompt(fields: list[dict]) -> str:
     return "Check each value against the page and correct single misread characters only.\n" + "\n".join(f"{f['name']}: {f.get('value', '')}" for f in fields)
 
 
-#: Preprocessing by preset (fixed values): steps in their order.
+#: What a preset asks for (fixed values): the type it takes a page for, then whether to make it grey, normalise, raise the contrast, sharpen, enhance edges.
 PRESETS = {
-    "light": ["orient", "normalize"],
-    "aggressive": ["orient", "invert", "grayscale", "normalize", "linear", "sharpen"],
-    "table": ["orient", "grayscale", "normalize", "sharpen"],
-    "handwriting": ["orient", "grayscale", "normalize", "linear"],
-    "negative": ["orient", "invert", "normalize"],
-    "scanned": ["orient", "grayscale", "normalize", "sharpen", "threshold"],
+    "light": ("scan", False, False, False, True, False),
+    "aggressive": ("handwriting", True, True, True, True, True),
+    "table": ("table", True, True, True, False, False),
+    "handwriting": ("handwriting", False, True, True, True, True),
+    "negative": ("scan", True, True, True, True, False),
+    "scanned": ("scan", False, True, True, True, True),
 }
+#: Steps by type of document (fixed values): normalising, contrast (factor, offset), sharpening (sigma, m1, m2, x1, y2, y3), edges (scale).
+TYPE_STEPS = {
+    "table": (None, ("contrast(table-light 1.2)", 1.2, -15), ("sharpen(table sigma=0.5)", 0.5, 0.5, 0.2, 1.5, 6, 10), None),
+    "photo": ("normalize(shadow-removal)", ("contrast(photo 1.4,-40)", 1.4, -40), ("sharpen(photo sigma=0.9)", 0.9, 0.9, 0.3, 2.0, 8, 12), None),
+    "handwriting": ("normalize", ("contrast(handwriting 1.6,-50)", 1.6, -50), ("sharpen(handwriting sigma=1.1)", 1.1, 1.2, 0.4, 2.5, 10, 14), ("sobel-edge(handwriting)", 0.3)),
+    "scan": ("normalize", ("contrast(1.35,-35)", 1.35, -35), ("sharpen(sigma=0.7)", 0.7, 0.7, 0.25, 1.8, 7, 10), ("sobel-edge(scan)", 0.2)),
+}
+
+
+def preset_steps(preset: str, inverted: bool = False, kind: str | None = None) -> list[str]:
+    """The steps of a preset in their order; ``kind`` is a measured type in place of the preset's.
+
+    An inverted page is turned round first, then taken for a scan whose edges stay as they are. Handwriting keeps its tones.
+    """
+    own, grey, normal, contrast, sharpen, edges = PRESETS[preset]
+    kind = "scan" if inverted else kind or own
+    steps = TYPE_STEPS[kind]
+    out = ["invert(negative-detect)"] * inverted + ["auto-orient"] + ["grayscale"] * (grey and kind != "handwriting")
+    asked = (normal and steps[0], contrast and steps[1][0], sharpen and steps[2][0], edges and not inverted and steps[3] and steps[3][0])
+    return out + [x for x in asked if x]

@@ -97,7 +97,7 @@ def safety_label_in_value(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").contains(F.lower(first)).alias("holds_word"), validate.is_safe(first, F.col("p_name")).alias("safe"))
 
 
-_RANGES = [("1-3,5", 10), ("5,3,3", 10), ("2-99", 6), ("1-3-5", 10), ("", 3), ("0", 5), ("-3", 5), ("99", 5), ("4-2", 9), ("a", 4)]
+_RANGES = [("1-3,5", 10), ("5,3,3", 10), ("2-99", 6), ("1-3-5", 10), ("", 3), ("0", 5), ("-3", 5), ("99", 5), ("4-2", 9), ("a", 4), (",", 4), (" ", 4), (" 2 , ,4", 4)]
 
 
 @query("""
@@ -111,12 +111,17 @@ def page_range_expand(spark, sf_dir):
     return expand_pages(r).where("error is null").select("k", "page")
 
 
-@query("SELECT * FROM (VALUES ('1-3,5', '1,2,3,5', false), ('5,3,3', '3,5', false), ('2-99', '2,3,4,5,6', false), ('1-3-5', '1,2,3', false), ('', '1,2,3', false), ('0', '', true), ('-3', '', true), ('99', '', true), ('4-2', '', true), ('a', '', true)) t(text, pages, wrong)")
+@query("""
+WITH t(k, text, total, pages, wrong) AS (VALUES (0, '1-3,5', 10, '1,2,3,5', false), (1, '5,3,3', 10, '3,5', false), (2, '2-99', 6, '2,3,4,5,6', false), (3, '1-3-5', 10, '1,2,3', false), (4, '', 3, '1,2,3', false),
+  (5, '0', 5, '', true), (6, '-3', 5, '', true), (7, '99', 5, '', true), (8, '4-2', 9, '', true), (9, 'a', 4, '', true), (10, ',', 4, '', true), (11, ' ', 4, '', true), (12, ' 2 , ,4', 4, '2,4', false))
+SELECT o_orderkey, text, pages, wrong FROM orders JOIN t ON o_orderkey % 13 = k
+""")
 def page_range_cases(spark, sf_dir):
     from leafmill.sources.pages import page_range
 
-    r = spark.createDataFrame(_RANGES, "text string, total int").withColumn("r", page_range("text", F.col("total")))
-    return r.select("text", F.array_join(F.col("r.pages").cast("array<string>"), ",").alias("pages"), F.col("r.error").isNotNull().alias("wrong"))
+    case = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in _RANGES]), (F.col("o_orderkey") % len(_RANGES) + 1).cast("int"))
+    r = table(spark, sf_dir, "orders").select("o_orderkey", case(0).alias("text"), case(1).alias("total")).withColumn("r", page_range("text", F.col("total")))
+    return r.select("o_orderkey", "text", F.array_join(F.col("r.pages").cast("array<string>"), ",").alias("pages"), F.col("r.error").isNotNull().alias("wrong"))
 
 
 _EXTENSIONS = ("", ".PDF", ".png", ".jpg", ".JPEG", ".webp", ".gif", ".mp4", ".mpeg", ".mov", ".avi", ".flv", ".mpg", ".webm", ".wmv", ".3gpp", ".bmp", ".mkv")
@@ -225,3 +230,83 @@ def image_quality(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("gray"), F.lit(64).alias("width"))
     m = d.select("doc_id", imaging.quality_measures("gray", "width").alias("q"), imaging.darkness("gray", "width").alias("k"), imaging.type_measures("gray", "width").alias("t"))
     return m.select("doc_id", "q.*", imaging.quality_level(F.col("q")).alias("quality"), imaging.is_inverted(F.col("k")).alias("inverted"), imaging.document_type(F.col("t")).alias("document_type"))
+
+
+_PHONES = ("'(852) 1234 ' || n", "'852-1234 ' || n", "'4123 ' || n", "'(852-1234 ' || n", "'(+45) 1234 ' || n", "'(452)1234' || n", "'+452 1234 ' || n", "'(+1) 555 1234 ' || n", "'no number ' || n")
+
+
+@query(rf"""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'HK office' WHEN c_custkey % 4 = 1 THEN '+852' WHEN c_custkey % 4 = 2 THEN 'Denmark' END AS hint, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS n FROM customer),
+v AS (SELECT *, CASE c_custkey % {len(_PHONES)} {" ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PHONES))} END AS phone FROM c),
+b AS (SELECT *, regexp_replace(phone, '[\s-]', '', 'g') AS bare FROM v),
+o AS (SELECT *, regexp_replace(bare, '^\(\+?45\)', '(852)') AS once FROM b),
+r AS (SELECT *, regexp_replace(regexp_replace(once, '^\(452\)', '(852)'), '^\+?452', '+852') AS clean FROM o),
+k AS (SELECT *, CASE WHEN hint IN ('HK office', '+852') THEN regexp_matches(phone, '^\(852\)\s?\d{{4}}\s?\d{{4}}$') OR regexp_matches(clean, '^\(852\)\s?\d{{4}}\s?\d{{4}}$') OR regexp_matches(phone, '^(\+?852[\s-]?)?\d{{4}}[\s-]?\d{{4}}$') OR regexp_matches(clean, '^(\+?852[\s-]?)?\d{{4}}[\s-]?\d{{4}}$')
+  ELSE regexp_matches(phone, '^\(\+?\d{{1,4}}\)\s?[\d\s\-]{{7,15}}$') END AS valid FROM r)
+SELECT c_custkey, phone, valid, CASE WHEN NOT valid AND clean <> phone THEN clean ELSE '' END AS suggested,
+  concat_ws('|', CASE WHEN regexp_matches(bare, '^\(\+?45\)') THEN 'hallucinated +45 (likely HK 852)' END, CASE WHEN regexp_matches(once, '^\(452\)') THEN 'invalid prefix 452 (likely HK 852)' END, CASE WHEN regexp_matches(once, '^\+?452') THEN 'invalid prefix +452 (likely HK 852)' END) AS issues,
+  regexp_matches(bare, '^\(\+?45\)|^\+45|^\(452\)') AS made_up
+FROM k
+""")
+def phone_formats(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, F.when(k % 4 == 0, "HK office").when(k % 4 == 1, "+852").when(k % 4 == 2, "Denmark").alias("hint"), F.lpad((k % 10000).cast("string"), 4, "0").alias("n"))
+    v = c.withColumn("phone", F.element_at(F.array(*[F.expr(p) for p in _PHONES]), (k % len(_PHONES) + 1).cast("int"))).withColumn("c", validate.phone_check(F.col("phone"), F.col("hint")))
+    return v.select("c_custkey", "phone", "c.valid", "c.suggested", F.array_join("c.issues", "|").alias("issues"), validate.phone_hallucinated(F.col("phone")).alias("made_up"))
+
+
+#: A part's name as models give it back: quoted, in backticks, with fences, with empty lines.
+_VOTES = {0: "chr(34) || p_name || chr(34) || ' '", 1: "'`' || p_name || '`'", 2: "p_name || ' ```' || p_brand || '```'", 3: "' ' || chr(39) || p_name || chr(10) || chr(10) || chr(10) || p_brand", 4: "p_name || chr(10) || ' ' || chr(10) || p_brand", 5: "'```' || p_name || '``` ' || chr(39) || p_brand || chr(39)"}
+_VOTE = f"CASE p_partkey % 6 {' '.join(f'WHEN {k} THEN {v}' for k, v in _VOTES.items())} END"
+
+
+@query(rf"""
+SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_VOTE}, '^["''\s]+|["''\s]+$', '', 'g'), '(?s)```.*?```', '', 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS vote FROM part
+""")
+def clean_votes(spark, sf_dir):
+    from leafmill.operators.consensus import clean_vote
+
+    return table(spark, sf_dir, "part").select("p_partkey", clean_vote(F.expr(_VOTE)).alias("vote"))
+
+
+_PROMPTS = ("Extract all", "提取所有欄位", "用中文回答", "以英文 english 回答", "Answer in Chinese 提取", "which LANGUAGE 語言", "語言")
+
+
+@query("""
+WITH t(k, prompt, hinted) AS (VALUES (0, 'Extract all', false), (1, '提取所有欄位', true), (2, '用中文回答', true), (3, '以英文 english 回答', true), (4, 'Answer in Chinese 提取', false), (5, 'which LANGUAGE 語言', false), (6, '語言', true))
+SELECT s_suppkey, CASE WHEN hinted THEN prompt || chr(10) || 'Please answer in Traditional Chinese when field labels or source text are Chinese.' ELSE prompt END AS prompt FROM supplier JOIN t ON s_suppkey % 7 = k
+""")
+def prompt_language(spark, sf_dir):
+    from leafmill.functions.text import enhance_prompt
+
+    p = F.element_at(F.array(*[F.lit(x) for x in _PROMPTS]), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", enhance_prompt(p).alias("prompt"))
+
+
+@query("""
+WITH p(k, normal, turned) AS (VALUES
+  (0, 'auto-orient,sharpen(sigma=0.7)', 'auto-orient,sharpen(sigma=0.7)'),
+  (1, 'auto-orient,normalize,contrast(handwriting 1.6,-50),sharpen(handwriting sigma=1.1),sobel-edge(handwriting)', 'auto-orient,grayscale,normalize,contrast(1.35,-35),sharpen(sigma=0.7)'),
+  (2, 'auto-orient,grayscale,contrast(table-light 1.2)', 'auto-orient,grayscale,normalize,contrast(1.35,-35)'),
+  (3, 'auto-orient,normalize,contrast(handwriting 1.6,-50),sharpen(handwriting sigma=1.1),sobel-edge(handwriting)', 'auto-orient,normalize,contrast(1.35,-35),sharpen(sigma=0.7)'),
+  (4, 'auto-orient,grayscale,normalize,contrast(1.35,-35),sharpen(sigma=0.7)', 'auto-orient,grayscale,normalize,contrast(1.35,-35),sharpen(sigma=0.7)'),
+  (5, 'auto-orient,normalize,contrast(1.35,-35),sharpen(sigma=0.7),sobel-edge(scan)', 'auto-orient,normalize,contrast(1.35,-35),sharpen(sigma=0.7)'),
+  (6, '', ''))
+SELECT page_id, CASE WHEN page_id % 2 = 1 AND k < 6 THEN 'invert(negative-detect),' || turned ELSE normal END AS steps FROM pages JOIN p ON page_id % 7 = k
+""")
+def preprocess_steps(spark, sf_dir):
+    names = ("light", "aggressive", "table", "handwriting", "negative", "scanned", "unknown")
+    preset = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(imaging.step_log(preset, F.col("page_id") % 2 == 1), ",").alias("steps"))
+
+
+@query("""
+WITH f AS (SELECT p_type, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name END AS layout, CASE p_partkey % 40 WHEN 0 THEN NULL WHEN 1 THEN upper(p_name) || 'x' ELSE p_name END AS own, p_partkey % 50 = 3 AS low FROM part)
+SELECT p_type, bool_and(own IS NOT NULL AND NOT low AND (layout IS NULL OR layout = own)) AS skip FROM f GROUP BY 1
+""")
+def validation_skipped(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part")
+    own = F.when(k % 40 == 0, F.lit(None)).when(k % 40 == 1, F.concat(F.upper("p_name"), F.lit("x"))).otherwise(F.col("p_name"))
+    pairs = p.select("p_type", F.when(k % 9 != 0, F.col("p_name")).alias("layout_value"), own.alias("field_value"), F.when(k % 50 == 3, "low").otherwise("high").alias("confidence"))
+    return validate.skip_validation(pairs, ["p_type"])

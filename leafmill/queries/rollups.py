@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions.tokens import image_tokens, image_tokens_simple, media_chunks, strategy, video_tokens
-from leafmill.operators import consensus, merge
+from leafmill.operators import consensus, merge, recurrences
 from leafmill.queries.registry import query, table
 from leafmill.shared import spread
 from leafmill.streaming import jobs
@@ -81,6 +81,40 @@ def token_budget_packs(spark, sf_dir):
     return merge.pack_by_budget(p, "p_brand", ["p_partkey"], "t", 10_000)
 
 
+_HOT = """h AS (SELECT p_partkey, p_brand AS source, p_size, p_retailprice FROM part UNION ALL SELECT p_partkey, 'all', p_size, p_retailprice FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p_partkey) AS i FROM h)"""
+
+
+def hot_source(spark, sf_dir):
+    """The parts by brand, and all of them once more as one source, which holds half of all rows."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("source"), "p_size", "p_retailprice")
+    return p.unionByName(p.withColumn("source", F.lit("all")))
+
+
+@query(f"""
+WITH RECURSIVE {_HOT},
+f AS (SELECT source, p_partkey, i, 0 AS pack, CAST(p_size * 37 % 501 AS BIGINT) AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.source, o.p_partkey, o.i, CASE WHEN f.total + o.p_size * 37 % 501 > 400 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.total + o.p_size * 37 % 501 > 400 THEN o.p_size * 37 % 501 ELSE f.total + o.p_size * 37 % 501 END
+  FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
+SELECT source, p_partkey, pack FROM f
+""")
+def packs_of_a_hot_source(spark, sf_dir):
+    """Greedy packs where one source holds half of all rows and some items are larger than a pack."""
+    h = hot_source(spark, sf_dir).withColumn("t", F.col("p_size") * 37 % 501)
+    return merge.pack_by_budget(h, "source", ["p_partkey"], "t", 400).select("source", "p_partkey", "pack")
+
+
+@query(f"""
+WITH RECURSIVE {_HOT},
+f AS (SELECT source, p_partkey, i, CAST(p_retailprice AS DOUBLE) AS average FROM o WHERE i = 1
+  UNION ALL SELECT o.source, o.p_partkey, o.i, f.average * (1 - CAST(0.3 AS DOUBLE)) + CAST(o.p_retailprice AS DOUBLE) * CAST(0.3 AS DOUBLE) FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
+SELECT source, p_partkey, round(average, 6) AS average FROM f
+""")
+def moving_average(spark, sf_dir):
+    found = recurrences.moving_average(hot_source(spark, sf_dir), ["source"], ["p_partkey"], "p_retailprice", 0.3)
+    return found.select("source", "p_partkey", F.round("average", 6).alias("average"))
+
+
 @query("SELECT o_custkey, o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS INT) AS chunk FROM orders")
 def fixed_chunks(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
@@ -199,11 +233,28 @@ def batch_status_rollup(spark, sf_dir):
     return jobs.status_rollup(jobs.latest_status(job_events(spark, sf_dir), ["event_id"]))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch(ts) AS now, CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 3 = 0 THEN 429 WHEN event_id % 3 = 1 THEN 500 ELSE 404 END AS status, CAST(value AS DOUBLE) * 10 AS ms,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, now AS changed, 20 AS concurrency, CAST(0 AS DOUBLE) AS ema, 0 AS good, 0 AS bad FROM o WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN status >= 400 OR due THEN now ELSE changed END,
+    CASE WHEN status = 429 THEN greatest(2, concurrency // 2) WHEN status >= 500 THEN greatest(2, CAST(floor(concurrency * CAST(0.7 AS DOUBLE)) AS INT))
+      WHEN due AND bad / (good + bad) < 0.05 AND ema < 3000 THEN least(50, CAST(floor(concurrency * CAST(1.3 AS DOUBLE)) AS INT))
+      WHEN due AND (bad / (good + bad) > 0.15 OR ema > 10000) THEN greatest(2, CAST(floor(concurrency * CAST(0.7 AS DOUBLE)) AS INT)) ELSE concurrency END,
+    ema, CASE WHEN due THEN 0 ELSE good END, CASE WHEN due THEN 0 ELSE bad END
+  FROM (SELECT *, status < 400 AND now - changed >= 5 AND good + bad >= 10 AS due FROM (
+    SELECT o.user_id, o.event_id, o.i, o.now, o.status, f.changed, f.concurrency,
+      CASE WHEN o.status >= 400 THEN f.ema WHEN f.ema = 0 THEN o.ms ELSE f.ema * (1 - CAST(0.3 AS DOUBLE)) + o.ms * CAST(0.3 AS DOUBLE) END AS ema,
+      f.good + CASE WHEN o.status < 400 THEN 1 ELSE 0 END AS good, f.bad + CASE WHEN o.status >= 400 THEN 1 ELSE 0 END AS bad
+    FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)))
+SELECT user_id, event_id, concurrency, CAST(floor(ema * 1000) AS BIGINT) AS ema_us FROM f WHERE i > 0
+""")
 def adaptive_concurrency(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    calls = e.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, 429).otherwise(500)).otherwise(200).alias("status"), (F.col("value") * 10).alias("latency_ms"))
-    return jobs.adaptive_concurrency(calls, ["user_id"], ["event_id"])
+    failed = F.when(F.col("event_id") % 3 == 0, 429).when(F.col("event_id") % 3 == 1, 500).otherwise(404)
+    calls = e.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), F.when(F.col("event_type") == "error", failed).otherwise(200).alias("status"), (F.col("value") * 10).alias("latency_ms"))
+    return jobs.adaptive_concurrency(calls, ["user_id"], ["event_id"]).select("user_id", "event_id", "concurrency", F.floor(F.col("ema") * 1000).alias("ema_us"))
 
 
 @query("""

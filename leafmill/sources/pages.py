@@ -83,15 +83,15 @@ def page_range(text, total: Column) -> Column:
     """``pages`` and ``error`` of a range such as "1-5,10".
 
     A part's end beyond the total is cut to it; a start or single page beyond it, below 1 or not a
-    number is an error. Further dashes are ignored. No text means all pages.
+    number is an error, as is a text of commas and blanks alone. Further dashes are ignored. No text at all means all pages.
     """
     parts = F.filter(F.transform(F.split(blank(text), ","), lambda p: F.trim(p)), lambda p: p != "")
     num = lambda s: F.when(F.trim(s).rlike(r"^\d+$"), F.trim(s).cast("int"))
     one = F.transform(parts, lambda p: F.struct(num(F.get(F.split(p, "-"), F.lit(0))).alias("a"), F.when(p.contains("-"), num(F.get(F.split(p, "-"), F.lit(1)))).otherwise(num(p)).alias("b")))
-    bad = F.exists(one, lambda r: r["a"].isNull() | r["b"].isNull() | (r["a"] < 1) | (r["a"] > total) | (r["b"] < r["a"]))
+    bad = ((F.size(parts) == 0) & (blank(text) != "")) | F.exists(one, lambda r: r["a"].isNull() | r["b"].isNull() | (r["a"] < 1) | (r["a"] > total) | (r["b"] < r["a"]))
     spans = F.transform(one, lambda r: F.sequence(r["a"], F.least(r["b"], total)))
     none = F.array().cast("array<int>")
-    pages = F.when(F.size(parts) == 0, F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(none)).when(bad, none).otherwise(F.array_sort(F.array_distinct(F.flatten(F.when(bad, F.array(none)).otherwise(spans)))))
+    pages = F.when(blank(text) == "", F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(none)).when(bad, none).otherwise(F.array_sort(F.array_distinct(F.flatten(F.when(bad, F.array(none)).otherwise(spans)))))
     return F.struct(pages.alias("pages"), F.when(bad, F.concat(F.lit("invalid page range: "), blank(text))).alias("error"))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from leafmill.shared import shared_dir
 
@@ -100,42 +102,44 @@ class JobTable:
 class Controller:
     """Concurrency by latency and errors, one call at a time.
 
-    429 halves it, a server error takes 30 %; otherwise, at most every ``apart_s`` seconds and after
-    ``least`` calls, it goes up by 30 % while errors and latency are low and down by 30 % when either
-    is high. The latency is a moving average with weight ``alpha``, begun by the first sample.
+    A call that fails (status 400 or more) counts as an error and moves the time of the last change: 429
+    halves the concurrency, a server error takes 30 %. A call that succeeds feeds the moving average of the
+    latency (a zero begins it anew); then, ``apart_s`` seconds after the last change at the earliest and once
+    ``least`` calls are counted, the concurrency goes up by 30 % if errors and latency are low, down by 30 % if
+    either is high, and the counters begin anew whether it changed or not.
     """
 
-    FIELDS = ("concurrency", "ema", "calls", "errors", "changed")
+    FIELDS = ("concurrency", "ema", "successes", "errors", "changed")
 
-    def __init__(self, start: int = 10, low: int = 1, high: int = 50, alpha: float = 0.3, apart_s: float = 5.0, least: int = 10):
+    def __init__(self, begun: float, start: int = 20, low: int = 2, high: int = 50, alpha: float = 0.3, apart_s: float = 5.0, least: int = 10):
         self.low, self.high, self.alpha, self.apart_s, self.least = low, high, alpha, apart_s, least
-        self.concurrency, self.ema, self.calls, self.errors, self.changed = start, None, 0, 0, None
-
-    def _set(self, value: float, now: float) -> None:
-        self.concurrency, self.changed = int(min(self.high, max(self.low, value))), now
-        self.calls = self.errors = 0
+        self.concurrency, self.ema, self.successes, self.errors, self.changed = start, 0.0, 0, 0, begun
 
     def report(self, now: float, status: int, latency_ms: float) -> int:
-        self.calls += 1
-        if status == 429:
-            self.errors += 1
-            self._set(self.concurrency // 2, now)
-        elif status >= 500:
+        if status >= 400:
             self.errors += 1
-            self._set(int(self.concurrency * 0.7), now)
+            if status == 429:
+                self.concurrency = max(self.low, self.concurrency // 2)
+            elif status >= 500:
+                self.concurrency = max(self.low, int(self.concurrency * 0.7))
+            self.changed = now
         else:
-            self.ema = latency_ms if self.ema is None else self.alpha * latency_ms + (1 - self.alpha) * self.ema
+            self.ema = latency_ms if self.ema == 0 else self.ema * (1 - self.alpha) + latency_ms * self.alpha
+            self.successes += 1
             self._adjust(now)
         return self.concurrency
 
     def _adjust(self, now: float) -> None:
-        if self.calls < self.least or (self.changed is not None and now - self.changed < self.apart_s):
+        calls = self.successes + self.errors
+        if now - self.changed < self.apart_s or calls < self.least:
             return
-        rate = self.errors / self.calls
+        rate = self.errors / calls
         if rate < 0.05 and self.ema < 3000:
-            self._set(max(self.concurrency + 1, int(self.concurrency * 1.3)), now)
+            self.concurrency = min(self.high, int(self.concurrency * 1.3))
         elif rate > 0.15 or self.ema > 10_000:
-            self._set(int(self.concurrency * 0.7), now)
+            self.concurrency = max(self.low, int(self.concurrency * 0.7))
+        self.successes = self.errors = 0
+        self.changed = now
 
 
 def adaptive_concurrency(calls: DataFrame, keys: list[str], order: list[str], **settings) -> DataFrame:
@@ -152,7 +156,7 @@ def adaptive_concurrency(calls: DataFrame, keys: list[str], order: list[str], **
             for row in pdf.itertuples(index=False):
                 k = tuple(getattr(row, x) for x in keys)
                 if k != last:
-                    last, c = k, Controller(**settings)
+                    last, c = k, Controller(row.at, **settings)
                 out.append((*k, *(getattr(row, x) for x in order), c.report(row.at, row.status, row.latency_ms), c.ema))
             yield pd.DataFrame(out, columns=names)
 
@@ -162,22 +166,50 @@ def adaptive_concurrency(calls: DataFrame, keys: list[str], order: list[str], **
     return source.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def adaptive_stream(calls: DataFrame, key: str) -> DataFrame:
-    """The controller as a stateful stream; late rows are taken in the order in which they come."""
+class _Adaptive(StatefulProcessor):
+    """One controller a key. Its state is dropped when the key has been silent for ``idle_s`` of event time."""
+
+    def __init__(self, idle_s: float, kind):
+        self.idle_s, self.kind = idle_s, kind
 
-    def run(k, pdfs, state):
-        c = Controller()
-        if state.exists:
-            for name, v in zip(Controller.FIELDS, state.get, strict=True):
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("controller", "concurrency int, ema double, successes int, errors int, changed double, until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        calls = sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.at)
+        kept = self.state.get() if self.state.exists() else None
+        c = Controller(calls[0].at)
+        if kept is not None:
+            for name, v in zip(Controller.FIELDS, kept, strict=False):
                 setattr(c, name, v)
-        rows = pd.concat(list(pdfs)).sort_values("at")
-        for r in rows.itertuples(index=False):
-            c.report(r.at, r.status, r.latency_ms)
-        state.update(tuple(getattr(c, n) for n in Controller.FIELDS))
-        yield pd.DataFrame({key: [k[0]], "concurrency": [c.concurrency], "ema": [c.ema], "calls": [len(rows)]})
-
-    kind = dict(calls.dtypes)[key]
-    return calls.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, concurrency int, ema double, calls long", "concurrency int, ema double, calls int, errors int, changed double", "update", "NoTimeout")
+            self.handle.deleteTimer(kept[-1])
+        for r in calls:
+            c.report(float(r.at), int(r.status), float(r.latency_ms))
+        until = int((max(calls[-1].at, timerValues.getCurrentWatermarkInMs() / 1000) + self.idle_s) * 1000)
+        self.state.update((*(getattr(c, n) for n in Controller.FIELDS), until))
+        self.handle.registerTimer(until)
+        yield pd.DataFrame({"key": [key[0]], "at": [calls[-1].at], "concurrency": [c.concurrency], "ema": [c.ema], "calls": [len(calls)], "ended": [False]}).astype({"concurrency": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        c = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"key": [key[0]], "at": [expiredTimerInfo.getExpiryTimeInMs() / 1000], "concurrency": [c[0]], "ema": [c[1]], "calls": [0], "ended": [True]}).astype({"concurrency": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def adaptive_stream(calls: DataFrame, key: str, late: str = "1 hour", idle_s: float = 3600) -> DataFrame:
+    """The controller as a stateful stream over ``key, ts, status, latency_ms``: a row for each key and batch.
+
+    Rows that come together are taken in the order of ``ts``. A key that has been silent for ``idle_s`` of event
+    time, counted from the watermark, says so in a row that ``ended`` and begins anew if it comes back. Needs the RocksDB state store.
+    """
+    kind = calls.schema[key].dataType
+    source = calls.withWatermark("ts", late).select(F.col(key).alias("key"), F.col("ts").cast("double").alias("at"), "ts", "status", "latency_ms")
+    out = StructType([StructField("key", kind), StructField("at", DoubleType()), StructField("concurrency", IntegerType()), StructField("ema", DoubleType()), StructField("calls", LongType()), StructField("ended", BooleanType())])
+    return source.groupBy("key").transformWithStateInPandas(_Adaptive(idle_s, kind), out, "Append", "EventTime").withColumnRenamed("key", key)
 
 
 def page_stream(pages: DataFrame, on_batch, checkpoint: str, key: str = "page_key", at: str | None = None, late: str = "1 day"):

@@ -61,7 +61,7 @@ def test_width_is_taken_for_an_identity(spark):
     assert [r[0] for r in d.select(text.correct_characters("v", "h")).collect()] == ["800", "01-12", "a"]
 
 
-CASES = [("1-3,5", 10, [1, 2, 3, 5]), ("5,3,3", 10, [3, 5]), ("2-99", 6, [2, 3, 4, 5, 6]), ("1-3-5", 10, [1, 2, 3]), ("", 3, [1, 2, 3]), ("0", 5, None), ("-3", 5, None), ("99", 5, None)]
+CASES = [("1-3,5", 10, [1, 2, 3, 5]), ("5,3,3", 10, [3, 5]), ("2-99", 6, [2, 3, 4, 5, 6]), ("1-3-5", 10, [1, 2, 3]), ("", 3, [1, 2, 3]), ("0", 5, None), ("-3", 5, None), ("99", 5, None), (",", 4, None), (" ", 4, None), (None, 2, [1, 2])]
 
 
 def test_page_ranges(spark):

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,13 @@ def test_rules_and_guards(spark):
     d = spark.createDataFrame([("k", "t", "10"), ("k", "a", "4x"), ("k", "b", "5")], "k string, name string, value string")
     rules = spark.createDataFrame([("t", "t = a + b"), ("a", "a != b")], "name string, context_rule string")
     assert [r.note for r in validate.cross_field(d, rules, ["k"]).collect()] == ["sum_differs"]
+    both = spark.createDataFrame([("t", "t = a + b, b != c")], "name string, context_rule string")
+    assert sorted(r.note for r in validate.cross_field(d.union(spark.createDataFrame([("k", "c", " 5 ")], d.schema)), both, ["k"]).collect()) == ["sum_differs", "values_equal"]
+    pairs = spark.createDataFrame([(1, "a", "a", "high"), (1, None, "b", "high"), (2, "A", "a", "high"), (3, "a", None, None), (4, "a", "a", "low")], "k int, layout_value string, field_value string, confidence string")
+    assert {r.k: r.skip for r in validate.skip_validation(pairs, ["k"]).collect()} == {1: True, 2: False, 3: False, 4: False}
+    phones = spark.createDataFrame([("4123 4567", "HK"), ("(852-1234 5678", "hk"), ("(+45) 1234 5678", "852"), ("(+45) 1234 5678", None)], "p string, h string")
+    got = [tuple(r[0]) for r in phones.select(validate.phone_check(F.col("p"), F.col("h"))).collect()]
+    assert got[:2] == [(True, "", []), (False, "(85212345678", [])] and got[2][:2] == (True, "") and got[3][:2] == (True, "") and len(got[2][2]) == 1
     o = spark.createDataFrame([(1, "abcde"), (2, "ab"), (3, "same")], "i int, value string")
     c = spark.createDataFrame([(1, "xbcde"), (2, "xb"), (3, "same"), (4, "new")], "i int, value string")
     assert {r.i: (r.value, r.corrected) for r in matching.correct_values(o, c, ["i"]).collect()} == {1: ("abcde", False), 2: ("xb", True), 3: ("same", False), 4: ("new", True)}
@@ -138,11 +146,23 @@ def test_image_measures(spark):
 
 
 def test_controller_and_retries():
-    c = jobs.Controller(start=10)
-    assert c.report(0, 429, 0) == 5 and c.report(1, 500, 0) == 3
-    for i in range(9):
-        c.report(2 + i, 200, 100)
-    assert c.report(20, 200, 100) == 4
+    c = jobs.Controller(0, start=20)
+    assert c.report(1, 429, 0) == 10 and c.report(2, 500, 0) == 7 and c.report(3, 404, 0) == 7
+    assert (c.errors, c.successes, c.changed, c.ema) == (3, 0, 3, 0)
+    for _ in range(8):
+        c.report(7.9, 200, 100)  # 5 s haven't passed since the last error
+    assert c.concurrency == 7 and c.report(8, 200, 100) == 4 and (c.errors, c.successes, c.changed) == (0, 0, 8)  # 3 of 12 failed
+    for k in range(10):
+        c.report(13 + k / 10, 200, 100)
+    assert c.concurrency == 5 and c.changed == 13.9
+    small = jobs.Controller(0, start=3)
+    for k in range(10):
+        small.report(5, 200, 100)
+    assert small.concurrency == 3 and small.successes == 0  # 30 % of it is less than one, and the counters begin anew all the same
+    slow = jobs.Controller(0)
+    for k in range(10):
+        slow.report(6, 200, 5000)
+    assert slow.concurrency == 20 and slow.successes == 0
 
     class Busy(Exception):
         status = 503
@@ -212,3 +232,64 @@ def test_long_lists_of_patterns(spark, monkeypatch):
     want = [{tuple(r) for r in f.collect()} for f in (matching.match_specs(c, specs, ["doc"]), matching.attention_candidates(c, hints, ["doc"]))]
     monkeypatch.setattr(matching, "SHORT_LIST", 0)
     assert [{tuple(r) for r in f.collect()} for f in (matching.match_specs(c, specs, ["doc"]), matching.attention_candidates(c, hints, ["doc"]))] == want
+
+
+@pytest.mark.parametrize("sizes", [(0, 1), (0, 3, 7, 40), (5,), (1, 200)])
+def test_effects_of_packing(sizes):
+    """What a run does to every load is what running it does."""
+    import json
+    import random
+
+    from leafmill.operators.recurrences import Packing
+
+    rnd, m = random.Random(len(sizes)), Packing(30)
+    for n in (1, 2, 5, 60):
+        values = [rnd.choice([*sizes, None]) for _ in range(n)]
+        effect = json.loads(json.dumps(m.effect(values)))
+        for state in [None, *([3, load] for load in range(60))]:
+            assert list(m.after(state, effect)) == list(m.run(state, values)[1]), (values, state)
+
+
+def test_recurrences_of_one_key_that_holds_nearly_all(spark):
+    import random
+
+    from leafmill.operators import recurrences
+
+    rnd = random.Random(8)
+    rows = [("hot", i // 2, rnd.choice([None, 0, 5, 90, 300])) for i in range(4000)] + [(k, i, i * 7 % 50) for k in ("a", "b", None) for i in range(3)]
+    shuffled = rows[:]
+    rnd.shuffle(shuffled)
+    d = spark.createDataFrame(shuffled, "k string, i int, t long").repartition(5)
+    want_packs, want_average = Counter(), Counter()
+    packing, average = recurrences.Packing(200), recurrences.MovingAverage(0.3)
+    for k in ("hot", "a", "b", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -1 if r[2] is None else r[2]))
+        want_packs.update((k, i, t, p) for (_, i, t), p in zip(mine, packing.run(None, [r[2] for r in mine])[0], strict=True))
+        want_average.update((k, i, t, None if a is None else round(a, 6)) for (_, i, t), a in zip(mine, average.run(None, [r[2] for r in mine])[0], strict=True))
+    got = merge.pack_by_budget(d, "k", ["i"], "t", 200)
+    assert Counter(tuple(r) for r in got.collect()) == want_packs
+    assert Counter((r.k, r.i, r.t, None if r.average is None else round(r.average, 6)) for r in recurrences.moving_average(d, ["k"], ["i"], "t", 0.3).collect()) == want_average
+    assert merge.pack_by_budget(d.limit(0), "k", ["i"], "t", 200).count() == 0
+    # no partition holds the hot key
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 2000
+
+
+def test_adaptive_stream_restarts_and_forgets(spark, tmp_path):
+    """Two runs of a stream over halves of the calls give what the batch gives; a key that is silent for long is dropped."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    calls = [("a", i * 2, 200 if i % 7 else 429, 100.0 + i) for i in range(40)] + [("b", i * 3, 200, 4000.0) for i in range(20)]
+    d = spark.createDataFrame(calls, "k string, at long, status int, latency_ms double").withColumn("ts", F.timestamp_seconds("at"))
+    late = spark.createDataFrame([("c", 10_000_000, 200, 1.0)], "k string, at long, status int, latency_ms double").withColumn("ts", F.timestamp_seconds("at"))
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for part in (d.where("at < 30"), d.where("at >= 30"), late, late.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.adaptive_stream(spark.readStream.schema(d.schema).parquet(folder), "k")
+        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    batch = jobs.adaptive_concurrency(d.withColumn("at", F.col("at").cast("double")), ["k"], ["at"]).collect()
+    for k in "ab":
+        want = max((r for r in batch if r.k == k), key=lambda r: r["at"])
+        last = max((r for r in rows if r.k == k and not r.ended), key=lambda r: r["at"])
+        assert (last.concurrency, last.ema) == (want.concurrency, want.ema)
+        assert [r for r in rows if r.k == k and r.ended]
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
