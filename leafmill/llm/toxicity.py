@@ -1,10 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 Labels belong to documents, the offence to some of their sentences. A sentence's probability is a
-logistic score of its words; a document's is their noisy-or, ``1 - prod(1 - p)`` (in scores, sentences
-of hardly any probability count for a small share). The weights are
+logistic score of its words; a document's is their noisy-or, ``1 - prod(1 - p)``. The weights are
 trained from document labels through that combination, and afterwards locate the sentences.
 
+A long text has hundreds of sentences in which nothing offends, and what little the model gives each
+mustn't add up: a sentence's score has a background, ``bias - slope * log(number of sentences)``, whose
+two weights are learned with all others and hold in training and scoring alike.
+
 A word's score is the sum of its features' weights: itself and its character n-grams, with its two ends
 marked, so that words that were never seen share what their relatives have learned.
 """
@@ -13,20 +16,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from leafmill.llm.common import documents, free_name, small_batches, utf8
+from leafmill.llm.common import cut, documents, free_name, small_batches, utf8
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
-#: A sentence below this probability is background, of which a document's score takes this share: a long text has
-#: hundreds of sentences in which nothing offends, and what little the model gives each mustn't add up.
-BACKGROUND, SHARE = 0.1, 0.03
 #: Lengths of the n-grams, and words that a worker remembers the scores of in each of two generations.
 LENGTHS, REMEMBERED = (4, 5, 6), 200_000
 
@@ -36,6 +38,10 @@ def features(word: str) -> set[str]:
     return {s, *(s[i : i + n] for n in LENGTHS for i in range(len(s) - n + 1))}
 
 
+def words_of(sentence: str) -> set[str]:
+    return set(WORD.findall(sentence.lower()))
+
+
 class Scores(dict):
     """Scores of words, made when they are first asked for; the last ``REMEMBERED`` to twice as many are kept."""
 
@@ -57,10 +63,11 @@ class Scores(dict):
 
 @dataclass
 class Model:
-    """Weights by feature, the weight that every sentence has, and the probability that counts as 0.5."""
+    """Weights by feature, the background's two weights, and the probability that counts as 0.5."""
 
     weights: dict[str, float]
     bias: float
+    slope: float = 0.0
     middle: float = 0.5
 
     def __post_init__(self):
@@ -73,95 +80,62 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and start, end and probability of sentences at 0.5 or more."""
-        word, bias = self.word, self.bias
-        total, found = 0.0, []
-        for m in SENTENCE.finditer(text):
-            z = bias + math.fsum(map(word, set(WORD.findall(m[0].lower()))))
+        word, spans = self.word, list(SENTENCE.finditer(text))
+        total, found, base = 0.0, [], self.bias - self.slope * math.log(max(1, len(spans)))
+        for m in spans:
+            z = base + math.fsum(map(word, words_of(m[0])))
             p = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
-            weight = z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-            total += weight if p >= BACKGROUND else SHARE * weight
+            total += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
             if p >= self.middle:
                 found.append((m.start(), m.end(), self.shifted(p)))
         return self.shifted(-math.expm1(-total)), found
 
 
-class Bags:
-    """Documents as sentences of words, and words as features."""
-
-    def __init__(self, texts: list[str], labels: list[int]):
-        self.labels = np.array(labels, float)
-        words: dict[str, int] = {}
-        word_of, sent_of, doc_of = [], [], []
-        for d, t in enumerate(texts):
-            for m in SENTENCE.findall(t):
-                mine = sorted({words.setdefault(w, len(words)) for w in WORD.findall(m.lower())})
-                word_of += mine
-                sent_of += [len(doc_of)] * len(mine)
-                doc_of.append(d)
-        self.word_of, self.sent_of, self.doc_of = (np.array(x, dtype=np.int64) for x in (word_of, sent_of, doc_of))
-        names: dict[str, int] = {}
-        of, at = [], [0]
-        for w in words:
-            of += sorted(names.setdefault(x, len(names)) for x in sorted(features(w)))
-            at.append(len(of))
-        self.names, self.words = list(names), len(words)
-        self.feature_of, self.at = np.array(of, dtype=np.int64), np.array(at, dtype=np.int64)
-
-    def document_counts(self) -> np.ndarray:
-        """For either label, in how many documents a feature stands."""
-        n = max(1, self.words)
-        pairs = np.unique(self.doc_of[self.sent_of] * n + self.word_of)
-        counts = np.zeros((2, len(self.names)))
-        ends = np.searchsorted(pairs // n, np.arange(len(self.labels) + 1))
-        for d, y in enumerate(self.labels):
-            mine = pairs[ends[d] : ends[d + 1]] % n
-            if len(mine):
-                counts[int(y), np.unique(np.concatenate([self.feature_of[self.at[w] : self.at[w + 1]] for w in mine]))] += 1
-        return counts
-
-    def telling(self, most: int, least: int) -> np.ndarray:
-        """The ``most`` features in ``least`` documents or more with the largest z scores of their log odds."""
-        counts = self.document_counts()
-        n1 = self.labels.sum()
-        a, b = counts[1] + 0.5, counts[0] + 0.5
-        z = np.abs(np.log(a / (n1 - a + 1) / (b / (len(self.labels) - n1 - b + 1))) / np.sqrt(1 / a + 1 / b))
-        seen = np.flatnonzero(counts.sum(0) >= least)
-        return seen[np.lexsort((np.array(self.names, object)[seen], -z[seen]))][:most]
-
-    def fitted(self, chosen: np.ndarray, use: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
-        """Weights of the chosen features and the bias, by gradient steps (Adam) on the noisy-or likelihood of the documents ``use``."""
-        place = np.full(len(self.names) + 1, -1)
-        place[chosen] = np.arange(len(chosen))
-        feature = place[self.feature_of]
-        word = np.repeat(np.arange(self.words), np.diff(self.at))[feature >= 0]
-        feature = feature[feature >= 0]
-        scored = np.bincount(word, minlength=self.words) > 0
-        hits = scored[self.word_of] & use[self.doc_of[self.sent_of]]
-        sentences, sent = np.unique(self.sent_of[hits], return_inverse=True)
-        word_of, doc = self.word_of[hits], self.doc_of[sentences]
-        n = len(self.labels)
-        plain = (np.bincount(self.doc_of, minlength=n) - np.bincount(doc, minlength=n)) * use
-        weigh = np.where(self.labels > 0, 1 + (self.labels == 0).sum() / max(1, self.labels.sum()) / 3, 1.0) * use
+@dataclass
+class Sample:
+    """Documents as numbers of sentences, and the features of those sentences that have any that tell."""
+
+    labels: np.ndarray
+    sizes: np.ndarray
+    doc_of: np.ndarray
+    sent_of: np.ndarray
+    feature_of: np.ndarray
+    features: int
+
+    def __post_init__(self):
+        self.logs = np.log(np.maximum(self.sizes, 1))
+        self.plain = self.sizes - np.bincount(self.doc_of, minlength=len(self.labels))
+
+    def totals(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """-log of the product of all 1 - p, by document; the scores of sentences, and the background's."""
+        base = theta[-2] - theta[-1] * self.logs
+        zs = base[self.doc_of] + np.bincount(self.sent_of, theta[self.feature_of], len(self.doc_of))
+        return np.bincount(self.doc_of, np.logaddexp(0, zs), len(self.labels)) + self.plain * np.logaddexp(0, base), zs, base
+
+    def fitted(self, use: np.ndarray, rounds: int, decay: float) -> np.ndarray:
+        """Weights, bias and slope by gradient steps (Adam) on the noisy-or likelihood of the documents ``use``."""
+        n, toxic = len(self.labels), self.labels > 0
+        weigh = np.where(toxic, 1 + (use & ~toxic).sum() / max(1, (use & toxic).sum()) / 3, 1.0) * use
         weigh /= weigh.sum()
-        theta = np.zeros(len(chosen) + 1)
-        theta[-1] = -6.0
+        theta = np.zeros(self.features + 2)
+        theta[-2:] = -3.0, 1.0
         m, v = np.zeros_like(theta), np.zeros_like(theta)
 
         def sigmoid(x):
             return 0.5 * (1 + np.tanh(x / 2))
 
         for step in range(1, rounds + 1):
-            w, b = theta[:-1], theta[-1]
-            zs = b + np.bincount(sent, np.bincount(word, w[feature], self.words)[word_of], len(doc))
-            total = np.bincount(doc, np.logaddexp(0, zs), n) + plain * np.logaddexp(0, b)
+            total, zs, base = self.totals(theta)
             # of -log(1 - exp(-total)) for label 1, of total for label 0
-            by_doc = np.where(self.labels > 0, -np.exp(-total) / -np.expm1(-np.maximum(total, 1e-9)), 1.0) * weigh
-            gs = by_doc[doc] * sigmoid(zs)
-            by_word = np.bincount(word_of, gs[sent], self.words)
-            grad = np.append(np.bincount(feature, by_word[word], len(chosen)) + decay * w, gs.sum() + (by_doc * plain).sum() * sigmoid(b))
+            by_doc = np.where(toxic, -np.exp(-total) / -np.expm1(-np.maximum(total, 1e-9)), 1.0) * weigh
+            by_sent = by_doc[self.doc_of] * sigmoid(zs)
+            back = np.bincount(self.doc_of, by_sent, n) + by_doc * self.plain * sigmoid(base)
+            grad = np.bincount(self.feature_of, by_sent[self.sent_of], self.features) + decay * theta[:-2]
+            grad = np.append(grad, [back.sum(), -(back * self.logs).sum()])
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        return theta[:-1], float(theta[-1])
+            theta[-1] = max(0.0, theta[-1])
+        return theta
 
 
 def best_middle(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -177,53 +151,110 @@ def best_middle(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(min(0.95, max(0.05, (scores[order][at] + below) / 2)))
 
 
-def train(texts: list[str], labels: list[int], most: int = 20_000, least: int = 3, rounds: int = 150, decay: float = 1e-4, folds: int = 3) -> Model:
-    """Fit on the ``most`` features that tell the labels apart best, of those in ``least`` distinct texts or more.
+def counted(rows: DataFrame) -> DataFrame:
+    """``feature, toxic, clean``: in how many of the texts (``text, label``) of either label a feature stands."""
+    schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            known: dict[str, set] = {}
+            both = (Counter(), Counter())
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set().union(*map(words_of, SENTENCE.findall(text)))
+                both[label].update(set().union(*(known.get(w) or known.setdefault(w, features(w)) for w in words)))
+            names = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([both[1][x] for x in names], pa.int64()), pa.array([both[0][x] for x in names], pa.int64())], schema=schema)
+
+    small_batches(rows.sparkSession)
+    return rows.select("text", "label").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
 
-    Each of ``folds`` parts of the texts is scored by a fit on the others, which gives the probability
-    that counts as 0.5; the weights are then fitted on all. Repeated texts count once, as toxic if any of them is. Without
+def found_in(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``name, label, sentences, sent, feature`` per text: where the named features stand, sentences with any numbered from 0."""
+    shared = rows.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(names)})
+    schema = pa.schema([("name", pa.string()), ("label", pa.int32()), ("sentences", pa.int64()), ("sent", pa.list_(pa.int32())), ("feature", pa.list_(pa.int32()))])
+
+    def run(batches):
+        ids, known = shared.value, {}
+        for batch in batches:
+            out = []
+            for name, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sent, feature, n = [], [], 0
+                sentences = SENTENCE.findall(text)
+                for s in sentences:
+                    mine = []
+                    for w in words_of(s):
+                        if w not in known:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[w] = [ids[x] for x in features(w) if x in ids]
+                        mine += known[w]
+                    if mine:
+                        feature += sorted(mine)
+                        sent += [n] * len(mine)
+                        n += 1
+                out.append({"name": name, "label": label, "sentences": len(sentences), "sent": sent, "feature": feature})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.select("name", "text", "label").mapInArrow(run, "name string, label int, sentences long, sent array<int>, feature array<int>")
+
+
+def train(rows: DataFrame, telling: float = 2.0, rounds: int = 100, decay: float = 1e-4, folds: int = 2) -> Model:
+    """Fit on texts (``text, label``) by all features that tell the labels apart: log odds of ``telling`` standard errors or more.
+
+    Features are made and counted by tasks; the driver gets the telling ones' names and where these stand. Each of
+    ``folds`` parts of the texts is scored by a fit on the others, which gives the probability that counts as
+    0.5; the weights are then fitted on all. Repeated texts count once, as toxic if any of them is. Without
     both labels the model says 0 (or 1) throughout.
     """
-    by_text: dict[str, int] = {}
-    for t, y in zip(texts, labels, strict=True):
-        by_text[t] = max(y, by_text.get(t, 0))
-    if len(set(by_text.values())) < 2:
-        return Model({}, 30.0 if 1 in by_text.values() else -30.0)
-    bags = Bags(list(by_text), list(by_text.values()))
-    chosen = bags.telling(most, least)
-    names = [bags.names[i] for i in chosen]
-    part, others = np.arange(len(by_text)) % folds, np.full(len(by_text), -1.0)
+    once = cut(rows.select(F.coalesce("text", F.lit("")).alias("text"), "label").groupBy("text").agg(F.max("label").alias("label")).withColumn("name", F.sha2("text", 256)))
+    n = {r["label"]: r["count"] for r in once.groupBy("label").count().collect()}  # two rows
+    if len(n) < 2:
+        return Model({}, 30.0 if 1 in n else -30.0)
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    z = F.log(a / (n[1] + 1 - a) / (b / (n[0] + 1 - b))) / F.sqrt(1 / a + 1 / b)
+    names = [r["feature"] for r in counted(once).where(F.abs(z) >= telling).select("feature").orderBy("feature").collect()]
+    got = sorted(found_in(once, names).collect(), key=lambda r: r["name"])  # of the sample's texts only these numbers
+    doc_of, sent_of, feature_of = [], [], []
+    for d, r in enumerate(got):
+        sent_of += [len(doc_of) + s for s in r["sent"]]
+        feature_of += r["feature"]
+        doc_of += [d] * (r["sent"][-1] + 1 if r["sent"] else 0)
+    whole = lambda x: np.array(x, dtype=np.int64)
+    sample = Sample(np.array([r["label"] for r in got], float), whole([r["sentences"] for r in got]), whole(doc_of), whole(sent_of), whole(feature_of), len(names))
+    part, others = np.arange(len(got)) % folds, np.full(len(got), -1.0)
     for k in range(folds):
         use = part != k
-        if bags.labels[use].any() and not bags.labels[use].all():
-            w, bias = bags.fitted(chosen, use, rounds, decay)
-            without = Model(dict(zip(names, w.tolist(), strict=True)), bias)
-            for d, t in enumerate(by_text):
-                if not use[d]:
-                    others[d] = without.score(t)[0]
+        if sample.labels[use].any() and not sample.labels[use].all():
+            others[~use] = -np.expm1(-sample.totals(sample.fitted(use, rounds, decay))[0])[~use]
     told = others >= 0
-    middle = best_middle(others[told], bags.labels[told])
-    w, bias = bags.fitted(chosen, np.ones(len(by_text), bool), rounds, decay)
-    return Model({x: t for x, t in zip(names, w.tolist(), strict=True) if abs(t) > 1e-4}, bias, middle)
+    middle = best_middle(others[told], sample.labels[told])
+    theta = sample.fitted(np.ones(len(got), bool), rounds, decay)
+    return Model({x: t for x, t in zip(names, theta[:-2].tolist(), strict=True) if t}, float(theta[-2]), float(theta[-1]), middle)
 
 
 def held_out(key: str, of: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, longest: int = 30_000) -> Model:
-    """Train on at most ``most`` labelled rows of each label, those whose identifiers hash lowest, of texts of ``longest`` bytes or less.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, most_bytes: int = 64 << 20) -> Model:
+    """Train on labelled rows in the order of their identifiers' hashes, of each label until there are ``most`` or their texts have ``most_bytes``.
 
-    Labels other than 0 and 1 and null ones are not used. The sample's texts, and nothing else, come
-    to the driver: at most ``2 * most * longest`` bytes. Its identifiers are at most ``2 * most``, so
-    they are broadcast.
+    Lengths decide nothing else: a text is taken whole, however long. Labels other than 0 and 1 and null
+    ones are not used. The sample's identifiers, at most ``2 * most``, come to the driver with the lengths and are broadcast.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
-    picked = [known.where(F.col("__label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most) for y in (0, 1)]
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.octet_length("__text") <= longest)
-    rows = rows.join(F.broadcast(picked[0].union(picked[1])), "__id")
-    got = sorted(rows.select("__label", "__text").toArrow().to_pylist(), key=lambda r: (r["__text"], r["__label"]))
-    return train([r["__text"] for r in got], [r["__label"] for r in got])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label"))
+    picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most) for y in (0, 1)]
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"))
+    few = rows.join(F.broadcast(picked[0].union(picked[1])), "__id")
+    sizes = few.groupBy("__id", "label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("label", F.xxhash64("__id"), "__id").collect()
+    held, ids = Counter(), []
+    for r in sizes:
+        if held[r["label"]] < most_bytes:
+            ids.append((r["__id"], r["label"]))
+        held[r["label"]] += r["n"]
+    taken = docs.sparkSession.createDataFrame(ids, known.schema)
+    return train(rows.join(F.broadcast(taken), "__id").select("text", "label"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: str = "") -> DataFrame:
@@ -234,23 +265,26 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     identifiers pass through, an empty table gives none.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.middle))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.middle))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
+    names = [f"c{k}" for k in range(len(docs.columns))]
+
     def run(batches):
         m = Model(*shared.value)
         for batch in batches:
             got = [m.score(x.as_py().decode("utf-8", "replace")) for x in batch.column(batch.num_columns - 1)]
             scores = pa.array([s for s, _ in got], pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], keep])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*names, "score"])
             else:
                 found = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in f] for _, f in got], spans)
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores, found], ["id", "score", "sentences"])
 
     if keep:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.select("*", utf8(text).alias(free_name(docs, "body"))).mapInArrow(run, f"{columns}, `{keep}` double")
+        plain = docs.withColumn(free_name(docs, "body"), utf8(text)).toDF(*names, "body")  # names of any characters come back at the end
+        out = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("score", DoubleType())])
+        return plain.mapInArrow(run, out).toDF(*docs.columns, keep)
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body"))
     return source.mapInArrow(run, "id long, score double, sentences array<struct<start:int,end:int,p:double>>")
 

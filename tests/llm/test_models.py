@@ -78,18 +78,17 @@ def test_toxicity_as_by_hand(spark):
     rnd = random.Random(5)
     words = [f"word{k}" for k in range(40)]
     texts = [" ".join(rnd.choices(words, k=9)) + (f" {rnd.choice(['vileness', 'vileword', 'vilest'])}! " if k % 3 == 0 else ". ") + " ".join(rnd.choices(words, k=5)) for k in range(120)]
-    model = toxicity.train(texts, [int(k % 3 == 0) for k in range(120)])
+    model = toxicity.train(spark.createDataFrame([(t, int(k % 3 == 0)) for k, t in enumerate(texts)], "text string, label int"))
 
     def plain(text):
-        left = 1.0
-        for s in toxicity.SENTENCE.findall(text):
-            z = model.bias
+        left, sentences = 1.0, toxicity.SENTENCE.findall(text)
+        for s in sentences:
+            z = model.bias - model.slope * math.log(len(sentences))
             for w in set(toxicity.WORD.findall(s.lower())):
                 marked = f"<{w}>"
                 grams = {marked} | {marked[i : i + n] for n in toxicity.LENGTHS for i in range(len(marked) - n + 1)}
                 z += sum(model.weights.get(g, 0.0) for g in grams)
-            p = 1 / (1 + math.exp(-z))
-            left *= (1 - p) ** (1 if p >= toxicity.BACKGROUND else toxicity.SHARE)
+            left *= 1 - 1 / (1 + math.exp(-z))
         p = 1 - left
         odds = p / (1 - p) / (model.middle / (1 - model.middle)) if p < 1 else math.inf
         return odds / (1 + odds) if p < 1 else 1.0
@@ -105,4 +104,24 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out and toxic is not null")
     hit, said, there = got.agg(F.expr("count_if(predicted = 1 and toxic = 1)"), F.expr("count_if(predicted = 1)"), F.expr("count_if(toxic = 1)")).first()
-    assert there > 80 and hit / there >= 0.85 and hit / said >= 0.95
+    assert there > 80 and hit / there >= 0.9 and hit / said >= 0.95
+
+
+def test_toxicity_learns_from_texts_of_any_length(spark):
+    """What only long texts say is learned, and long clean texts stay clean."""
+    rnd = random.Random(9)
+    plain = lambda n: " ".join(" ".join(rnd.choices([f"word{k}" for k in range(300)], k=8)) + "." for _ in range(n))
+    rows = [(k, plain(900 if k % 2 else 3), 0) for k in range(60)] + [(100 + k, f"{plain(400)} you vilest thing. {plain(400)}", 1) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d.drop("toxic"), d.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, plain(2000)), (2, f"{plain(2000)} the vilest words. {plain(10)}"), (3, "vilest"), (4, plain(1))], "doc_id long, text string")
+    got = {r.id: r for r in toxicity.score(asked, model).collect()}
+    assert [got[k].score >= 0.5 for k in (1, 2, 3, 4)] == [False, True, True, False]
+    ((start, end, _),) = got[2].sentences
+    assert "vilest" in asked.where("doc_id = 2").first().text[start:end]
+
+
+def test_toxicity_keeps_odd_columns(spark):
+    odd = spark.createDataFrame([(1, "a b", ("x", 2), 3)], "doc_id long, text string, s struct<`a b`:string,n:int>, `a``b` int")
+    got = toxicity.score(odd, toxicity.Model({}, -3.0), keep="score")
+    assert got.schema["s"].dataType == odd.schema["s"].dataType and [r["a`b"] for r in got.collect()] == [3]
