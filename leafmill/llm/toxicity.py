@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -93,13 +94,19 @@ class Model:
 
 @dataclass
 class Sample:
-    """Documents as numbers of sentences, and the features of those sentences that have any that tell."""
+    """Documents as numbers of sentences, the words of those sentences that have any that tell, and the words' features.
+
+    ``doc_of`` is by sentence, ``sent_of`` and ``word_of`` by word in a sentence, ``word_at`` and ``feature_of`` by feature of a word.
+    """
 
     labels: np.ndarray
     sizes: np.ndarray
     doc_of: np.ndarray
     sent_of: np.ndarray
+    word_of: np.ndarray
+    word_at: np.ndarray
     feature_of: np.ndarray
+    words: int
     features: int
 
     def __post_init__(self):
@@ -109,7 +116,8 @@ class Sample:
     def totals(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """-log of the product of all 1 - p, by document; the scores of sentences, and the background's."""
         base = theta[-2] - theta[-1] * self.logs
-        zs = base[self.doc_of] + np.bincount(self.sent_of, theta[self.feature_of], len(self.doc_of))
+        scores = np.bincount(self.word_at, theta[self.feature_of], self.words)
+        zs = base[self.doc_of] + np.bincount(self.sent_of, scores[self.word_of], len(self.doc_of))
         return np.bincount(self.doc_of, np.logaddexp(0, zs), len(self.labels)) + self.plain * np.logaddexp(0, base), zs, base
 
     def fitted(self, use: np.ndarray, rounds: int, decay: float) -> np.ndarray:
@@ -130,7 +138,8 @@ class Sample:
             by_doc = np.where(toxic, -np.exp(-total) / -np.expm1(-np.maximum(total, 1e-9)), 1.0) * weigh
             by_sent = by_doc[self.doc_of] * sigmoid(zs)
             back = np.bincount(self.doc_of, by_sent, n) + by_doc * self.plain * sigmoid(base)
-            grad = np.bincount(self.feature_of, by_sent[self.sent_of], self.features) + decay * theta[:-2]
+            by_word = np.bincount(self.word_of, by_sent[self.sent_of], self.words)
+            grad = np.bincount(self.feature_of, by_word[self.word_at], self.features) + decay * theta[:-2]
             grad = np.append(grad, [back.sum(), -(back * self.logs).sum()])
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -169,34 +178,46 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def found_in(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``name, label, sentences, sent, feature`` per text: where the named features stand, sentences with any numbered from 0."""
+def found_in(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Where the named features stand, as two tables.
+
+    ``name, label, sentences, sent, word`` per text: its words that have any of them, by the sentences with such words, numbered from
+    0; the last two are packed. ``word, features`` per distinct word. A word goes by 64 bits of a hash.
+    """
     shared = rows.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(names)})
-    schema = pa.schema([("name", pa.string()), ("label", pa.int32()), ("sentences", pa.int64()), ("sent", pa.list_(pa.int32())), ("feature", pa.list_(pa.int32()))])
+    by_text = pa.schema([("name", pa.string()), ("label", pa.int32()), ("sentences", pa.int64()), ("sent", pa.binary()), ("word", pa.binary())])
 
-    def run(batches):
-        ids, known = shared.value, {}
+    def told(word: str, known: dict) -> tuple[int, list[int]]:
+        if word not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = (xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63), sorted(k for x in features(word) if (k := shared.value.get(x)) is not None))
+        return known[word]
+
+    def texts(batches):
+        known: dict = {}
         for batch in batches:
             out = []
             for name, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sent, feature, n = [], [], 0
+                sent, word, n = [], [], 0
                 sentences = SENTENCE.findall(text)
                 for s in sentences:
-                    mine = []
-                    for w in words_of(s):
-                        if w not in known:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            known[w] = [ids[x] for x in features(w) if x in ids]
-                        mine += known[w]
-                    if mine:
-                        feature += sorted(mine)
-                        sent += [n] * len(mine)
-                        n += 1
-                out.append({"name": name, "label": label, "sentences": len(sentences), "sent": sent, "feature": feature})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return rows.select("name", "text", "label").mapInArrow(run, "name string, label int, sentences long, sent array<int>, feature array<int>")
+                    mine = sorted(h for h, of in (told(w, known) for w in words_of(s)) if of)
+                    word += mine
+                    sent += [n] * len(mine)
+                    n += bool(mine)
+                out.append({"name": name, "label": label, "sentences": len(sentences), "sent": np.array(sent, "<i4").tobytes(), "word": np.array(word, "<i8").tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=by_text)
+
+    def words(batches):
+        known: dict = {}
+        for batch in batches:
+            every = set().union(*(words_of(s) for text in batch.column(0).to_pylist() for s in SENTENCE.findall(text)))
+            found = [x for x in (told(w, known) for w in every) if x[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([of for _, of in found], pa.list_(pa.int32()))], ["word", "features"])
+
+    by_word = rows.select("text").mapInArrow(words, "word long, features array<int>").groupBy("word").agg(F.first("features").alias("features"))
+    return rows.select("name", "text", "label").mapInArrow(texts, "name string, label int, sentences long, sent binary, word binary"), by_word
 
 
 def train(rows: DataFrame, telling: float = 2.0, rounds: int = 100, decay: float = 1e-4, folds: int = 2) -> Model:
@@ -214,22 +235,34 @@ def train(rows: DataFrame, telling: float = 2.0, rounds: int = 100, decay: float
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     z = F.log(a / (n[1] + 1 - a) / (b / (n[0] + 1 - b))) / F.sqrt(1 / a + 1 / b)
     names = [r["feature"] for r in counted(once).where(F.abs(z) >= telling).select("feature").orderBy("feature").collect()]
-    got = sorted(found_in(once, names).collect(), key=lambda r: r["name"])  # of the sample's texts only these numbers
-    doc_of, sent_of, feature_of = [], [], []
-    for d, r in enumerate(got):
-        sent_of += [len(doc_of) + s for s in r["sent"]]
-        feature_of += r["feature"]
-        doc_of += [d] * (r["sent"][-1] + 1 if r["sent"] else 0)
-    whole = lambda x: np.array(x, dtype=np.int64)
-    sample = Sample(np.array([r["label"] for r in got], float), whole([r["sentences"] for r in got]), whole(doc_of), whole(sent_of), whole(feature_of), len(names))
-    part, others = np.arange(len(got)) % folds, np.full(len(got), -1.0)
+    by_text, by_word = found_in(once, names)
+    got = by_text.toArrow().sort_by("name")  # of the sample's texts only these numbers
+    words = by_word.toArrow().sort_by("word").combine_chunks()
+    sents = [np.frombuffer(x.as_py(), "<i4") for x in got["sent"]]
+    counts = np.array([x[-1] + 1 if len(x) else 0 for x in sents])
+    before = np.cumsum(counts) - counts
+    lists = words["features"].combine_chunks()
+    sample = Sample(
+        labels=got["label"].to_numpy().astype(float),
+        sizes=got["sentences"].to_numpy(),
+        doc_of=np.repeat(np.arange(len(got)), counts),
+        sent_of=np.concatenate([x + at for x, at in zip(sents, before, strict=True)]),
+        word_of=np.searchsorted(words["word"].to_numpy(), np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in got["word"]])),
+        word_at=np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy()),
+        feature_of=lists.flatten().to_numpy(),
+        words=len(words),
+        features=len(names),
+    )
+    del sents, got, lists
+    n_texts = len(sample.labels)
+    part, others = np.arange(n_texts) % folds, np.full(n_texts, -1.0)
     for k in range(folds):
         use = part != k
         if sample.labels[use].any() and not sample.labels[use].all():
             others[~use] = -np.expm1(-sample.totals(sample.fitted(use, rounds, decay))[0])[~use]
     told = others >= 0
     middle = best_middle(others[told], sample.labels[told])
-    theta = sample.fitted(np.ones(len(got), bool), rounds, decay)
+    theta = sample.fitted(np.ones(n_texts, bool), rounds, decay)
     return Model({x: t for x, t in zip(names, theta[:-2].tolist(), strict=True) if t}, float(theta[-2]), float(theta[-1]), middle)
 
 
@@ -237,7 +270,7 @@ def held_out(key: str, of: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, most_bytes: int = 64 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, most_bytes: int = 8 << 20) -> Model:
     """Train on labelled rows in the order of their identifiers' hashes, of each label until there are ``most`` or their texts have ``most_bytes``.
 
     Lengths decide nothing else: a text is taken whole, however long. Labels other than 0 and 1 and null
