@@ -36,8 +36,8 @@ def all_tables(tables: Column, text: Column) -> Column:
 def table_candidates(rows: Column) -> Column:
     """``label, value``: rows whose first cell is like a label and some later one isn't."""
     clean = F.transform(rows, lambda r: F.transform(r, stringify_cell))
-    pairs = F.filter(clean, lambda r: (F.size(r) > 1) & looks_like_label(F.get(r, F.lit(0))) & F.exists(F.slice(r, 2, 10_000), lambda c: (c != "") & ~looks_like_label(c)))
-    return F.transform(pairs, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.array_join(F.filter(F.slice(r, 2, 10_000), lambda c: c != ""), " | ").alias("value")))
+    pairs = F.filter(clean, lambda r: (F.size(r) > 1) & looks_like_label(F.get(r, F.lit(0))) & F.exists(F.slice(r, F.lit(2), F.size(r)), lambda c: (c != "") & ~looks_like_label(c)))
+    return F.transform(pairs, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.array_join(F.filter(F.slice(r, F.lit(2), F.size(r)), lambda c: c != ""), " | ").alias("value")))
 
 
 def labelled_text(text: Column) -> Column:

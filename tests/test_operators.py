@@ -293,3 +293,9 @@ def test_adaptive_stream_restarts_and_forgets(spark, tmp_path):
         assert (last.concurrency, last.ema) == (want.concurrency, want.ema)
         assert [r for r in rows if r.k == k and r.ended]
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_rows_of_very_many_cells(spark):
+    d = spark.range(1).select(F.array(F.concat(F.array(F.lit("Total due")), F.transform(F.sequence(F.lit(1), F.lit(10_005)), lambda i: i.cast("string")))).alias("rows"))
+    (found,) = d.select(semantic.table_candidates(F.col("rows"))).first()[0]
+    assert len(found.value.split(" | ")) == 10_005
