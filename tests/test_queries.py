@@ -1,5 +1,6 @@
 """Registered queries against brute force, over all rows of their tables."""
 
+import math
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -95,28 +96,29 @@ def test_adaptive_concurrency_call_by_call(spark):
     """Every call of every user, by the rules written out once more."""
     calls = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect():
-        status = 200 if r.event_type != "error" else 429 if r.event_id % 2 == 0 else 500
+        status = 200 if r.event_type != "error" else (429, 500, 404)[r.event_id % 3]
         calls[r.user_id].append((r.event_id, r.ts.timestamp() if hasattr(r.ts, "timestamp") else r.ts, status, r.value * 10))
     want = {}
     for user, rows in calls.items():
-        level, mean, n, bad, changed = 10, None, 0, 0, None
+        level, mean, good, bad, changed = 20, 0.0, 0, 0, rows[0][1]
         for event, at, status, latency in rows:
-            n += 1
             if status != 200:
                 bad += 1
-                level, changed, n, bad = max(1, level // 2 if status == 429 else int(level * 0.7)), at, 0, 0
+                changed = at
+                level = max(2, level // 2) if status == 429 else max(2, math.floor(level * 0.7)) if status >= 500 else level
             else:
-                mean = latency if mean is None else 0.3 * latency + 0.7 * mean
-                if n >= 10 and (changed is None or at - changed >= 5):
-                    if bad / n < 0.05 and mean < 3000:
-                        level, changed, n, bad = min(50, max(level + 1, int(level * 1.3))), at, 0, 0
-                    elif bad / n > 0.15 or mean > 10_000:
-                        level, changed, n, bad = max(1, int(level * 0.7)), at, 0, 0
-            want[user, event] = (level, mean)
-    got = {(r.user_id, r.event_id): (r.concurrency, r.ema) for r in QUERIES["adaptive_concurrency"](spark, SF).collect()}
-    assert got.keys() == want.keys()
-    wrong = [(k, got[k], v) for k, v in want.items() if got[k][0] != v[0] or (v[1] is not None and got[k][1] != pytest.approx(v[1]))]
-    assert not wrong, wrong[:3]
+                mean = mean * (1 - 0.3) + latency * 0.3 if mean else latency
+                good += 1
+                if at - changed >= 5 and good + bad >= 10:
+                    rate = bad / (good + bad)
+                    if rate < 0.05 and mean < 3000:
+                        level = min(50, math.floor(level * 1.3))
+                    elif rate > 0.15 or mean > 10_000:
+                        level = max(2, math.floor(level * 0.7))
+                    good, bad, changed = 0, 0, at
+            want[user, event] = (level, math.floor(mean * 1000))
+    got = {(r.user_id, r.event_id): (r.concurrency, r.ema_us) for r in QUERIES["adaptive_concurrency"](spark, SF).collect()}
+    assert got == want
 
 
 def test_image_quality_sample_by_sample(spark, tmp_path):
