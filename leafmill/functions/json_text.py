@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.functions.text import blank, col
+from leafmill.functions.text import blank, col, let
 
 LOOSE = "map<string,string>"
 _NUMBER = r"-?\d+(?:\.\d+)?"
@@ -107,11 +107,14 @@ def is_object(x: Column) -> Column:
 def object_text(x, repair: bool = True) -> Column:
     """The text of the object in a model's answer, or null."""
     first = name_box(without_fence(x))
-    second = outer_braces(first)
-    plain = F.when(is_object(first), first).when(is_object(second), second)
+
+    def sound(a):
+        return F.when(is_object(a), a).otherwise(let(outer_braces(a), lambda b: F.when(is_object(b), b)))
+
     if not repair:
-        return plain
-    return F.coalesce(plain, mend(F.when(plain.isNull(), F.coalesce(second, first))))
+        return let(first, sound)
+    tried = let(first, lambda a: F.struct(sound(a).alias("sound"), F.coalesce(outer_braces(a), a).alias("rest")))
+    return F.coalesce(tried["sound"], mend(F.when(tried["sound"].isNull(), tried["rest"])))
 
 
 def layout_object(x) -> Column:

@@ -5,12 +5,8 @@ Columns in, columns out, apart from the tables that are rolled up by source.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill.functions.json_text import as_array, box, members
 from leafmill.functions.text import blank, candidate_key, confidence, let, null_words, or_, stringify_cell
@@ -159,37 +155,6 @@ def review_mark(level: Column, verified: Column, value: Column) -> Column:
     return ~F.coalesce(verified, F.lit(False)) | (F.lower(blank(level)) == "low") | v.contains("[?]") | (F.trim(v) == "")
 
 
-def _mark(node):
-    if isinstance(node, dict):
-        if node.keys() & {"confidence", "verified", "value"}:
-            value = node.get("value")
-            shown = "" if value is None else value if isinstance(value, str) else "true" if value is True else "false" if value is False else json.dumps(value)
-            level = str(node.get("confidence") if node.get("confidence") is not None else "").lower()
-            node["needs_review"] = node.get("verified") is not True or level == "low" or "[?]" in shown or not shown.strip()
-        for x in list(node.values()):
-            _mark(x)
-    elif isinstance(node, list):
-        for x in node:
-            _mark(x)
-
-
-@F.pandas_udf(T.StringType())
-def mark_review_fields(results: pd.Series) -> pd.Series:
-    """Any result as JSON, every node with a confidence, value or verification marked; the second version has its own marks."""
-
-    def one(text):
-        try:
-            node = json.loads(text)
-        except (TypeError, ValueError):
-            return text
-        if isinstance(node, dict) and node.get("universal_schema") == "universal_document_semantics_v2":
-            return text
-        _mark(node)
-        return json.dumps(node, ensure_ascii=False)
-
-    return results.map(one)
-
-
 def crop_value(text) -> Column:
     """What a crop's answer says: ``value`` of its JSON, the JSON itself if it has none, else the answer without quotes at its ends.
 

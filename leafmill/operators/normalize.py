@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.json_text import as_array, box, members, object_text
-from leafmill.functions.text import blank, confidence, or_, stringify_cell
+from leafmill.functions.text import blank, confidence, let, or_, stringify_cell
 
 ISSUE = "array<struct<type:string,severity:string,message:string,needs_review:boolean>>"
 
@@ -29,12 +29,15 @@ def _item(x: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(x).startswith("{"), members(x)), F.create_map(F.lit("value"), x))
 
 
+def _maps(x: Column) -> Column:
+    """The members of a list's items: one parse for a list of objects, item by item for anything else."""
+    listed = F.from_json(F.when(F.ltrim(x).startswith("["), x), "array<map<string,string>>")
+    return let(listed, lambda a: F.when(a.isNotNull() & ~F.exists(a, lambda m: m.isNull()), a).otherwise(F.transform(as_array(x), _item)))
+
+
 def items(x: Column) -> Column:
     """A list's items with their members, evidence and box parsed once: lambdas see the maps only."""
-    first = F.transform(as_array(x), lambda i: F.struct(_item(i).alias("m")))
-    return F.transform(
-        first, lambda s: F.struct(s["m"].alias("m"), F.when(F.ltrim(s["m"]["evidence"]).startswith("{"), members(s["m"]["evidence"])).alias("e"), members(s["m"]["bbox"]).alias("b"))
-    )
+    return F.transform(_maps(x), lambda m: F.struct(m.alias("m"), F.when(F.ltrim(m["evidence"]).startswith("{"), members(m["evidence"])).alias("e"), members(m["bbox"]).alias("b")))
 
 
 def _id(m: Column, names: tuple[str, ...], prefix: str, page: Column, i: Column) -> Column:
@@ -56,26 +59,27 @@ def has_evidence(e: Column) -> Column:
 
 def field(x: Column, i: Column, page: Column, path: Column) -> Column:
     m = x["m"]
-    label = stringify_cell(_first(m, "label_original", "label"))
-    name = stringify_cell(_first(m, "field_name_model", "name", "field", "label"))
     value = stringify_cell(_first(m, "value_original", "value", "text"))
-    normal = stringify_cell(F.coalesce(_first(m, "value_normalized", "normalized_value"), value))
-    level = confidence(m["confidence"])
-    return F.struct(
-        i.cast("int").alias("idx"),
-        _id(m, ("field_id",), "field", page, i).alias("field_id"),
-        F.coalesce(_first(m, "source_pdf", "source_path"), path).alias("source_pdf"),
-        F.coalesce(F.try_to_number(_first(m, "page_number", "page"), F.lit("999999999")).cast("int"), page).alias("page_number"),
-        label.alias("label_original"),
-        name.alias("field_name_model"),
-        value.alias("value_original"),
-        normal.alias("value_normalized"),
-        stringify_cell(_first(m, "value_type_model", "type")).alias("value_type_model"),
-        level.alias("confidence"),
-        evidence(x, value, page).alias("evidence"),
-        m["attention_match"].alias("attention_match"),
-        (_flag(m) | (level == "low")).alias("needs_review"),
-    )
+    normal = F.when(_first(m, "value_normalized", "normalized_value").isNotNull(), stringify_cell(_first(m, "value_normalized", "normalized_value")))
+
+    def made(s):
+        return F.struct(
+            i.cast("int").alias("idx"),
+            _id(m, ("field_id",), "field", page, i).alias("field_id"),
+            F.coalesce(_first(m, "source_pdf", "source_path"), path).alias("source_pdf"),
+            F.coalesce(F.try_to_number(_first(m, "page_number", "page"), F.lit("999999999")).cast("int"), page).alias("page_number"),
+            stringify_cell(_first(m, "label_original", "label")).alias("label_original"),
+            stringify_cell(_first(m, "field_name_model", "name", "field", "label")).alias("field_name_model"),
+            s["value"].alias("value_original"),
+            F.coalesce(normal, s["value"]).alias("value_normalized"),
+            stringify_cell(_first(m, "value_type_model", "type")).alias("value_type_model"),
+            s["level"].alias("confidence"),
+            evidence(x, s["value"], page).alias("evidence"),
+            m["attention_match"].alias("attention_match"),
+            (_flag(m) | (s["level"] == "low")).alias("needs_review"),
+        )
+
+    return let(F.struct(value.alias("value"), confidence(m["confidence"]).alias("level")), made)
 
 
 def entity(x: Column, i: Column, page: Column) -> Column:
@@ -150,9 +154,9 @@ def attention_match(x: Column) -> Column:
 def parse_responses(responses: DataFrame, repair: bool = True) -> DataFrame:
     """Add ``doc``: the page object's members as texts, or null (failed or unreadable)."""
     text = F.when(F.col("error").isNull(), object_text("response", repair)) if "error" in responses.columns else object_text("response", repair)
-    parsed = responses.withColumn("__text", text).withColumn("doc", members("__text")).drop("__text")
-    wrapped = F.coalesce(members(F.get(as_array(F.col("doc")["pages"]), F.lit(0))), members(F.col("doc")["semantic_page"]), F.col("doc"))
-    return parsed.withColumn("doc", F.when(F.col("doc").isNotNull(), wrapped))
+    # bound by ``let``: as columns of their own these are inlined where they are used once, and parsed again for every mention
+    page = lambda d: F.coalesce(let(d["pages"], lambda x: members(F.get(as_array(x), F.lit(0)))), members(d["semantic_page"]), d)
+    return responses.withColumn("doc", let(members(text), lambda d: F.when(d.isNotNull(), page(d))))
 
 
 def _issues_found(given: Column, fields: Column, entities: Column) -> Column:

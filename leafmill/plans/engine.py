@@ -79,7 +79,7 @@ class Engine:
         Pages that have a checkpoint aren't asked again: the model sees the rest only. The pages are kept
         reliably, in ``folder`` or the shared folder, before anything is made of them: each is asked once.
         """
-        from leafmill.sinks.exports import checkpoint_pages, not_checkpointed
+        from leafmill.sinks.exports import checkpoint_pages, committed, not_checkpointed
 
         hints = attention_hints(attention or [])
         asked = self._pages(sources, pages)
@@ -88,7 +88,7 @@ class Engine:
         found = normalize_pages(answers.unionByName(self._failed(todo), allowMissingColumns=True), hints)
         if folder:
             checkpoint_pages(found, folder)
-            found = self.spark.read.parquet(f"{folder}/pages").drop("page_key", "file", "run")
+            found = committed(self.spark, folder).drop("page_key", "file", "run")
         else:
             found = cut(found)
         return self.roll_up(found, [h["name"] for h in hints if h["required"]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import first_version as v1
-from leafmill.operators import merge
+from leafmill.operators import merge, trees
 from leafmill.operators.normalize import explode_list, normalize_pages
 from leafmill.queries.pages import order_answers
 from leafmill.queries.registry import query, table
@@ -116,8 +116,25 @@ def review_marks(spark, sf_dir):
     level = F.when(F.col("c_mktsegment") == "BUILDING", "LOW").otherwise("medium")
     value = F.when(k % 7 == 0, "x[?]").when(k % 11 == 0, "  ").otherwise(F.col("c_name"))
     whole = F.concat(F.lit('{"pages":[{"mapped":{"f":'), F.to_json(F.struct(level.alias("confidence"), (k % 3 == 0).alias("verified"), value.alias("value"))), F.lit("}}]}"))
-    marked = F.get_json_object(v1.mark_review_fields(whole), "$.pages[0].mapped.f.needs_review") == "true"
-    return c.select("c_custkey", v1.review_mark(level, k % 3 == 0, value).alias("review"), marked.alias("nested"))
+    rows = c.select("c_custkey", v1.review_mark(level, k % 3 == 0, value).alias("review"), whole.alias("result"))
+    nested = F.get_json_object("result", "$.pages[0].mapped.f.needs_review") == "true"
+    return trees.mark_review_fields(rows, "result").select("c_custkey", "review", nested.alias("nested"))
+
+
+@query("""
+SELECT 'customer/' || o_custkey AS source_path, CAST(nullif(sum(o_orderkey % 1000), 0) AS DOUBLE) AS input_tokens, CAST(nullif(sum(o_orderkey % 100), 0) AS DOUBLE) AS output_tokens,
+  CAST(nullif(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 7 END), 0) AS DOUBLE) AS estimated_image_tokens, count(*) AS api_calls, count(*) + count(DISTINCT o_orderkey) AS compat_calls
+FROM orders GROUP BY 1
+""")
+def token_metrics(spark, sf_dir):
+    """Orders as results whose tokens stand three levels deep, beside the calls that the result tells itself."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    image = F.when(F.col("o_orderpriority") == "1-URGENT", 7)
+    call = F.struct((k % 1000).alias("input_tokens"), (k % 100).alias("output_tokens"), image.alias("estimated_image_tokens"), F.lit("12").alias("note"))
+    result = F.struct(F.array(F.struct(call.alias("usage"), F.col("o_orderstatus").alias("input_tokens"))).alias("pages"), F.struct(F.lit(1).alias("totalApiCalls")).alias("stats"))
+    rows = o.select(F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("source_path"), F.to_json(result).alias("result"))
+    return trees.token_metrics(rows, ["source_path"], "result")
 
 
 @query("""

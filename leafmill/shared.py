@@ -55,7 +55,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more, wherever Spark's file systems find it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _located(spark, path)
+    files.delete(target, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    target, files = _located(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []

@@ -5,6 +5,7 @@ Writes go through Spark's committers, so files appear whole or not at all.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, or_, page_json_name
 from leafmill.operators.normalize import explode_list
+from leafmill.shared import listed
 
 STREAMS = {"raw_pages": None, "semantic_pages": None, "entities": "entities", "relationships": "relationships", "review_issues": "issues", "raw_page_index": None}
 SHEETS = ["Overview", "Integrated Records", "Detected Fields", "Tables", "Entities", "Relationships", "Review Issues", "Raw Page Index", "Attention Fields"]
@@ -23,15 +25,12 @@ def page_key(path: str = "source_path", page: str = "page") -> Column:
 
 
 def not_checkpointed(pages: DataFrame, folder: str) -> DataFrame:
-    """Resuming: the pages of which no checkpoint exists."""
-    spark = pages.sparkSession
-    try:
-        done = spark.read.parquet(f"{folder}/pages").select("page_key").distinct()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Resuming: the pages of which no checkpoint exists. A run that broke off after its pages is finished first."""
+    finish_runs(pages.sparkSession, folder)
+    done = committed(pages.sparkSession, folder)
+    if done is None:
         return pages
-    return pages.withColumn("page_key", page_key()).join(done, "page_key", "left_anti").drop("page_key")
+    return pages.withColumn("page_key", page_key()).join(done.select("page_key").distinct(), "page_key", "left_anti").drop("page_key")
 
 
 def stream_rows(pages: DataFrame, name: str) -> DataFrame:
@@ -45,21 +44,56 @@ def stream_rows(pages: DataFrame, name: str) -> DataFrame:
     return explode_list(pages, STREAMS[name])
 
 
-def checkpoint_pages(pages: DataFrame, folder: str) -> DataFrame:
+def committed(spark: SparkSession, folder: str, name: str = "pages") -> DataFrame | None:
+    """What runs that are in the commit log have written of the pages or of a stream; None if there are none."""
+    if not listed(spark, f"{folder}/commits"):
+        return None
+    log = spark.read.parquet(f"{folder}/commits").select("run").distinct()
+    rows = spark.read.parquet(f"{folder}/pages") if name == "pages" else spark.read.json(f"{folder}/{name}.ndjson")
+    return rows.join(log, "run", "left_semi") if "run" in rows.columns else rows.limit(0)
+
+
+def _finish(spark: SparkSession, folder: str, run: str) -> None:
+    """A run's streams from its pages, over whatever an earlier try has left, and then its line in the log."""
+    added = spark.read.parquet(f"{folder}/pages/run={run}").drop("page_key", "file")
+    for name in STREAMS:
+        stream_rows(added, name).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson/run={run}")
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+
+
+def _runs(spark: SparkSession, folder: str) -> set[str]:
+    return {r["run"] for r in spark.read.parquet(f"{folder}/commits").select("run").collect()} if listed(spark, f"{folder}/commits") else set()  # one name a run
+
+
+def finish_runs(spark: SparkSession, folder: str) -> None:
+    """Runs whose pages are whole but that aren't in the log: their pages aren't asked for again."""
+    names = [n.removeprefix("run=") for n in listed(spark, f"{folder}/pages") if n.startswith("run=")]
+    for run in sorted(set(names) - _runs(spark, folder)):
+        if "_SUCCESS" in listed(spark, f"{folder}/pages/run={run}"):
+            _finish(spark, folder, run)
+
+
+def checkpoint_pages(pages: DataFrame, folder: str, stream: str = "call", batch: int | None = None) -> DataFrame:
     """Append the pages that aren't there yet, failed ones too, and their streams; return artifact rows.
 
-    A page that is given twice is one page. The new pages are written first and read back for the
-    streams, so that the model is asked once and a resumed call adds only what is new.
+    A page that is given twice is one page. Each run writes folders of its own, pages first, and is in the commit log
+    once all are whole; readers (:func:`committed`) take what the log holds. ``stream`` and ``batch`` name a run of a
+    page stream: one that is tried again writes the same folders, or nothing if it is in the log. One writer at a time.
     """
     spark = pages.sparkSession
-    run = str(uuid.uuid4())
-    new = not_checkpointed(pages, folder).withColumn("page_key", page_key()).dropDuplicates(["page_key"])
-    new.withColumn("file", page_json_name("source_path", "page")).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/pages")
-    done = spark.read.parquet(f"{folder}/pages")
-    added = done.where(F.col("run") == run).drop("page_key", "file", "run")
-    for name in STREAMS:
-        stream_rows(added, name).write.mode("append").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson")
-    return done.select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), "file").alias("path"))
+    run = f"{hashlib.sha1(stream.encode()).hexdigest()}-{uuid.uuid4() if batch is None else batch}"
+    if batch is None or run not in _runs(spark, folder):
+        todo = not_checkpointed(pages, folder)
+        if run not in _runs(spark, folder):
+            new = todo.withColumn("page_key", page_key()).dropDuplicates(["page_key"]).withColumn("file", page_json_name("source_path", "page"))
+            new.write.mode("overwrite").parquet(f"{folder}/pages/run={run}")
+            _finish(spark, folder, run)
+    return committed(spark, folder).select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), "file").alias("path"))
+
+
+def append_batches(folder: str, stream: str):
+    """What a page stream hands its batches to: each is appended exactly once, however often it is tried."""
+    return lambda rows, number: checkpoint_pages(rows, folder, stream, number)
 
 
 def page_index(pages: DataFrame) -> DataFrame:
