@@ -1,8 +1,8 @@
 """Tolerant reading of JSON that a model wrote.
 
 The built-in parser is asked first, on the text as it is and on its outermost braces; only rows that
-neither helps reach :func:`mend`, a vectorised UDF with a documented subset of repairs (trailing
-commas, single quotes, bare keys, Python literals, unclosed strings and brackets).
+neither helps reach :func:`mend`, a vectorised UDF that puts in what is missing (commas, colons, values,
+quotes, brackets) and leaves out what isn't JSON (comments, ellipses, trailing commas).
 """
 
 from __future__ import annotations
@@ -36,61 +36,133 @@ def outer_braces(x) -> Column:
     return F.nullif(F.regexp_extract(col(x), r"(?s)\{.*\}", 0), F.lit(""))
 
 
+#: Quotes that may open a text, with those that may close it.
+_QUOTES = {'"': '"', "'": "'", "\u201c": "\u201d\u201c\"", "\u201d": "\u201d\"", "\u2018": "\u2019'", "\u2019": "\u2019'"}
+_WORDS = {"true": True, "false": False, "null": None, "none": None, "undefined": None, "nan": None}
+_GAP = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|#[^\n]*|\.\.\.|\u2026)+", re.S)
+_NUMERAL = re.compile(r"[-+]?(?:(?:0|[1-9]\d*)(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?(?=[\s,}\]/]|\Z)")
+_BARE_NAME = re.compile(r"[^\s:,{}\[\]\"']+")
+_BARE_VALUE = re.compile(r"(?:(?!\s+[\w$]+\s*:)[^,{}\[\]\n])+")
+#: What may follow the quote that ends a value: the end, a bracket, a comma before something that can be an item, or an item whose comma is missing.
+_AFTER = re.compile(
+    r"""\s*(?:\Z|[}\]]|//|/\*|,\s*(?:["'\u201c\u2018{\[}\]\d+-]|//|/\*|\.\.\.|\u2026|\Z|[\w$]+\s*:|[^"'\n,}\]]*[,}\]])|["'\u201c\u2018][^"'\n:]*["'\u201d\u2019]\s*[:,}\]"']|[\w$]+\s*:)"""
+)
+
+
+def _quoted(s: str, i: int, name: bool) -> tuple[str, int]:
+    """The text that opens at ``i``, and where it ends: quotes inside it are part of it unless what follows can follow a text."""
+    ends, body, j = _QUOTES[s[i]], [], i + 1
+    while j < len(s):
+        c = s[j]
+        if c in ends and (name or _AFTER.match(s, j + 1)):
+            break
+        if c == "\\" and j + 1 < len(s):
+            if s[j + 1] in '"\\/bfnrt' or re.match(r"u[0-9a-fA-F]{4}", s[j + 1 : j + 6]):
+                body.append(s[j : j + 2])
+                j += 2
+                continue
+            if s[j + 1] in "'`":
+                body.append(s[j + 1])
+                j += 2
+                continue
+        body.append(json.dumps(c, ensure_ascii=False)[1:-1])
+        j += 1
+    return json.loads('"' + "".join(body) + '"'), j + 1
+
+
+def _scalar(s: str, i: int, name: bool):
+    """What isn't a bracket, at ``i``, and where it ends."""
+    if s[i] in _QUOTES:
+        return _quoted(s, i, name)
+    number = _NUMERAL.match(s, i)
+    if not name and number:
+        text = number[0].lstrip("+")
+        value = int(text) if text.lstrip("-").isdigit() and len(text) < 1000 else float(text)
+        if value not in (float("inf"), float("-inf")):
+            return value, number.end()
+    found = (_BARE_NAME if name else _BARE_VALUE).match(s, i)
+    if not found:
+        return "", i + 1
+    text = found[0].strip()
+    return (text if name else _WORDS.get(text.lower(), text)), found.end()
+
+
+def _written(value) -> str:
+    """JSON text that has a UTF-8 form: halves of surrogate pairs are question marks."""
+    return json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
 def mend_text(s: str | None) -> str | None:
-    """A JSON object or array made of ``s``, or None."""
-    if not s:
-        return None
-    start = min([i for i in (s.find("{"), s.find("[")) if i >= 0], default=-1)
+    """A JSON object or array made of ``s``, or None; sound JSON keeps what it says.
+
+    A stack holds the open containers and, for an object, the name that waits for its value. What is missing
+    (commas, colons, values, quotes, closing brackets) is put in where the next piece can't stand without it;
+    comments and ellipses are left out, words for true, false and null may be in any case.
+    """
+    start = min([i for i in ((s or "").find("{"), (s or "").find("[")) if i >= 0], default=-1)
     if start < 0:
         return None
-    out: list[str] = []
-    closers: list[str] = []
-    i, n = start, len(s)
+    try:
+        return _written(json.JSONDecoder(parse_constant=lambda _: None).raw_decode(s, start)[0])
+    except (ValueError, RecursionError):
+        pass
+    none = object()
+    stack: list[list] = []  # container, name that waits
+    i, n, root = start, len(s), None
+
+    def put(value) -> None:
+        if not stack:
+            return
+        top = stack[-1]
+        if isinstance(top[0], list):
+            top[0].append(value)
+        else:
+            top[0]["" if top[1] is none else top[1]] = value
+            top[1] = none
+
+    def close() -> None:
+        box_, waits = stack.pop()
+        if waits is not none:
+            box_[waits] = None
+
     while i < n:
-        c = s[i]
-        if c in "\"'":
-            j, body = i + 1, []
-            while j < n and s[j] != c:
-                if s[j] == "\\" and j + 1 < n:
-                    body.append(s[j : j + 2] if s[j + 1] != "'" else "'")
-                    j += 2
-                    continue
-                body.append({"\n": "\\n", "\r": "\\r", "\t": "\\t", '"': '\\"'}.get(s[j], s[j]))
-                j += 1
-            out.append('"' + "".join(body) + '"')
-            i = j + 1
+        gap = _GAP.match(s, i)
+        if gap:
+            i = gap.end()
             continue
+        c = s[i]
         if c in "{[":
-            closers.append("}" if c == "{" else "]")
-            out.append(c)
+            made = {} if c == "{" else []
+            put(made)
+            root = made if root is None else root
+            stack.append([made, none])
+            i += 1
         elif c in "}]":
-            if c not in closers:
-                i += 1
-                continue
-            while out and out[-1].strip() in ("", ","):
-                out.pop()
-            while closers[-1] != c:
-                out.append(closers.pop())
-            out.append(closers.pop())
-            if not closers:
+            kind = dict if c == "}" else list
+            i += 1
+            if any(isinstance(x[0], kind) for x in stack):
+                while not isinstance(stack[-1][0], kind):
+                    close()
+                close()
+            if not stack:
                 break
-        elif c.isalpha() or c == "_":
-            word = re.match(r"[\w$]+", s[i:])[0]
-            known = {"True": "true", "False": "false", "None": "null", "undefined": "null", "NaN": "null"}.get(word, word)
-            out.append(known if known in ("true", "false", "null") else f'"{word}"')
-            i += len(word)
-            continue
+        elif c in ",:":
+            if c == "," and stack[-1][1] is not none:
+                put(None)
+            i += 1
         else:
-            out.append(c)
-        i += 1
-    while out and out[-1].strip() in ("", ","):
-        out.pop()
-    if out and out[-1].strip() == ":":
-        out.append("null")
-    text = "".join(out) + "".join(reversed(closers))
+            top = stack[-1]
+            name = isinstance(top[0], dict) and top[1] is none
+            value, i = _scalar(s, i, name)
+            if name:
+                top[1] = value
+            else:
+                put(value)
+    while stack:
+        close()
     try:
-        return json.dumps(json.loads(text), ensure_ascii=False)
-    except ValueError:
+        return _written(root)
+    except (ValueError, RecursionError):
         return None
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.functions.json_text import as_array, box, members, object_text
 from leafmill.operators import merge
 from leafmill.operators.normalize import explode_list, normalize_pages
 from leafmill.queries.registry import query, table
-from leafmill.shared import spread
+from leafmill.shared import shared_dir, spread
 from leafmill.sinks import exports
 
 
@@ -179,6 +181,40 @@ def json_mend(spark, sf_dir):
     return o.select("o_orderkey", m["customer"].alias("customer"), m["status"].alias("status"))
 
 
+@query("""
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN c_custkey % 5 IN (0, 1, 4) THEN c_name WHEN c_custkey % 5 = 2 THEN 'the "' || c_name || '" of ' || c_mktsegment ELSE c_name || ', ' || c_mktsegment END AS name,
+  CASE c_custkey % 5 WHEN 4 THEN 'true' ELSE c_mktsegment END AS more FROM customer
+""")
+def json_recovery(spark, sf_dir):
+    """Answers that lack commas and colons, quote within texts, comment, abbreviate and shout."""
+    c = spread(table(spark, sf_dir, "customer"))
+    k, nation, name, more = F.col("c_custkey") % 5, F.col("c_nationkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    said = [
+        ['{"nation" ', nation, ' "name": "', name, '" "more": "', more, '"}'],
+        ['{"nation": ', nation, ', // the key\n "name": /* in full */ "', name, '", "list": [1, 2, ...], "more": "', more, '"}'],
+        ['{"nation": ', nation, ', "name": "the "', name, '" of ', more, '", "more": "', more, '"}'],
+        ["{\u201cnation\u201d: ", nation, ", \u201cname\u201d: \u201c", name, ", ", more, "\u201d, more: ", more, ", "],
+        ['{"nation": ', nation, ', "name": "', name, '", "more": TRUE, "list": [{"a": 1.}'],
+    ]
+    text = F.coalesce(*[F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])) for i, parts in enumerate(said)])
+    m = members(object_text(text))
+    return c.select("c_custkey", m["nation"].alias("nation"), m["name"].alias("name"), m["more"].alias("more"))
+
+
+@query("""
+SELECT 'customer/' || o_custkey AS source_path, CAST(o_orderkey AS INT) AS page, CAST(o_custkey AS VARCHAR) AS value FROM orders
+""")
+def appended_once(spark, sf_dir):
+    """Entities of pages that come in two batches, the second one with all pages and, as after a lost answer, tried again."""
+    pages = normalize_pages(order_answers(spark, sf_dir), repair=False)
+    folder = f"{shared_dir(spark)}/appended-{uuid.uuid4()}"
+    append = exports.append_batches(folder, "orders")
+    append(pages.where("page % 3 = 0"), 0)
+    for _ in range(2):
+        append(pages, 1)
+    return exports.committed(spark, folder, "entities").select("source_path", F.col("page").cast("int").alias("page"), "value")
+
+
 @query("""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n,
        CASE event_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN json_extract_string(props, '$.k') WHEN 2 THEN event_type ELSE '' END AS joined

@@ -95,3 +95,41 @@ def test_policies():
 def test_prompt_has_no_domain_words():
     words = ("invoice", "bank", "patient", "passport", "receipt", "contract", "salary", "insurance")
     assert not any(w in policy.document_prompt().lower() for w in words)
+
+
+BROKEN = [
+    ('{"a":1 "b":2}', {"a": 1, "b": 2}),
+    ('{"a" 1, "b": 2}', {"a": 1, "b": 2}),
+    ('{"a": "say "hi" now", "b": 2}', {"a": 'say "hi" now', "b": 2}),
+    ('{"a": "he said "hi", then", "b":1}', {"a": 'he said "hi", then', "b": 1}),
+    ("{\u201ca\u201d: \u201cx\u201d, \u201cb\u201d: 1.}", {"a": "x", "b": 1.0}),
+    ("[1,2,...]", [1, 2]),
+    ('{"a": [1, 2, ...], "b": TRUE}', {"a": [1, 2], "b": True}),
+    ('{"a":1, // one\n "b": /* two */ 2}', {"a": 1, "b": 2}),
+    ('{"a":"x"\n"b":"y"}', {"a": "x", "b": "y"}),
+    ('["x" "y"]', ["x", "y"]),
+    ("{'a': 'x\\', y'}", {"a": "x', y"}),
+    ('{"a":,"b":1}', {"a": None, "b": 1}),
+    ('{"a":', {"a": None}),
+    ("{a: yes b: 2}", {"a": "yes", "b": 2}),
+    ("{a: hello world, b: 007}", {"a": "hello world", "b": "007"}),
+    ('{"d": 2024-01-02, "n": -.5}', {"d": "2024-01-02", "n": -0.5}),
+    ('{"a":"x","b":["c","d"}', {"a": "x", "b": ["c", "d"]}),
+    ('{"u":"c:\\_x"', {"u": "c:\\_x"}),
+    ('["x", hello]', ["x", "hello"]),
+]
+
+
+@pytest.mark.parametrize("said, want", BROKEN)
+def test_what_is_missing_is_put_in(said, want):
+    import json
+
+    assert json.loads(json_text.mend_text(said)) == want
+
+
+@given(st.text('{}[]",:\'\\ \n1.eE+-atrue/#*\u201c\u201d\u2026\ud800', max_size=40))
+def test_mending_never_fails(said):
+    import json
+
+    found = json_text.mend_text("{" + said)
+    assert isinstance(json.loads(found.encode().decode()), dict)
