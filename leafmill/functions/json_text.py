@@ -23,13 +23,14 @@ _BOX = r'("bbox"\s*:\s*\{\s*)"x1"\s*:\s*(' + _NUMBER + r")\s*,\s*(" + _NUMBER +
 
 
 def without_fence(x) -> Column:
+    """The text without a fence around it; texts without one aren't searched for it by expression."""
     v = F.regexp_replace(F.trim(blank(x)), r"^```(?:json|JSON)?\s*", "")
-    return F.trim(F.regexp_replace(v, r"\s*```$", ""))
+    return F.when(col(x).contains("```"), F.trim(F.regexp_replace(v, r"\s*```$", ""))).otherwise(F.trim(blank(x)))
 
 
 def name_box(x) -> Column:
     """``{"x1": a, b, c, d}`` gets the names of all four sides."""
-    return F.regexp_replace(col(x), _BOX, r'$1"x1": $2, "y1": $3, "x2": $4, "y2": $5}')
+    return F.when(col(x).contains('"bbox"'), F.regexp_replace(col(x), _BOX, r'$1"x1": $2, "y1": $3, "x2": $4, "y2": $5}')).otherwise(col(x))
 
 
 def outer_braces(x) -> Column:
@@ -43,6 +44,9 @@ _GAP = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|#[^\n]*|\.\.\.|\u2026)+", r
 _NUMERAL = re.compile(r"[-+]?(?:(?:0|[1-9]\d*)(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?(?=[\s,}\]/]|\Z)")
 _BARE_NAME = re.compile(r"[^\s:,{}\[\]\"']+")
 _BARE_VALUE = re.compile(r"(?:(?!\s+[\w$]+\s*:)[^,{}\[\]\n])+")
+#: Characters of a quoted text that stand for themselves and can't end it.
+_PLAIN = re.compile("[^\"\\\\\x00-\x1f'\u201c\u201d\u2018\u2019]+")
+_DECODER = json.JSONDecoder(parse_constant=lambda _: None)
 #: What may follow the quote that ends a value: the end, a bracket, a comma before something that can be an item, or an item whose comma is missing.
 _AFTER = re.compile(
     r"""\s*(?:\Z|[}\]]|//|/\*|,\s*(?:["'\u201c\u2018{\[}\]\d+-]|//|/\*|\.\.\.|\u2026|\Z|[\w$]+\s*:|[^"'\n,}\]]*[,}\]])|["'\u201c\u2018][^"'\n:]*["'\u201d\u2019]\s*[:,}\]"']|[\w$]+\s*:)"""
@@ -53,6 +57,11 @@ def _quoted(s: str, i: int, name: bool) -> tuple[str, int]:
     """The text that opens at ``i``, and where it ends: quotes inside it are part of it unless what follows can follow a text."""
     ends, body, j = _QUOTES[s[i]], [], i + 1
     while j < len(s):
+        run = _PLAIN.match(s, j)
+        if run:
+            body.append(run[0])
+            j = run.end()
+            continue
         c = s[j]
         if c in ends and (name or _AFTER.match(s, j + 1)):
             break
@@ -103,7 +112,7 @@ def mend_text(s: str | None) -> str | None:
     if start < 0:
         return None
     try:
-        return _written(json.JSONDecoder(parse_constant=lambda _: None).raw_decode(s, start)[0])
+        return _written(_DECODER.raw_decode(s, start)[0])
     except (ValueError, RecursionError):
         pass
     none = object()
@@ -176,13 +185,14 @@ def is_object(x: Column) -> Column:
     return F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{")
 
 
-def object_text(x, repair: bool = True) -> Column:
-    """The text of the object in a model's answer, or null."""
-    first = name_box(without_fence(x))
+def sound_object(a: Column) -> Column:
+    """The text if it is an object, else its outermost braces if these are one, else null."""
+    return F.when(is_object(a), a).otherwise(let(outer_braces(a), lambda b: F.when(is_object(b), b)))
 
-    def sound(a):
-        return F.when(is_object(a), a).otherwise(let(outer_braces(a), lambda b: F.when(is_object(b), b)))
 
+def object_text(x, repair: bool = True) -> Column:
+    """The text of the object in a model's answer, or null."""
+    first, sound = name_box(without_fence(x)), sound_object
     if not repair:
         return let(first, sound)
     tried = let(first, lambda a: F.struct(sound(a).alias("sound"), F.coalesce(outer_braces(a), a).alias("rest")))
@@ -229,4 +239,4 @@ def box(m: Column) -> Column:
     num = lambda k: F.try_cast(m[k], "double") if hasattr(F, "try_cast") else m[k].try_cast("double")
     x1, y1 = F.coalesce(num("x1"), num("x"), F.lit(0.0)), F.coalesce(num("y1"), num("y"), F.lit(0.0))
     x2, y2 = F.coalesce(num("x2"), x1 + num("w")), F.coalesce(num("y2"), y1 + num("h"))
-    return F.when(x2.isNotNull() & y2.isNotNull(), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+    return F.when(m.isNotNull() & x2.isNotNull() & y2.isNotNull(), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))

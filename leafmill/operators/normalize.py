@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.json_text import as_array, box, members, object_text
+from leafmill.functions.json_text import as_array, box, members, name_box, object_text, sound_object, without_fence
 from leafmill.functions.text import blank, confidence, let, or_, stringify_cell
 
 ISSUE = "array<struct<type:string,severity:string,message:string,needs_review:boolean>>"
@@ -29,15 +29,52 @@ def _item(x: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(x).startswith("{"), members(x)), F.create_map(F.lit("value"), x))
 
 
-def _maps(x: Column) -> Column:
-    """The members of a list's items: one parse for a list of objects, item by item for anything else."""
-    listed = F.from_json(F.when(F.ltrim(x).startswith("["), x), "array<map<string,string>>")
-    return let(listed, lambda a: F.when(a.isNotNull() & ~F.exists(a, lambda m: m.isNull()), a).otherwise(F.transform(as_array(x), _item)))
+#: Members that are read of a list's items, besides ``evidence``, ``bbox`` and ``confidence``.
+FIELD = ("value_original", "value", "text", "value_normalized", "normalized_value", "field_id", "source_pdf", "source_path", "page_number", "page", "label_original", "label", "field_name_model", "name", "field", "value_type_model", "type", "attention_match", "needs_review")
+ENTITY = ("entity_id", "id", "type", "name", "label", "value")
+RELATIONSHIP = ("relationship_id", "id", "type", "from", "source_id", "to", "target_id")
+ISSUES = ("type", "severity", "message", "reason", "value")
+TEXT = ("text", "value")
+TABLE = ("table_id", "id", "rows", "value", "source")
+ATTENTION = ("name", "value", "aliases", "status", "matched", "candidates", "needs_review")
+#: What has to be absent from a list's text for :func:`tidy`.
+_UNTIDY = ("\\", "  ", '" ', ' "', "' ", " '", "\t", "\n", "\v", "\f", "\r")
 
 
-def items(x: Column) -> Column:
-    """A list's items with their members, evidence and box parsed once: lambdas see the maps only."""
-    return F.transform(_maps(x), lambda m: F.struct(m.alias("m"), F.when(F.ltrim(m["evidence"]).startswith("{"), members(m["evidence"])).alias("e"), members(m["bbox"]).alias("b")))
+def tidy(x: Column) -> Column:
+    """Whether no text in a list's JSON has white space to be collapsed or trimmed: ASCII without escapes, single spaces within texts at most."""
+    out = x.startswith("[") & x.endswith("]") & (F.octet_length(x) == F.char_length(x))
+    for s in _UNTIDY:
+        out = out & ~x.contains(s)
+    return out
+
+
+def _cell(x: Column, is_tidy: Column | None) -> Column:
+    """:func:`stringify_cell`, without the expression for texts of a tidy list."""
+    return stringify_cell(x) if is_tidy is None else F.when(is_tidy, blank(x)).otherwise(stringify_cell(x))
+
+
+def _structs(x: Column, names: tuple[str, ...]) -> Column:
+    """The named members of a list's items, as texts: one parse for a list of objects, item by item for anything else."""
+    kept = list(dict.fromkeys([*names, "evidence", "bbox", "confidence"]))
+    listed = F.from_json(F.when(F.ltrim(x).startswith("["), x), "array<struct<" + ",".join(f"`{n}`:string" for n in kept) + ">>")
+    of_item = lambda i: let(_item(i), lambda m: F.struct(*[m[n].alias(n) for n in kept]))
+    return let(listed, lambda a: F.when(a.isNotNull() & ~F.exists(a, lambda m: m.isNull()), a).otherwise(F.transform(as_array(x), of_item)))
+
+
+def items(x: Column, names: tuple[str, ...], is_tidy: Column | None = None) -> Column:
+    """A list's items with their members, evidence and box parsed once.
+
+    ``value`` and ``level``, which several members are made of, are made here once too.
+    """
+
+    def item(m):
+        e = F.when(F.ltrim(m["evidence"]).startswith("{"), members(m["evidence"]))
+        value = _first(m, *[n for n in ("value_original", "value", "text") if n in names])
+        more = [_cell(value, is_tidy).alias("value"), confidence(m["confidence"]).alias("level")] if names is FIELD else []
+        return F.struct(m.alias("m"), e.alias("e"), members(m["bbox"]).alias("b"), *more)
+
+    return F.transform(_structs(x, names), item)
 
 
 def _id(m: Column, names: tuple[str, ...], prefix: str, page: Column, i: Column) -> Column:
@@ -49,7 +86,8 @@ def evidence(s: Column, value: Column, page: Column) -> Column:
     raw, e = s["m"]["evidence"], s["e"]
     text = F.when(e.isNotNull(), F.coalesce(e["raw_text"], e["text"])).when(raw.isNotNull(), raw).otherwise(value)
     given = F.coalesce(F.try_to_number(e["page"], F.lit("999999999")).cast("int"), page)
-    return F.struct(given.alias("page"), text.alias("raw_text"), F.coalesce(box(s["b"]), box(members(e["bbox"]))).alias("bbox"))
+    inner = F.when(e["bbox"].isNotNull(), box(members(e["bbox"])))
+    return F.struct(given.alias("page"), text.alias("raw_text"), F.coalesce(box(s["b"]), inner).alias("bbox"))
 
 
 def has_evidence(e: Column) -> Column:
@@ -57,34 +95,29 @@ def has_evidence(e: Column) -> Column:
     return (F.trim(blank(e["raw_text"])) != "") | e["bbox"].isNotNull()
 
 
-def field(x: Column, i: Column, page: Column, path: Column) -> Column:
-    m = x["m"]
-    value = stringify_cell(_first(m, "value_original", "value", "text"))
-    normal = F.when(_first(m, "value_normalized", "normalized_value").isNotNull(), stringify_cell(_first(m, "value_normalized", "normalized_value")))
-
-    def made(s):
-        return F.struct(
-            i.cast("int").alias("idx"),
-            _id(m, ("field_id",), "field", page, i).alias("field_id"),
-            F.coalesce(_first(m, "source_pdf", "source_path"), path).alias("source_pdf"),
-            F.coalesce(F.try_to_number(_first(m, "page_number", "page"), F.lit("999999999")).cast("int"), page).alias("page_number"),
-            stringify_cell(_first(m, "label_original", "label")).alias("label_original"),
-            stringify_cell(_first(m, "field_name_model", "name", "field", "label")).alias("field_name_model"),
-            s["value"].alias("value_original"),
-            F.coalesce(normal, s["value"]).alias("value_normalized"),
-            stringify_cell(_first(m, "value_type_model", "type")).alias("value_type_model"),
-            s["level"].alias("confidence"),
-            evidence(x, s["value"], page).alias("evidence"),
-            m["attention_match"].alias("attention_match"),
-            (_flag(m) | (s["level"] == "low")).alias("needs_review"),
-        )
-
-    return let(F.struct(value.alias("value"), confidence(m["confidence"]).alias("level")), made)
+def field(x: Column, i: Column, page: Column, path: Column, is_tidy: Column | None = None) -> Column:
+    m, value, level = x["m"], x["value"], x["level"]
+    said = _first(m, "value_normalized", "normalized_value")
+    return F.struct(
+        i.cast("int").alias("idx"),
+        _id(m, ("field_id",), "field", page, i).alias("field_id"),
+        F.coalesce(_first(m, "source_pdf", "source_path"), path).alias("source_pdf"),
+        F.coalesce(F.try_to_number(_first(m, "page_number", "page"), F.lit("999999999")).cast("int"), page).alias("page_number"),
+        _cell(_first(m, "label_original", "label"), is_tidy).alias("label_original"),
+        _cell(_first(m, "field_name_model", "name", "field", "label"), is_tidy).alias("field_name_model"),
+        value.alias("value_original"),
+        F.when(said.isNotNull(), _cell(said, is_tidy)).otherwise(value).alias("value_normalized"),
+        _cell(_first(m, "value_type_model", "type"), is_tidy).alias("value_type_model"),
+        level.alias("confidence"),
+        evidence(x, value, page).alias("evidence"),
+        m["attention_match"].alias("attention_match"),
+        (_flag(m) | (level == "low")).alias("needs_review"),
+    )
 
 
-def entity(x: Column, i: Column, page: Column) -> Column:
+def entity(x: Column, i: Column, page: Column, is_tidy: Column | None = None) -> Column:
     m = x["m"]
-    name, value = stringify_cell(_first(m, "name", "label", "value")), stringify_cell(_first(m, "value", "name"))
+    name, value = _cell(_first(m, "name", "label", "value"), is_tidy), _cell(_first(m, "value", "name"), is_tidy)
     return F.struct(
         i.cast("int").alias("idx"),
         _id(m, ("entity_id", "id"), "entity", page, i).alias("id"),
@@ -109,13 +142,13 @@ def relationship(x: Column, i: Column, page: Column) -> Column:
     )
 
 
-def issue(x: Column) -> Column:
+def issue(x: Column, is_tidy: Column | None = None) -> Column:
     m = x["m"]
     level = F.lower(m["severity"])
     return F.struct(
         F.coalesce(m["type"], F.lit("model_review_issue")).alias("type"),
         F.when(level.isin("high", "medium", "low"), level).otherwise("medium").alias("severity"),
-        stringify_cell(_first(m, "message", "reason", "value")).alias("message"),
+        _cell(_first(m, "message", "reason", "value"), is_tidy).alias("message"),
         F.lit(True).alias("needs_review"),
     )
 
@@ -153,10 +186,15 @@ def attention_match(x: Column) -> Column:
 
 def parse_responses(responses: DataFrame, repair: bool = True) -> DataFrame:
     """Add ``doc``: the page object's members as texts, or null (failed or unreadable)."""
-    text = F.when(F.col("error").isNull(), object_text("response", repair)) if "error" in responses.columns else object_text("response", repair)
-    # bound by ``let``: as columns of their own these are inlined where they are used once, and parsed again for every mention
-    page = lambda d: F.coalesce(let(d["pages"], lambda x: members(F.get(as_array(x), F.lit(0)))), members(d["semantic_page"]), d)
-    return responses.withColumn("doc", let(members(text), lambda d: F.when(d.isNotNull(), page(d))))
+    said = F.when(F.col("error").isNull(), F.col("response")) if "error" in responses.columns else F.col("response")
+    # columns of their own, each mentioned more than once by the next: so they are made once and in compiled code
+    if repair:
+        p = responses.withColumn("__text", object_text(said) if "error" not in responses.columns else F.when(F.col("error").isNull(), object_text("response")))
+    else:
+        p = responses.withColumn("__bare", without_fence(said)).withColumn("__said", name_box("__bare")).withColumn("__text", sound_object(F.col("__said"))).drop("__bare", "__said")
+    d = F.col("__members")
+    wrapped = F.when(d["pages"].isNotNull(), let(d["pages"], lambda x: members(F.get(as_array(x), F.lit(0)))))
+    return p.withColumn("__members", members("__text")).withColumn("doc", F.coalesce(wrapped, members(d["semantic_page"]), d)).drop("__text", "__members")
 
 
 def _issues_found(given: Column, fields: Column, entities: Column) -> Column:
@@ -187,20 +225,25 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
     raw = F.coalesce(members(F.coalesce(d["raw_content"], d["rawContent"])), d)
     p = p.withColumn("raw", raw)
     r = F.col("raw")
+    names = ("field_candidates", "entities", "relationships", "review_issues", "attention_field_matches")
+    # trimmed, since a bare member would be looked up in the map again for every mention
+    p = p.withColumns({f"__{n}": F.ltrim(d[n]) for n in names})
+    p = p.withColumns({f"__tidy_{n}": tidy(F.col(f"__{n}")) for n in ("field_candidates", "entities", "review_issues")})
+    x, ok = ({n: F.col(f"{kind}{n}") for n in names} for kind in ("__", "__tidy_"))
     p = p.select(
         *[c for c in responses.columns],
         d.isNotNull().alias("parsed"),
         members(d["document_classification"]).alias("class"),
         stringify_cell(_first(r, "raw_markdown", "rawText", "text")).alias("raw_markdown"),
         stringify_cell(r["raw_html"]).alias("raw_html"),
-        F.filter(F.transform(items(_first(r, "text_items", "text_lines")), text_item), lambda t: t["text"] != "").alias("text_items"),
-        F.transform(items(F.coalesce(r["tables"], d["tables"])), table).alias("tables"),
+        F.filter(F.transform(items(_first(r, "text_items", "text_lines"), TEXT), text_item), lambda t: t["text"] != "").alias("text_items"),
+        F.transform(items(F.coalesce(r["tables"], d["tables"]), TABLE), table).alias("tables"),
         as_array(r["uncertain_tokens"]).alias("uncertain_tokens"),
-        F.filter(F.transform(items(d["field_candidates"]), lambda x, i: field(x, i, page, path)), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
-        F.filter(F.transform(items(d["entities"]), lambda x, i: entity(x, i, page)), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
-        F.filter(F.transform(items(d["relationships"]), lambda x, i: relationship(x, i, page)), lambda e: (e["type"] != "") | (e["from"] != "") | (e["to"] != "")).alias("relationships"),
-        F.transform(items(d["review_issues"]), issue).alias("given_issues"),
-        F.transform(items(d["attention_field_matches"]), attention_match).alias("given_matches"),
+        F.filter(F.transform(items(x["field_candidates"], FIELD, ok["field_candidates"]), lambda f, i: field(f, i, page, path, ok["field_candidates"])), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
+        F.filter(F.transform(items(x["entities"], ENTITY), lambda e, i: entity(e, i, page, ok["entities"])), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
+        F.filter(F.transform(items(x["relationships"], RELATIONSHIP), lambda x, i: relationship(x, i, page)), lambda e: (e["type"] != "") | (e["from"] != "") | (e["to"] != "")).alias("relationships"),
+        F.transform(items(x["review_issues"], ISSUES), lambda i: issue(i, ok["review_issues"])).alias("given_issues"),
+        F.transform(items(x["attention_field_matches"], ATTENTION), attention_match).alias("given_matches"),
         as_array(d["unmapped_fields"]).alias("unmapped_fields"),
         as_array(d["orphan_values"]).alias("orphan_values"),
         as_array(d["integrated_records"]).alias("records"),
