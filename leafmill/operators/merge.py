@@ -93,11 +93,8 @@ def grouped_documents(rows: DataFrame, most: int = 20) -> DataFrame:
     )
 
 
-def integrated_records(pages: DataFrame) -> DataFrame:
-    """Model records where a page has any, else one record of its fields, the last of a name winning.
-
-    ``record_id, source_path, page, record_type, confidence, needs_review, name, value``: a row per field.
-    """
+def record_list() -> Column:
+    """A page's records: those of the model if it has any, else one of its fields, the last of a name winning; an item per field."""
     c = F.col("classification")
     page = F.concat(F.lit("page_"), F.col("page").cast("string"))
     kind, level = c["type"], c["confidence"]
@@ -117,8 +114,13 @@ def integrated_records(pages: DataFrame) -> DataFrame:
 
         return let(F.from_json(r, LOOSE), members_of)
 
+    return F.when(F.size("records") > 0, F.flatten(F.transform("records", of_record))).otherwise(of_fields(F.col("fields")))
+
+
+def integrated_records(pages: DataFrame) -> DataFrame:
+    """:func:`record_list` as rows: ``record_id, source_path, page, record_type, confidence, needs_review, name, value``."""
     # one list a page, exploded once, so that a page is made once; the outer form as in explode_list
-    rows = F.when(F.size("records") > 0, F.flatten(F.transform("records", of_record))).otherwise(of_fields(F.col("fields")))
+    rows = record_list()
     review = F.exists("issues", lambda x: x["severity"] != "low").alias("needs_review")
     each = pages.select("source_path", "page", review, F.posexplode_outer(rows).alias("place", "r")).where("place is not null")
     return each.select("source_path", "page", "r.record_type", "r.confidence", "needs_review", "r.record_id", "r.name", "r.value")

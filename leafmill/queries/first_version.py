@@ -9,6 +9,7 @@ from leafmill.operators import merge, trees
 from leafmill.operators.normalize import explode_list, normalize_pages
 from leafmill.queries.pages import order_answers
 from leafmill.queries.registry import query, table
+from leafmill.shared import spread
 
 
 def _obj(**members):
@@ -22,7 +23,7 @@ def _list(*texts):
 
 def _answers(spark, sf_dir):
     """A part as an answer of the first version: bare text, wrapped values, repeats, flags."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").withColumn("source_path", F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))), "source_path", rows_a_task=25_000)
     k = F.col("p_partkey")
     name = F.col("p_name")
     fields = _list(
@@ -36,7 +37,7 @@ def _answers(spark, sf_dir):
     older = _list(_obj(name="size", value=F.col("p_size").cast("string"), confidence="high"), _obj(name="Brand", label="brand", value=F.col("p_brand"), confidence="high"))
     page = F.concat(F.lit('{"page":'), (k % 7).cast("string"), F.lit(',"field_candidates":'), fields, F.lit(',"fields":'), older, F.lit(',"unmapped_fields":["left over"]}'))
     doc = F.when(k % 2 == 0, F.create_map(F.lit("pages"), F.concat(F.lit("["), page, F.lit("]")))).otherwise(F.from_json(page, "map<string,string>"))
-    return p.select(F.concat(F.lit("part/"), k.cast("string")).alias("source_path"), F.lit(1).alias("page"), doc.alias("doc"))
+    return p.select("source_path", F.lit(1).alias("page"), doc.alias("doc"))
 
 
 _CANDIDATES = """

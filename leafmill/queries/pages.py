@@ -20,7 +20,8 @@ def cents(c: str):
 
 def order_answers(spark, sf_dir, empty_every: int = 0):
     """Orders as answers of a page model: a customer is a document, an order a page."""
-    o = spread(table(spark, sf_dir, "orders"))
+    source = F.concat(F.lit("customer/"), F.col("o_custkey").cast("string"))
+    o = spread(table(spark, sf_dir, "orders").withColumn("source_path", source), "source_path")
     level = F.when(F.col("o_orderpriority") == "1-URGENT", "HIGH").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").when(F.col("o_orderpriority") == "5-LOW", "low")
 
     def field(label, value):
@@ -37,7 +38,7 @@ def order_answers(spark, sf_dir, empty_every: int = 0):
         F.array(F.struct(F.lit("customer").alias("type"), F.col("o_custkey").cast("string").alias("value"))).alias("entities"),
     )
     return o.select(
-        F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("source_path"),
+        "source_path",
         F.col("o_orderkey").cast("int").alias("page"),
         F.lit("page").alias("stage"),
         F.to_json(body).alias("response"),
@@ -294,4 +295,4 @@ FROM h LEFT JOIN a ON a.source_path = h.source_path LEFT JOIN b ON b.source_path
 """)
 def markdown_report(spark, sf_dir):
     pages = normalize_pages(order_answers(spark, sf_dir), repair=False)
-    return exports.report(pages, merge.integrated_records(pages), explode_list(pages, "issues"))
+    return exports.report(pages)

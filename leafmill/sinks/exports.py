@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, or_, page_json_name
@@ -57,7 +57,7 @@ def _finish(spark: SparkSession, folder: str, run: str) -> None:
     """A run's streams from its pages, over whatever an earlier try has left, and then its line in the log."""
     added = spark.read.parquet(f"{folder}/pages/run={run}").drop("page_key", "file")
     for name in STREAMS:
-        stream_rows(added, name).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson/run={run}")
+        stream_rows(added, name).write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(f"{folder}/{name}.ndjson/run={run}")
     spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{folder}/commits")
 
 
@@ -86,7 +86,7 @@ def checkpoint_pages(pages: DataFrame, folder: str, stream: str = "call", batch:
         todo = not_checkpointed(pages, folder)
         if run not in _runs(spark, folder):
             new = todo.withColumn("page_key", page_key()).dropDuplicates(["page_key"]).withColumn("file", page_json_name("source_path", "page"))
-            new.write.mode("overwrite").parquet(f"{folder}/pages/run={run}")
+            new.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/pages/run={run}")
             _finish(spark, folder, run)
     return committed(spark, folder).select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), "file").alias("path"))
 
@@ -166,26 +166,40 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.select([blank(F.to_json(f"`{n}`") if t.startswith(nested) else F.col(f"`{n}`").cast("string")).alias(n) for n, t in rows.dtypes])
 
 
-def report(pages: DataFrame, records: DataFrame, issues: DataFrame, most_records: int = 100, most_issues: int = 200) -> DataFrame:
-    """A Markdown report per source: heading, classification, first records and issues, and how many more."""
-    head = pages.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.min_by("classification.type", "page").alias("kind"))
+def report(pages: DataFrame, most_records: int = 100, most_issues: int = 200) -> DataFrame:
+    """A Markdown report per source: heading, classification, first records and issues, and how many more.
 
-    def listed(rows: DataFrame, text: Column, order: list[str], most: int, name: str) -> DataFrame:
-        from pyspark.sql import Window
+    Pages are made once: a page's lines are one list, exploded once, numbered within source and kind and
+    rolled up once by source.
+    """
+    from leafmill.operators.merge import record_list
+
+    def lines(xs: Column, kind: int, first: str, second: str, text) -> Column:
+        return F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x[first].alias("first"), x[second].alias("second"), text(x).alias("text")))
+
+    said = F.concat(
+        F.array(F.struct(F.lit(0).alias("kind"), F.lit("").alias("first"), F.lit("").alias("second"), F.col("classification.type").alias("text"))),
+        lines(record_list(), 1, "record_id", "name", lambda x: F.concat_ws(" ", x["record_id"], x["name"], F.lit("="), x["value"])),
+        lines(F.col("issues"), 2, "type", "message", lambda x: F.concat_ws(" ", x["severity"], x["type"], x["message"])),
+    )
+    rows = pages.select("source_path", "page", F.explode_outer(said).alias("x")).select("source_path", "page", "x.*")
+    order = Window.partitionBy("source_path", "kind").orderBy("page", "first", "second")
+    placed = rows.withColumn("place", F.row_number().over(order))
 
-        place = F.row_number().over(Window.partitionBy("source_path").orderBy(*order))
-        few = rows.withColumn("__t", text).withColumn("__p", place).where(F.col("__p") <= most)
-        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__t"))), lambda x: F.concat(F.lit("- "), x["__t"])), "\n")
-        count = rows.groupBy("source_path").agg(F.count(F.lit(1)).alias(f"{name}_n"))
-        return few.groupBy("source_path").agg(lines.alias(name)).join(count, "source_path")
+    def listed(kind: int, most: int) -> Column:
+        few = F.collect_list(F.when((F.col("kind") == kind) & (F.col("place") <= most), F.struct("place", "text")))
+        return F.array_join(F.transform(F.array_sort(few), lambda x: F.concat(F.lit("- "), x["text"])), "\n")
 
-    r = listed(records, F.concat_ws(" ", "record_id", "name", F.lit("="), "value"), ["page", "record_id", "name"], most_records, "records")
-    i = listed(issues, F.concat_ws(" ", "severity", "type", "message"), ["page", "type", "message"], most_issues, "issues")
-    both = head.join(r, "source_path", "left").join(i, "source_path", "left")
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    head = F.when(F.col("kind") == 0, F.col("text"))
+    both = placed.groupBy("source_path").agg(
+        count(0).alias("n"), F.min_by(head, F.when(head.isNotNull(), F.col("page"))).alias("kind"),
+        listed(1, most_records).alias("records"), count(1).alias("records_n"), listed(2, most_issues).alias("issues"), count(2).alias("issues_n"),
+    )
 
     def part(title, name, most):
-        n = F.coalesce(f"{name}_n", F.lit(0))
-        return F.concat(F.lit(f"\n\n## {title}\n"), F.coalesce(name, F.lit("none")), F.when(n > most, F.concat(F.lit("\n... "), (n - most).cast("string"), F.lit(" more"))).otherwise(""))
+        n = F.col(f"{name}_n")
+        return F.concat(F.lit(f"\n\n## {title}\n"), F.when(n > 0, F.col(name)).otherwise("none"), F.when(n > most, F.concat(F.lit("\n... "), (n - most).cast("string"), F.lit(" more"))).otherwise(""))
 
     text = F.concat(F.lit("# "), "source_path", F.lit("\n\npages: "), F.col("n").cast("string"), F.lit("\nclassification: "), "kind", part("Records", "records", most_records), part("Issues", "issues", most_issues))
     return both.select("source_path", text.alias("markdown"))
@@ -224,7 +238,7 @@ def export(pages: DataFrame, folder: str, formats: list[str] | None = None) -> D
         stream_rows(pages, name).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}.ndjson")
         made.append((name, f"{folder}/{name}.ndjson"))
     if "markdown" in wanted or "md" in wanted:
-        report(pages, records, issues).select(F.col("markdown").alias("value")).write.mode("overwrite").text(f"{folder}/report.md")
+        report(pages).select(F.col("markdown").alias("value")).write.mode("overwrite").text(f"{folder}/report.md")
         made.append(("report", f"{folder}/report.md"))
     if "xlsx" in wanted:
         sheets = {
