@@ -68,11 +68,11 @@ def items(x: Column, names: tuple[str, ...], is_tidy: Column | None = None) -> C
     ``value`` and ``level``, which several members are made of, are made here once too.
     """
 
-    def item(m):
+    def item(m, i):
         e = F.when(F.ltrim(m["evidence"]).startswith("{"), members(m["evidence"]))
         value = _first(m, *[n for n in ("value_original", "value", "text") if n in names])
         more = [_cell(value, is_tidy).alias("value"), confidence(m["confidence"]).alias("level")] if names is FIELD else []
-        return F.struct(m.alias("m"), e.alias("e"), members(m["bbox"]).alias("b"), *more)
+        return F.struct(i.alias("i"), m.alias("m"), e.alias("e"), members(m["bbox"]).alias("b"), *more)
 
     return F.transform(_structs(x, names), item)
 
@@ -95,6 +95,21 @@ def has_evidence(e: Column) -> Column:
     return (F.trim(blank(e["raw_text"])) != "") | e["bbox"].isNotNull()
 
 
+def mark(x: Column, page: Column, is_tidy: Column | None = None) -> Column:
+    """What a page's review asks of a field: whether it counts, is to be reviewed, and what it is called if it has no evidence.
+
+    Made of the item itself, so that a page's flags and issues don't need its fields with all their members.
+    """
+    m, i = x["m"], x["i"]
+    label, name = _cell(_first(m, "label_original", "label"), is_tidy), _cell(_first(m, "field_name_model", "name", "field", "label"), is_tidy)
+    called = or_(name, label, _id(m, ("field_id",), "field", page, i))
+    return F.struct(
+        ((x["value"] != "") | (label != "") | (name != "")).alias("counts"),
+        (_flag(m) | (x["level"] == "low")).alias("needs_review"),
+        F.when(~has_evidence(evidence(x, x["value"], page)), called).alias("unproved"),
+    )
+
+
 def field(x: Column, i: Column, page: Column, path: Column, is_tidy: Column | None = None) -> Column:
     m, value, level = x["m"], x["value"], x["level"]
     said = _first(m, "value_normalized", "normalized_value")
@@ -197,19 +212,19 @@ def parse_responses(responses: DataFrame, repair: bool = True) -> DataFrame:
     return p.withColumn("__members", members("__text")).withColumn("doc", F.coalesce(wrapped, members(d["semantic_page"]), d)).drop("__text", "__members")
 
 
-def _issues_found(given: Column, fields: Column, entities: Column) -> Column:
+def _issues_found(given: Column, marks: Column, no_entity: Column) -> Column:
     def one(kind, level, message, when):
         return F.when(when, F.array(F.struct(F.lit(kind).alias("type"), F.lit(level).alias("severity"), message.alias("message"), F.lit(True).alias("needs_review"))).cast(ISSUE)).otherwise(F.array().cast(ISSUE))
 
     missing = F.transform(
-        F.filter(fields, lambda f: ~has_evidence(f["evidence"])),
-        lambda f: F.struct(F.lit("field_missing_evidence").alias("type"), F.lit("medium").alias("severity"), or_(f["field_name_model"], f["label_original"], f["field_id"]).alias("message"), F.lit(True).alias("needs_review")),
+        F.filter(marks, lambda f: f["unproved"].isNotNull()),
+        lambda f: F.struct(F.lit("field_missing_evidence").alias("type"), F.lit("medium").alias("severity"), f["unproved"].alias("message"), F.lit(True).alias("needs_review")),
     )
     return F.concat(
         given.cast(ISSUE),
         missing.cast(ISSUE),
-        one("no_field_candidates", "high", F.lit("the page has no field"), F.size(fields) == 0),
-        one("no_entities_returned", "low", F.lit("the page has no entity"), F.size(entities) == 0),
+        one("no_field_candidates", "high", F.lit("the page has no field"), F.size(marks) == 0),
+        one("no_entities_returned", "low", F.lit("the page has no entity"), no_entity),
     )
 
 
@@ -230,6 +245,9 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
     p = p.withColumns({f"__{n}": F.ltrim(d[n]) for n in names})
     p = p.withColumns({f"__tidy_{n}": tidy(F.col(f"__{n}")) for n in ("field_candidates", "entities", "review_issues")})
     x, ok = ({n: F.col(f"{kind}{n}") for n in names} for kind in ("__", "__tidy_"))
+    # lists that flags and issues are made of too: parsed once, and the members that nothing reads are never made
+    p = p.withColumns({"__field_items": items(x["field_candidates"], FIELD, ok["field_candidates"]), "__entity_items": items(x["entities"], ENTITY)})
+    f, e = F.col("__field_items"), F.col("__entity_items")
     p = p.select(
         *[c for c in responses.columns],
         d.isNotNull().alias("parsed"),
@@ -239,8 +257,10 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
         F.filter(F.transform(items(_first(r, "text_items", "text_lines"), TEXT), text_item), lambda t: t["text"] != "").alias("text_items"),
         F.transform(items(F.coalesce(r["tables"], d["tables"]), TABLE), table).alias("tables"),
         as_array(r["uncertain_tokens"]).alias("uncertain_tokens"),
-        F.filter(F.transform(items(x["field_candidates"], FIELD, ok["field_candidates"]), lambda f, i: field(f, i, page, path, ok["field_candidates"])), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
-        F.filter(F.transform(items(x["entities"], ENTITY), lambda e, i: entity(e, i, page, ok["entities"])), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
+        F.filter(F.transform(f, lambda f, i: field(f, i, page, path, ok["field_candidates"])), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
+        F.filter(F.transform(e, lambda e, i: entity(e, i, page, ok["entities"])), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),
+        F.filter(F.transform(f, lambda f: mark(f, page, ok["field_candidates"])), lambda f: f["counts"]).alias("marks"),
+        (~F.exists(e, lambda e: (_cell(_first(e["m"], "value", "name"), ok["entities"]) != "") | (_cell(_first(e["m"], "name", "label", "value"), ok["entities"]) != ""))).alias("no_entity"),
         F.filter(F.transform(items(x["relationships"], RELATIONSHIP), lambda x, i: relationship(x, i, page)), lambda e: (e["type"] != "") | (e["from"] != "") | (e["to"] != "")).alias("relationships"),
         F.transform(items(x["review_issues"], ISSUES), lambda i: issue(i, ok["review_issues"])).alias("given_issues"),
         F.transform(items(x["attention_field_matches"], ATTENTION), attention_match).alias("given_matches"),
@@ -257,16 +277,16 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
             level.alias("confidence"),
             stringify_cell(c["reason"]).alias("reason"),
             as_array(c["evidence"]).alias("evidence"),
-            (_flag(c) | c.isNull() | (F.size("fields") == 0) | (level == "low")).alias("needs_review"),
+            (_flag(c) | c.isNull() | (F.size("marks") == 0) | (level == "low")).alias("needs_review"),
         ),
     )
     p = p.withColumn("attention", _attention(F.col("given_matches"), hints or [], F.col("parsed")))
     failed = F.array(F.struct(F.lit("page_failed").alias("type"), F.lit("high").alias("severity"), or_(*(["error"] if "error" in responses.columns else []), F.lit("the answer holds no object")).alias("message"), F.lit(True).alias("needs_review"))).cast(ISSUE)
-    p = p.withColumn("issues", F.when(F.col("parsed"), _issues_found(F.col("given_issues"), F.col("fields"), F.col("entities"))).otherwise(failed))
+    p = p.withColumn("issues", F.when(F.col("parsed"), _issues_found(F.col("given_issues"), F.col("marks"), F.col("no_entity"))).otherwise(failed))
     serious = F.exists("issues", lambda x: x["severity"] != "low")
-    flagged = serious | F.exists("fields", lambda f: f["needs_review"]) | F.exists("attention", lambda a: a["needs_review"])
+    flagged = serious | F.exists("marks", lambda f: f["needs_review"]) | F.exists("attention", lambda a: a["needs_review"])
     p = p.withColumn("needs_review", flagged).withColumn("review_required", F.col("needs_review") | (F.size("issues") > 0) | ~F.col("parsed"))
-    return p.drop("class", "given_issues", "given_matches")
+    return p.drop("class", "given_issues", "given_matches", "marks", "no_entity")
 
 
 def _attention(matches: Column, hints: list[dict], parsed: Column) -> Column:

@@ -59,3 +59,20 @@ def test_containment_of_many_marks(spark, monkeypatch):
     for few in (1_000_000, 0):
         monkeypatch.setattr(containment, "FEW", few)
         assert {tuple(r) for r in containment.either_way(left, right).collect()} == want
+
+
+def made(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flags_and_issues_need_no_fields(spark):
+    """A field's members that only it has aren't made for what pages are reviewed by; what is made says the same."""
+    body = '{"field_candidates": [{"label": "A", "value": "1", "confidence": "HIGH"}, {"label": "B", "confidence": "low"}, {"x": 1}], "entities": [{"value": " "}]}'
+    pages = normalize_pages(answers(spark, body, '{"field_candidates": [{"name": "n", "value": "v", "confidence": "high"}], "entities": [{"name": "e"}]}', "nothing"), repair=False)
+    assert " AS fields#" in made(pages)
+    for names in (["needs_review", "review_required", "parsed"], ["issues"], ["classification"]):
+        assert " AS fields#" not in made(pages.select(*names))
+    rows = {r.page: r for r in pages.collect()}
+    assert [(i.type, i.message) for i in rows[1].issues] == [("field_missing_evidence", "B"), ("no_entities_returned", "the page has no entity")]
+    assert [r.needs_review for _, r in sorted(rows.items())] == [True, False, True] and [len(r.fields) for _, r in sorted(rows.items())] == [2, 1, 0]
+    assert [i.type for i in rows[3].issues] == ["page_failed"] and not rows[2].issues
