@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.json_text import members
 from leafmill.functions.text import blank, canonical, comparable, confidence, let, looks_like_label, or_, stringify_cell, unescape_latex
 from leafmill.operators.merge import first_wins
+from leafmill.operators.normalize import tidy
 
 COLON = r"^(.{2,60}?)[：:]\s*(.{1,160})$"
 SPACED = r"^([A-Za-z][A-Za-z0-9 /().#-]{2,40})\s{2,}(.{2,120})$"
@@ -81,8 +82,15 @@ def unique_candidates(rows: DataFrame, key: list[str], order: list[str]) -> Data
 def row_records(rows: Column) -> Column:
     """Records of a table of two rows or more: the first row names the columns, unnamed ones ``col_i``."""
     head = F.transform(F.get(rows, F.lit(0)), lambda c, i: or_(canonical(c), F.concat(F.lit("col_"), (i + 1).cast("string"))))
-    body = F.transform(F.slice(rows, 2, 2**31 - 2), lambda r, i: F.transform(r, lambda c, j: F.struct((i + 1).alias("row_index"), F.coalesce(F.get(head, j), F.concat(F.lit("col_"), (j + 1).cast("string"))).alias("name"), stringify_cell(c).alias("value"))))
-    return F.when(F.size(rows) >= 2, F.flatten(body)).otherwise(F.array().cast("array<struct<row_index:int,name:string,value:string>>"))
+
+    def body(names, clean):
+        cell = lambda c, i, j: F.struct((i + 1).alias("row_index"), F.coalesce(F.get(names, j), F.concat(F.lit("col_"), (j + 1).cast("string"))).alias("name"), clean(c).alias("value"))
+        return F.flatten(F.transform(F.slice(rows, 2, 2**31 - 2), lambda r, i: F.transform(r, lambda c, j: cell(c, i, j))))
+
+    # the names are made once a table, and so is the test of whether any cell has white space to be collapsed or trimmed
+    text = F.concat(F.lit('["'), F.array_join(F.flatten(rows), '"'), F.lit('"]'))
+    made = lambda names: F.when(F.coalesce(tidy(text), F.lit(False)), body(names, blank)).otherwise(body(names, stringify_cell))
+    return F.when(F.size(rows) >= 2, let(head, made)).otherwise(F.array().cast("array<struct<row_index:int,name:string,value:string>>"))
 
 
 def classify(given: Column, tables: Column) -> Column:

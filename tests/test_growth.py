@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.json_text import mend_text
 from leafmill.operators.normalize import explode_list, normalize_pages
+from leafmill.operators.semantic import row_records
 from leafmill.shared import spread
 from leafmill.sinks import exports
 
@@ -76,3 +77,11 @@ def test_flags_and_issues_need_no_fields(spark):
     assert [(i.type, i.message) for i in rows[1].issues] == [("field_missing_evidence", "B"), ("no_entities_returned", "the page has no entity")]
     assert [r.needs_review for _, r in sorted(rows.items())] == [True, False, True] and [len(r.fields) for _, r in sorted(rows.items())] == [2, 1, 0]
     assert [i.type for i in rows[3].issues] == ["page_failed"] and not rows[2].issues
+
+
+def test_names_of_a_table_are_made_once_a_table(spark):
+    rows = F.array(F.array(F.lit("A b"), F.lit("")), F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.array(F.lit(" p  q "), F.lit(None).cast("string")))
+    got = spark.range(1).select(row_records(rows).alias("r"))
+    assert [tuple(r) for r in got.first().r] == [(1, "ab", "x"), (1, "col_2", "y"), (1, "col_3", "z"), (2, "ab", "p q"), (2, "col_2", "")]
+    of_row = made(spark.range(1).select(row_records(F.array(F.array(F.col("id").cast("string"))))))
+    assert "transform(array(transform(" in of_row
