@@ -79,9 +79,10 @@ def detected_documents(pages: DataFrame) -> DataFrame:
     start = running_before(pages.groupBy("source_path").agg(F.count(F.lit(1)).alias("n")), ["source_path"], F.col("n"), "before").drop("n")
     place = F.row_number().over(Window.partitionBy("source_path").orderBy("page"))
     c = F.col("classification")
-    return pages.withColumn("place", place).join(start, "source_path").select(
-        F.format_string("doc_%05d", (F.col("before") + F.col("place")).cast("int")).alias("document_id"), "source_path", "page", c["type"].alias("document_type"), c["confidence"].alias("confidence"), c["reason"].alias("reason"), c["needs_review"].alias("needs_review")
-    )
+    # members are taken before the numbering, which would keep the classification whole
+    rows = pages.select("source_path", "page", c["type"].alias("document_type"), *[c[n].alias(n) for n in ("confidence", "reason", "needs_review")])
+    number = F.format_string("doc_%05d", (F.col("before") + F.col("place")).cast("int"))
+    return rows.withColumn("place", place).join(start, "source_path").select(number.alias("document_id"), "source_path", "page", "document_type", "confidence", "reason", "needs_review")
 
 
 def grouped_documents(rows: DataFrame, most: int = 20) -> DataFrame:

@@ -270,23 +270,18 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
     )
     c = F.col("class")
     level = confidence(c["confidence"])
-    p = p.withColumn(
-        "classification",
-        F.struct(
-            or_(c["type"], F.lit("document")).alias("type"),
-            level.alias("confidence"),
-            stringify_cell(c["reason"]).alias("reason"),
-            as_array(c["evidence"]).alias("evidence"),
-            (_flag(c) | c.isNull() | (F.size("marks") == 0) | (level == "low")).alias("needs_review"),
-        ),
-    )
+    # the level is mentioned twice below, so these stay columns: who reads one of them makes neither the others nor the fields
+    parts = {"type": or_(c["type"], F.lit("document")), "confidence": level, "reason": stringify_cell(c["reason"]), "evidence": as_array(c["evidence"])}
+    p = p.withColumns({f"__class_{n}": x for n, x in parts.items()})
+    review = _flag(c) | c.isNull() | (F.size("marks") == 0) | (F.col("__class_confidence") == "low")
+    p = p.withColumn("classification", F.struct(*[F.col(f"__class_{n}").alias(n) for n in parts], review.alias("needs_review")))
     p = p.withColumn("attention", _attention(F.col("given_matches"), hints or [], F.col("parsed")))
     failed = F.array(F.struct(F.lit("page_failed").alias("type"), F.lit("high").alias("severity"), or_(*(["error"] if "error" in responses.columns else []), F.lit("the answer holds no object")).alias("message"), F.lit(True).alias("needs_review"))).cast(ISSUE)
     p = p.withColumn("issues", F.when(F.col("parsed"), _issues_found(F.col("given_issues"), F.col("marks"), F.col("no_entity"))).otherwise(failed))
     serious = F.exists("issues", lambda x: x["severity"] != "low")
     flagged = serious | F.exists("marks", lambda f: f["needs_review"]) | F.exists("attention", lambda a: a["needs_review"])
     p = p.withColumn("needs_review", flagged).withColumn("review_required", F.col("needs_review") | (F.size("issues") > 0) | ~F.col("parsed"))
-    return p.drop("class", "given_issues", "given_matches", "marks", "no_entity")
+    return p.drop("class", *[f"__class_{n}" for n in parts], "given_issues", "given_matches", "marks", "no_entity")
 
 
 def _attention(matches: Column, hints: list[dict], parsed: Column) -> Column:

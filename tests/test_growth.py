@@ -5,6 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from leafmill.functions.json_text import mend_text
+from leafmill.operators import merge
 from leafmill.operators.normalize import explode_list, normalize_pages
 from leafmill.operators.semantic import row_records
 from leafmill.shared import spread
@@ -85,3 +86,18 @@ def test_names_of_a_table_are_made_once_a_table(spark):
     assert [tuple(r) for r in got.first().r] == [(1, "ab", "x"), (1, "col_2", "y"), (1, "col_3", "z"), (2, "ab", "p q"), (2, "col_2", "")]
     of_row = made(spark.range(1).select(row_records(F.array(F.array(F.col("id").cast("string"))))))
     assert "transform(array(transform(" in of_row
+
+
+def test_detected_documents_need_no_fields(spark, tmp_path):
+    field = '"field_candidates": [{"label": "A", "value": "1"}]'
+    bodies = ['{"document_classification": {"type": "order", "confidence": "HIGH", "reason": " so  it is "}, %s}' % field, '{"document_classification": {"type": "", "confidence": "low"}, %s}' % field]
+    bodies += ['{"document_classification": {"type": "order", "confidence": "high"}}', "nothing", '{"document_classification": {"type": "order", "confidence": "medium", "needs_review": true}, %s}' % field]
+    answers(spark, *bodies).write.parquet(f"{tmp_path}/in")
+    found = merge.detected_documents(normalize_pages(spark.read.parquet(f"{tmp_path}/in"), repair=False))
+    short = found.select("document_id", "source_path", "page", "document_type", "confidence")
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert "document_classification" in plan and "field_candidates" not in plan
+    want = [("doc_00001", "order", "high", "so it is", False), ("doc_00002", "document", "low", "", True), ("doc_00003", "order", "high", "", True), ("doc_00004", "document", "low", "", True), ("doc_00005", "order", "medium", "", True)]
+    got = sorted(found.collect(), key=lambda r: r.page)
+    assert [(r.document_id, r.document_type, r.confidence, r.reason, r.needs_review) for r in got] == want
+    assert sorted(tuple(r) for r in short.collect()) == [(w[0], "a", i + 1, w[1], w[2]) for i, w in enumerate(want)]
