@@ -173,9 +173,17 @@ def text_item(x: Column) -> Column:
     return F.struct(stringify_cell(_first(m, "text", "value")).alias("text"), confidence(m["confidence"]).alias("confidence"), box(x["b"]).alias("bbox"))
 
 
-def table(x: Column, i: Column) -> Column:
+def _rows(x: Column, is_tidy: Column | None = None) -> Column:
+    """A table's rows as lists of cells: one parse for a list of lists, row by row for anything else."""
+    cells = lambda r: F.transform(r, lambda c: _cell(c, is_tidy))
+    of_row = lambda r: F.when(F.ltrim(r).startswith("["), cells(as_array(r))).otherwise(F.array(_cell(r, is_tidy)))
+    listed = F.from_json(F.when(F.ltrim(x).startswith("["), x), "array<array<string>>")
+    return let(listed, lambda a: F.when(a.isNotNull() & ~F.exists(a, lambda r: r.isNull()), F.transform(a, cells)).otherwise(F.transform(as_array(x), of_row)))
+
+
+def table(x: Column, i: Column, is_tidy: Column | None = None) -> Column:
     m = x["m"]
-    rows = F.transform(as_array(_first(m, "rows", "value")), lambda r: F.when(F.ltrim(r).startswith("["), F.transform(as_array(r), stringify_cell)).otherwise(F.array(stringify_cell(r))))
+    rows = _rows(_first(m, "rows", "value"), is_tidy)
     return F.struct(
         F.coalesce(_first(m, "table_id", "id"), F.concat(F.lit("table_"), (i + 1).cast("string"))).alias("table_id"),
         box(x["b"]).alias("bbox"),
@@ -243,8 +251,9 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
     names = ("field_candidates", "entities", "relationships", "review_issues", "attention_field_matches")
     # trimmed, since a bare member would be looked up in the map again for every mention
     p = p.withColumns({f"__{n}": F.ltrim(d[n]) for n in names})
-    p = p.withColumns({f"__tidy_{n}": tidy(F.col(f"__{n}")) for n in ("field_candidates", "entities", "review_issues")})
-    x, ok = ({n: F.col(f"{kind}{n}") for n in names} for kind in ("__", "__tidy_"))
+    p = p.withColumn("__tables", F.coalesce(r["tables"], d["tables"]))
+    p = p.withColumns({f"__tidy_{n}": tidy(F.col(f"__{n}")) for n in ("field_candidates", "entities", "review_issues", "tables")})
+    x, ok = ({n: F.col(f"{kind}{n}") for n in (*names, "tables")} for kind in ("__", "__tidy_"))
     # lists that flags and issues are made of too: parsed once, and the members that nothing reads are never made
     p = p.withColumns({"__field_items": items(x["field_candidates"], FIELD, ok["field_candidates"]), "__entity_items": items(x["entities"], ENTITY)})
     f, e = F.col("__field_items"), F.col("__entity_items")
@@ -255,7 +264,7 @@ def normalize_pages(responses: DataFrame, hints: list[dict] | None = None, repai
         stringify_cell(_first(r, "raw_markdown", "rawText", "text")).alias("raw_markdown"),
         stringify_cell(r["raw_html"]).alias("raw_html"),
         F.filter(F.transform(items(_first(r, "text_items", "text_lines"), TEXT), text_item), lambda t: t["text"] != "").alias("text_items"),
-        F.transform(items(F.coalesce(r["tables"], d["tables"]), TABLE), table).alias("tables"),
+        F.transform(items(x["tables"], TABLE), lambda t, i: table(t, i, ok["tables"])).alias("tables"),
         as_array(r["uncertain_tokens"]).alias("uncertain_tokens"),
         F.filter(F.transform(f, lambda f, i: field(f, i, page, path, ok["field_candidates"])), lambda f: (f["value_original"] != "") | (f["label_original"] != "") | (f["field_name_model"] != "")).alias("fields"),
         F.filter(F.transform(e, lambda e, i: entity(e, i, page, ok["entities"])), lambda e: (e["name"] != "") | (e["value"] != "")).alias("entities"),

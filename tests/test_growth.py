@@ -101,3 +101,15 @@ def test_detected_documents_need_no_fields(spark, tmp_path):
     got = sorted(found.collect(), key=lambda r: r.page)
     assert [(r.document_id, r.document_type, r.confidence, r.reason, r.needs_review) for r in got] == want
     assert sorted(tuple(r) for r in short.collect()) == [(w[0], "a", i + 1, w[1], w[2]) for i, w in enumerate(want)]
+
+
+def test_rows_of_a_table_are_parsed_at_once(spark, tmp_path):
+    tables = ['[{"rows":[["Part","a b"],["1",null,{"k": [1.50]}]]}]', '[{"rows": [["a  b", " c "], [], [2, true]]}]', '[{"rows":[["a",1.50],"b  c",null,{"v":2},"[3,4]"]}]', '[{"rows": "[[1,2]]"},{"value": "[5"}, " x "]', '[["a","b"],["c"]]', "null"]
+    answers(spark, *['{"raw_content": {"tables": %s}}' % t for t in tables]).write.parquet(f"{tmp_path}/in")
+    pages = normalize_pages(spark.read.parquet(f"{tmp_path}/in"), repair=False).select("page", "tables")
+    plan = made(pages)
+    assert "ArrayType(ArrayType(StringType" in plan and "__tidy_tables" in plan
+    got = {r.page: [t.rows for t in r.tables] for r in pages.collect()}
+    assert got[1] == [[["Part", "a b"], ["1", "", '{"k":[1.5]}']]] and got[2] == [[["a b", "c"], [], ["2", "true"]]]
+    assert got[3] == [[["a", "1.5"], ["b c"], [""], ['{"v":2}'], ["3", "4"]]]
+    assert got[4] == [[["1", "2"]], [["[5"]], [["x"]]] and got[5] == [[["a"], ["b"]], [["c"]]] and got[6] == []
