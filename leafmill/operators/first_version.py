@@ -135,6 +135,16 @@ def lossless_candidate(f: Column, generic: bool = False) -> Column:
     )
 
 
+def lossless_candidates(pages: DataFrame, name: str, generic: bool = False) -> DataFrame:
+    """``source_path, page, c``: the items of list ``name`` as candidates of the first version.
+
+    Items are exploded first, in the outer form: a filter on the size of a list of candidates would be pushed down
+    with all that makes the list, and a candidate made within the list is made in the expression that makes its item.
+    """
+    items = pages.select("source_path", "page", F.explode_outer(name).alias("__item")).where("__item is not null")
+    return items.select("source_path", "page", lossless_candidate(F.col("__item"), generic).alias("c"))
+
+
 def source_descriptor(path, page, model: str, at: Column, scale: Column | None = None, least: Column | None = None, most: Column | None = None) -> Column:
     """Where a page comes from, what read it and when, and how it was rendered."""
     none = F.lit(None).cast("double")

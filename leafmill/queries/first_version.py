@@ -175,8 +175,8 @@ FROM orders, LATERAL (VALUES ('Order Key', CAST(o_orderkey AS VARCHAR)), ('Custo
 def lossless_candidates(spark, sf_dir):
     pages = normalize_pages(order_answers(spark, sf_dir), repair=False)
     at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
-    found = pages.withColumn("s", v1.source_descriptor("source_path", "page", "stub", at)).withColumn("cs", F.transform("fields", lambda f: v1.lossless_candidate(f)))
-    return found.select(F.col("page").cast("long").alias("o_orderkey"), "s", F.explode("cs").alias("c")).select("o_orderkey", "c.name", "c.value", "c.confidence", "c.source", "c.needs_review", "s.source_path", "s.source_file", "s.extracted_at")
+    found = v1.lossless_candidates(pages, "fields").withColumn("s", v1.source_descriptor("source_path", "page", "stub", at))
+    return found.select(F.col("page").cast("long").alias("o_orderkey"), "c.name", "c.value", "c.confidence", "c.source", "c.needs_review", "s.source_path", "s.source_file", "s.extracted_at")
 
 
 @query("""

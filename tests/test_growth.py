@@ -113,3 +113,21 @@ def test_rows_of_a_table_are_parsed_at_once(spark, tmp_path):
     assert got[1] == [[["Part", "a b"], ["1", "", '{"k":[1.5]}']]] and got[2] == [[["a b", "c"], [], ["2", "true"]]]
     assert got[3] == [[["a", "1.5"], ["b c"], [""], ['{"v":2}'], ["3", "4"]]]
     assert got[4] == [[["1", "2"]], [["[5"]], [["x"]]] and got[5] == [[["a"], ["b"]], [["c"]]] and got[6] == []
+
+
+def test_candidates_are_made_of_exploded_fields(spark):
+    """A list of candidates is neither made where its size is asked for nor within the expression that makes the fields."""
+    from leafmill.queries import QUERIES
+
+    found = QUERIES["lossless_candidates"](spark, "/root/testdata/sf0.001")
+    plan = made(found)
+    assert "Generate explode(fields#" in plan and "(size(" not in plan
+    assert found.count() == 5 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_candidates_of_no_fields(spark):
+    from leafmill.operators import first_version as v1
+
+    body = '{"field_candidates": [{"label": " a  b ", "value": "1", "confidence": "HIGH"}, {"name": "n", "value": "v", "confidence": "odd"}]}'
+    got = v1.lossless_candidates(normalize_pages(answers(spark, body, '{"field_candidates": []}', "nothing"), repair=False), "fields").collect()
+    assert sorted((r.source_path, r.page, r.c.name, r.c.label, r.c.value, r.c.confidence, r.c.needs_review) for r in got) == [("a", 1, "a b", "a b", "1", "high", False), ("a", 1, "n", "", "v", "low", True)]
