@@ -1,6 +1,8 @@
 """What a task holds, how often pages are made and what is written don't grow faster than the input."""
 
 import glob
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -131,3 +133,37 @@ def test_candidates_of_no_fields(spark):
     body = '{"field_candidates": [{"label": " a  b ", "value": "1", "confidence": "HIGH"}, {"name": "n", "value": "v", "confidence": "odd"}]}'
     got = v1.lossless_candidates(normalize_pages(answers(spark, body, '{"field_candidates": []}', "nothing"), repair=False), "fields").collect()
     assert sorted((r.source_path, r.page, r.c.name, r.c.label, r.c.value, r.c.confidence, r.c.needs_review) for r in got) == [("a", 1, "a b", "a b", "1", "high", False), ("a", 1, "n", "", "v", "low", True)]
+
+
+def written(spark):
+    from leafmill.shared import shared_dir
+
+    return sum(os.path.getsize(f) for f in glob.glob(f"{shared_dir(spark).removeprefix('file://')}/**", recursive=True) if os.path.isfile(f))
+
+
+def test_containment_writes_what_is_found(spark):
+    """Texts whose grams all patterns share are written for the pairs that are found, not for their grams."""
+    from leafmill.operators import containment
+
+    rng = random.Random(1)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    ls, rs = [digits(120) for _ in range(3000)], [digits(6) for _ in range(200)]
+    before = written(spark)
+    pairs = containment.contained(spark.createDataFrame([(x,) for x in ls], "text string"), spark.createDataFrame([(x,) for x in rs], "text string"))
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in ls for b in rs if b in a}
+    assert written(spark) - before < 1_000_000
+
+
+def test_containment_at_the_bounds_of_lengths(spark, monkeypatch):
+    from leafmill.operators import containment
+
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("ab1é😀") for _ in range(n))
+    base = [text(n) for n in (1, 2, 3, 7, 8, 15, 16, 17, 30, 31, 32, 33, 47, 48, 64, 200) for _ in range(4)]
+    piece = lambda b, n: b[(i := rng.randrange(len(b))) : i + n]
+    ls = base + [piece(b, n) for b in base for n in (2, 31, 32)] + ["", None, "a" * 100]
+    rs = [piece(b, n) for b in base for n in (1, 33, 64)] + [text(5) + b + text(5) for b in base[::3]] + ["a" * 50, "a" * 120, "", None]
+    want = sorted({(a, b) for a in ls if a is not None for b in rs if b is not None if a in b or b in a})
+    monkeypatch.setattr(containment, "BLOCK", 10)
+    one, other = (spark.createDataFrame([(x,) for x in xs], "text string") for xs in (ls, rs))
+    assert sorted(tuple(r) for r in containment.either_way(one, other).collect()) == want
