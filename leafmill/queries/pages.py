@@ -207,12 +207,12 @@ SELECT 'customer/' || o_custkey AS source_path, CAST(o_orderkey AS INT) AS page,
 """)
 def appended_once(spark, sf_dir):
     """Entities of pages that come in two batches, the second one with all pages and, as after a lost answer, tried again."""
-    pages = normalize_pages(order_answers(spark, sf_dir), repair=False)
+    answers = order_answers(spark, sf_dir)
     folder = f"{shared_dir(spark)}/appended-{uuid.uuid4()}"
-    append = exports.append_batches(folder, "orders")
-    append(pages.where("page % 3 = 0"), 0)
+    append = exports.append_batches(folder, "orders", lambda new: normalize_pages(new, repair=False))
+    append(answers.where("page % 3 = 0"), 0)
     for _ in range(2):
-        append(pages, 1)
+        append(answers, 1)
     return exports.committed(spark, folder, "entities").select("source_path", F.col("page").cast("int").alias("page"), "value")
 
 

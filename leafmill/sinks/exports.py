@@ -30,7 +30,8 @@ def not_checkpointed(pages: DataFrame, folder: str) -> DataFrame:
     done = committed(pages.sparkSession, folder)
     if done is None:
         return pages
-    return pages.withColumn("page_key", page_key()).join(done.select("page_key").distinct(), "page_key", "left_anti").drop("page_key")
+    done = done.select(F.col("source_path").alias("__path"), F.col("page").alias("__page"))
+    return pages.join(done, F.col("source_path").eqNullSafe(F.col("__path")) & F.col("page").eqNullSafe(F.col("__page")), "left_anti")
 
 
 def stream_rows(pages: DataFrame, name: str) -> DataFrame:
@@ -73,27 +74,29 @@ def finish_runs(spark: SparkSession, folder: str) -> None:
             _finish(spark, folder, run)
 
 
-def checkpoint_pages(pages: DataFrame, folder: str, stream: str = "call", batch: int | None = None) -> DataFrame:
+def checkpoint_pages(pages: DataFrame, folder: str, stream: str = "call", batch: int | None = None, make=None) -> DataFrame:
     """Append the pages that aren't there yet, failed ones too, and their streams; return artifact rows.
 
     A page that is given twice is one page. Each run writes folders of its own, pages first, and is in the commit log
     once all are whole; readers (:func:`committed`) take what the log holds. ``stream`` and ``batch`` name a run of a
     page stream: one that is tried again writes the same folders, or nothing if it is in the log. One writer at a time.
+    With ``make`` the rows given are answers, and it makes pages of those that are new: so answers alone are shuffled.
+    A source's pages are written beside one another, without what can be told from path and page, which compresses badly.
     """
     spark = pages.sparkSession
     run = f"{hashlib.sha1(stream.encode()).hexdigest()}-{uuid.uuid4() if batch is None else batch}"
     if batch is None or run not in _runs(spark, folder):
         todo = not_checkpointed(pages, folder)
         if run not in _runs(spark, folder):
-            new = todo.withColumn("page_key", page_key()).dropDuplicates(["page_key"]).withColumn("file", page_json_name("source_path", "page"))
-            new.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/pages/run={run}")
+            new = todo.drop("page_key", "file").dropDuplicates(["source_path", "page"]).sortWithinPartitions("source_path", "page")
+            (new if make is None else make(new)).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/pages/run={run}")
             _finish(spark, folder, run)
-    return committed(spark, folder).select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), "file").alias("path"))
+    return committed(spark, folder).select(F.lit("page_json").alias("kind"), "source_path", "page", F.concat(F.lit(folder + "/"), page_json_name("source_path", "page")).alias("path"))
 
 
-def append_batches(folder: str, stream: str):
-    """What a page stream hands its batches to: each is appended exactly once, however often it is tried."""
-    return lambda rows, number: checkpoint_pages(rows, folder, stream, number)
+def append_batches(folder: str, stream: str, make=None):
+    """What a page stream hands its batches to (of answers, if ``make`` makes pages of them): each is appended exactly once, however often it is tried."""
+    return lambda rows, number: checkpoint_pages(rows, folder, stream, number, make)
 
 
 def page_index(pages: DataFrame) -> DataFrame:

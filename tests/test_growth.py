@@ -167,3 +167,25 @@ def test_containment_at_the_bounds_of_lengths(spark, monkeypatch):
     monkeypatch.setattr(containment, "BLOCK", 10)
     one, other = (spark.createDataFrame([(x,) for x in xs], "text string") for xs in (ls, rs))
     assert sorted(tuple(r) for r in containment.either_way(one, other).collect()) == want
+
+
+def test_answers_are_told_apart_before_pages_are_made(spark, tmp_path):
+    """Answers are shuffled, not pages; what path and page tell isn't written; pages without a path are appended once too."""
+    seen = []
+
+    def make(new):
+        seen.append(made(new))
+        return normalize_pages(new, repair=False)
+
+    body = '{"entities": [{"value": "e"}]}'
+    first = spark.createDataFrame([("a/b.pdf", 1, body), ("a/b.pdf", 1, body), (None, 1, body)], "source_path string, page int, response string")
+    later = first.unionByName(spark.createDataFrame([("a/b.pdf", 2, body)], first.schema))
+    append = exports.append_batches(str(tmp_path), "q", make)
+    append(first, 0)
+    paths = append(later, 1)
+    append(later, 1)
+    assert len(seen) == 2 and all("Aggregate [source_path" in p and "from_json" not in p for p in seen)
+    pages = exports.committed(spark, str(tmp_path))
+    assert sorted((r.source_path or "", r.page) for r in pages.collect()) == [("", 1), ("a/b.pdf", 1), ("a/b.pdf", 2)]
+    assert not {"page_key", "file"} & set(pages.columns) and exports.committed(spark, str(tmp_path), "entities").count() == 3
+    assert sorted(r.path.removeprefix(str(tmp_path)) for r in paths.where("source_path IS NOT NULL").collect()) == ["/pages/b-p0001.json", "/pages/b-p0002.json"]
